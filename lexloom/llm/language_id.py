@@ -86,8 +86,8 @@ class Model:
         return np.where(all_ > 0, best, self.prior), score
 
 
-def train(texts: list[tuple[str, str]], share: float = 0.05, least: int = 2) -> Model | None:
-    """Build the filters from (language, text) pairs.
+def train(texts: list[tuple[str, str]], share: float = 0.05, least: int = 2, commonest: str | None = None) -> Model | None:
+    """Build the filters from (language, text) pairs; commonest: the prior language (None: that of most texts).
 
     An n-gram is a language's own if it occurs there `least` times or more and at least `share` times as often (per
     n-gram of text) as in the language that uses it most; so borrowed passages leave no trace. None without texts.
@@ -116,7 +116,7 @@ def train(texts: list[tuple[str, str]], share: float = 0.05, least: int = 2) ->
         for rows in _rows(gram, slices):
             np.bitwise_or.at(table, rows, kind(1 << i))
     fill = np.array([np.count_nonzero(table >> kind(i) & kind(1)) for i in range(len(languages))]) / len(table)
-    return Model(languages, int(np.argmax(sizes)), slices, table, fill**3)
+    return Model(languages, languages.index(commonest) if commonest in languages else int(np.argmax(sizes)), slices, table, fill**3)
 
 
 def sample(docs: DataFrame, usable: Column, per_language: int, longest: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
@@ -136,7 +136,9 @@ def sample(docs: DataFrame, usable: Column, per_language: int, longest: int, id_
 
 def fit(docs: DataFrame, usable: Column, *, per_language: int = 500, longest: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """A model of the languages of the usable rows (see sample for its bound, train for its rule)."""
-    return train(sample(docs, usable, per_language, longest, id_col, text_col, lang_col))
+    known = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
+    commonest = known.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang_col).first()
+    return train(sample(docs, usable, per_language, longest, id_col, text_col, lang_col), commonest=commonest and commonest[0])
 
 
 def predict(docs: DataFrame, model: Model | None, *, text_col: str = "text", label: str = "lang_pred", score: str = "score") -> DataFrame:
