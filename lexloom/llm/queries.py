@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import ann, language_id, packing, quality, token_counts, url_filter
+from lexloom.llm import ann, common, decontaminate, language_id, packing, quality, simhash, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,28 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    doc_id = F.when(F.col("__d") == common.NO_ID, None).otherwise(F.col("__d")).alias("doc_id")
+    return found.select(doc_id, "item_id", "n_shared", "n_item", "containment")
+
+
+OP5_SQL = """
+with doc_words as (
+  select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') as w from documents),
+item_words as (
+  select item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') as w from benchmark),
+doc_shingles as (
+  select distinct doc_id, array_to_string(w[i:i + 4], ' ') as s from (select doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) as i from doc_words where len(w) > 0)),
+item_shingles as (
+  select distinct item_id, array_to_string(w[i:i + 4], ' ') as s from (select item_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) as i from item_words where len(w) > 0)),
+sizes as (select item_id, count(*) as n_item from item_shingles group by item_id),
+shared as (select doc_id, item_id, count(*) as n_shared from doc_shingles join item_shingles using (s) group by doc_id, item_id)
+select doc_id, item_id, n_shared, n_item, n_shared / n_item as containment from shared join sizes using (item_id)
+where n_shared >= ceil(n_item * 0.8 - 1e-9)
+"""
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(_remainder(3) == 1, F.lit(False))
@@ -35,6 +57,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 #: host, path and verdict of the rules that op8 applies.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -71,6 +98,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op4_nearest, op6_quality, op8_url_filter, op9_language_id, op10_packing)
+    f.__name__: f for f in (op1_token_counts, op4_nearest, op5_decontaminate, op6_quality, op7_simhash, op8_url_filter, op9_language_id, op10_packing)
 }
-ORACLE_SQL: dict[str, str] = {"op8_url_filter": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_decontaminate": OP5_SQL, "op8_url_filter": OP8_SQL}
