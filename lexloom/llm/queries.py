@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import ann, common, decontaminate, language_id, packing, quality, simhash, token_counts, url_filter
+from lexloom.llm import ann, common, decontaminate, language_id, packing, quality, simhash, substring_dedup, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, chunker = _table(spark, sf_dir, "documents"), substring_dedup.Chunker()
+    return substring_dedup.report(docs, substring_dedup.repeated(docs, chunker), chunker.least)
+
+
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
 
@@ -97,7 +102,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op4_nearest, op5_decontaminate, op6_quality, op7_simhash, op8_url_filter, op9_language_id, op10_packing)
+    f.__name__: f for f in (op1_token_counts, op3_substring_dedup, op4_nearest, op5_decontaminate, op6_quality, op7_simhash, op8_url_filter, op9_language_id, op10_packing, pipeline)
 }
 ORACLE_SQL: dict[str, str] = {"op5_decontaminate": OP5_SQL, "op8_url_filter": OP8_SQL}
