@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import ann, common, decontaminate, language_id, packing, quality, simhash, substring_dedup, token_counts, url_filter
+from lexloom.llm import ann, common, decontaminate, language_id, packing, quality, simhash, substring_dedup, suffix_dedup, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +23,13 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_report(_table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, chunker = _table(spark, sf_dir, "documents"), substring_dedup.Chunker()
-    return substring_dedup.report(docs, substring_dedup.repeated(docs, chunker), chunker.least)
+    return substring_dedup.report(substring_dedup.keyed_bytes(docs), substring_dedup.repeated(docs, chunker), chunker.least)
 
 
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,6 +113,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op3_substring_dedup, op4_nearest, op5_decontaminate, op6_quality, op7_simhash, op8_url_filter, op9_language_id, op10_packing, pipeline)
+    f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_substring_dedup, op4_nearest, op5_decontaminate, op6_quality, op7_simhash, op8_url_filter, op9_language_id, op10_packing, pipeline)
 }
 ORACLE_SQL: dict[str, str] = {"op5_decontaminate": OP5_SQL, "op8_url_filter": OP8_SQL}

@@ -197,8 +197,13 @@ def with_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) ->
     return joined.drop("__sd", "__st")
 
 
-def report(docs: DataFrame, spans: DataFrame, least: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row: what the removal of its spans leaves of its bytes."""
+def keyed_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, the text's bytes (null: empty) as b, and the row's key __d, __t."""
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary").alias("b"), *keyed(docs, id_col, text_col))
+
+
+def report(texts: DataFrame, spans: DataFrame, least: int) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of keyed_bytes: what the removal of its spans leaves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,8 +221,8 @@ def report(docs: DataFrame, spans: DataFrame, least: int, id_col: str = "doc_id"
             kinds = [pa.int64()] * 4 + [pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    joined = with_spans(slim, spans, "doc_id", "text").select("doc_id", F.col("text").cast("binary").alias("b"), "__spans")
+    named = spans.select(F.col("__d").alias("__sd"), F.col("__t").alias("__st"), F.col("spans").alias("__spans"))
+    joined = texts.join(named, (F.col("__d") == F.col("__sd")) & (F.col("__t") == F.col("__st")), "left").select("doc_id", "b", "__spans")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
