@@ -2,39 +2,56 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import materialize
+from lexloom.llm.common import keyed, materialize
 
 #: Node pairs that are expanded at once; a pair of nodes of at most LEAF pairs of members is compared directly.
 FRONT, LEAF = 1 << 18, 64
+#: MinHash values of a document that wide_links pairs up: at a similarity of 0.8, two of six are shared but once in 600.
+KEYS = 6
 
 
-def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> np.uint64:
-    """The SimHash of a text: A-Z lower-cased, words cut at ASCII white space, a bit set if over half the shingle hashes have it."""
+def shingle_hashes(text: bytes, shingle: int = 3, seed: int = 42) -> Iterator[np.ndarray]:
+    """Hashes of all shingles, block by block: A-Z lower-cased, words cut at ASCII white space; fewer words: their sequence."""
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()
     n = len(words)
     if not n:
-        return np.uint64(0)
+        return
     joined = b" ".join(words)
     if n <= shingle:
-        return np.uint64(xxh64_intdigest(joined, seed))
+        yield np.array([xxh64_intdigest(joined, seed)], "<u8")
+        return
     lengths = np.fromiter(map(len, words), np.int64, n)
     ends = np.cumsum(lengths + 1) - 1
     begins, ends = (ends - lengths)[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist()
-    ones = np.zeros(64, np.int64)
     for at in range(0, len(begins), 1 << 14):
         block = zip(begins[at : at + (1 << 14)], ends[at : at + (1 << 14)], strict=True)
-        hashes = np.array([xxh64_intdigest(joined[a:b], seed) for a, b in block], "<u8")
+        yield np.array([xxh64_intdigest(joined[a:b], seed) for a, b in block], "<u8")
+
+
+def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> np.uint64:
+    """The SimHash of a text: a bit is set if over half the shingle hashes have it; without words it is 0."""
+    return _sketched(text, shingle, seed, None)[0]
+
+
+def _sketched(text: bytes, shingle: int, seed: int, turns: np.ndarray | None) -> tuple[np.uint64, np.ndarray | None]:
+    """(SimHash, MinHash values under the permutations x * turns[0] + turns[1])."""
+    ones, n = np.zeros(64, np.int64), 0
+    least = None if turns is None else np.full(turns.shape[1], (1 << 64) - 1, np.uint64)
+    for hashes in shingle_hashes(text, shingle, seed):
+        n += len(hashes)
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(begins), bitorder="little").view("<u8")[0]
+        if turns is not None:
+            least = np.minimum(least, [(hashes * a + b).min() for a, b in turns.T])
+    return np.packbits(2 * ones > n, bitorder="little").view("<u8")[0], least
 
 
 def fingerprints(docs: DataFrame, *, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,19 +79,25 @@ def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             parent = up
 
 
-def trie_links(r: np.ndarray, top: int, budget: int) -> np.ndarray:
-    """Join the binary trie of sorted distinct values r with itself, below nodes of depth `top`.
+def _first_set(r: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """Where in each sorted range [lo, hi), of values that agree above `bit`, that bit begins to be set."""
+    a, b = lo.copy(), hi.copy()
+    while (live := a < b).any():
+        mid = (a + b) >> 1
+        set_ = (r[np.minimum(mid, len(r) - 1)] & bit) != 0
+        a, b = np.where(live & ~set_, mid + 1, a), np.where(live & set_, mid, b)
+    return a
+
+
+def trie_links(r: np.ndarray, lo: np.ndarray, hi: np.ndarray, top: int, budget: int, alike: Callable | None = None) -> np.ndarray:
+    """Join the binary trie of each range [lo, hi) of r (sorted within it, equal in the first `top` bits) with itself.
 
     Pairs of nodes are walked down together, bit by bit, with the number of bits in which their paths differ; a pair is
-    dropped when that exceeds the budget, or when all its members are linked already. Returns for each value the index
-    of the least value it is linked to, directly or over others.
+    dropped when that exceeds the budget, or when all its members are linked already. alike(i, j) may refuse pairs of
+    members that are within the budget. Returns for each value the index of the least one it is linked to, directly or
+    over others of its range.
     """
-    n = len(r)
-    parent = np.arange(n)
-    if n < 2:
-        return parent
-    cuts = np.flatnonzero(np.diff(r >> np.uint64(64 - top))) + 1
-    lo, hi = np.r_[0, cuts], np.r_[cuts, n]
+    parent = np.arange(len(r))
     lo, hi = lo[hi - lo > 1], hi[hi - lo > 1]
     stack = [(lo, hi, lo, hi, np.full(len(lo), top), np.zeros(len(lo), np.int64))]
     while stack:
@@ -88,24 +111,23 @@ def trie_links(r: np.ndarray, top: int, budget: int) -> np.ndarray:
         lo1, hi1, lo2, hi2, depth, diff = (x[~joined] for x in front)
         if not len(lo1):
             continue
-        small = (hi1 - lo1) * (hi2 - lo2) <= LEAF
+        small = ((hi1 - lo1) * (hi2 - lo2) <= LEAF) | (depth >= 64)
         if small.any():
             a, b, size2 = lo1[small], lo2[small], (hi2 - lo2)[small]
             count = (hi1 - lo1)[small] * size2
             which = np.repeat(np.arange(len(a)), count)
             k = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
             i, j = a[which] + k // size2[which], b[which] + k % size2[which]
-            near = (i != j) & (np.bitwise_count(r[i] ^ r[j]) <= budget)
+            near = np.flatnonzero((i < j) & (np.bitwise_count(r[i] ^ r[j]) <= budget))
+            if alike is not None and len(near):
+                near = near[alike(i[near], j[near])]
             parent = _unite(parent, i[near], j[near])
         lo1, hi1, lo2, hi2, depth, diff = (x[~small] for x in (lo1, hi1, lo2, hi2, depth, diff))
         if not len(lo1):
             continue
-        shift = (64 - depth).astype(np.uint64)
-        bit = np.uint64(1) << (shift - np.uint64(1))
-        mid1 = np.clip(np.searchsorted(r, (r[lo1] >> shift << shift) | bit), lo1, hi1)
-        mid2 = np.clip(np.searchsorted(r, (r[lo2] >> shift << shift) | bit), lo2, hi2)
-        itself = lo1 == lo2
-        other = ~itself
+        bit = np.uint64(1) << (63 - depth).astype(np.uint64)
+        mid1, mid2 = _first_set(r, lo1, hi1, bit), _first_set(r, lo2, hi2, bit)
+        other = lo1 != lo2
         children = [(lo1, mid1, lo2, mid2, diff, None), (mid1, hi1, mid2, hi2, diff, None), (lo1, mid1, mid2, hi2, diff + 1, None), (mid1, hi1, lo2, mid2, diff + 1, other)]
         parts = []
         for a1, b1, a2, b2, d, only in children:
@@ -137,7 +159,10 @@ def links(distinct: DataFrame, budget: int = 3) -> DataFrame:
         block, value = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]).view(np.uint64)
         for b, (at, bits) in enumerate(spans):
             r = np.unique(value[block == b])
-            parent = trie_links(r, bits, budget)
+            if not len(r):
+                continue
+            cuts = np.flatnonzero(np.diff(r >> np.uint64(64 - bits))) + 1
+            parent = trie_links(r, np.r_[0, cuts], np.r_[cuts, len(r)], bits, budget)
             child = np.flatnonzero(parent != np.arange(len(r)))
             back = (lambda x: x) if not at else (lambda x, at=np.uint64(at): x >> at | x << np.uint64(64 - int(at)))
             yield pa.RecordBatch.from_arrays([pa.array(back(r[child]).view(np.int64)), pa.array(back(r[parent[child]]).view(np.int64))], ["a", "b"])
@@ -189,16 +214,73 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, budget: int = 3, seed:
     return found.join(named, found["fp"] == named["__fp"]).select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, *, shingle: int = 3, budget: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that are near duplicates of one with a smaller id: one row of each component stays.
+def sketches(docs: DataFrame, *, shingle: int, keys: int, sketch: int, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """__d, __t, fp, m (the first `keys` MinHash values) and sketch (a byte of each of `sketch` MinHash values) of every row."""
+    turns = np.random.default_rng(seed).integers(0, 1 << 63, (2, max(keys, sketch)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_sketched(x or b"", shingle, seed, turns) for x in batch.column(2).to_pylist()]
+            prints = np.array([f for f, _ in found], np.uint64).view(np.int64)
+            least = pa.array([m[:keys].view(np.int64) for _, m in found], pa.list_(pa.int64()))
+            bytes_ = pa.array([(m[:sketch] >> np.uint64(56)).astype(np.uint8).tobytes() for _, m in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints), least, bytes_], ["__d", "__t", "fp", "m", "sketch"])
+
+    texts = docs.select(*keyed(docs, id_col, text_col), docs[text_col].cast("string").cast("binary").alias("text"))
+    return texts.mapInArrow(run, "__d long, __t long, fp long, m array<long>, sketch binary")
+
 
-    Rows with a null id have no rank and all stay. If ids repeat, one row of each kept id stays.
+def wide_links(distinct: DataFrame, budget: int, least: int, keys: int = KEYS) -> DataFrame:
+    """(a, b) pairs that span the groups of fingerprints within a budget too wide for shared blocks of bits.
+
+    distinct: fp, m, sketch. Two documents alike enough share two MinHash values or more; so each fingerprint goes to
+    one trie for every pair of its values, and meets there only what shares that pair. There the tries are joined within
+    the Hamming budget, and a pair counts if `least` bytes of its sketches agree. Dealt by value pair; a task emits at
+    most one link for each fingerprint it holds.
+    """
+    pairs = [(i, j) for j in range(keys) for i in range(j)]
+    partitions = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = F.explode(F.array(*(F.xxhash64(F.lit(i), F.lit(j), F.col("m")[i], F.col("m")[j]) for i, j in pairs))).alias("key")
+    dealt = distinct.select("fp", "sketch", spread).repartition(partitions, "key").select("key", "fp", "sketch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(x.column(0).to_numpy(), x.column(1).to_numpy(), np.frombuffer(b"".join(x.column(2).to_pylist()), np.uint8).reshape(x.num_rows, -1)) for x in batches if x.num_rows]
+        if not held:
+            return
+        key, value, sketch = (np.concatenate([h[i] for h in held]) for i in range(3))
+        held.clear()
+        value = value.view(np.uint64)
+        order = np.lexsort((value, key))
+        key, value, sketch = key[order], value[order], sketch[order]
+        cuts = np.flatnonzero(np.diff(key)) + 1
+        alike = lambda i, j: np.concatenate([(sketch[i[a : a + 65536]] == sketch[j[a : a + 65536]]).sum(axis=1) >= least for a in range(0, len(i), 65536)])
+        parent = trie_links(value, np.r_[0, cuts], np.r_[cuts, len(key)], 0, budget, alike)
+        child = np.flatnonzero(parent != np.arange(len(key)))
+        yield pa.RecordBatch.from_arrays([pa.array(value[child].view(np.int64)), pa.array(value[parent[child]].view(np.int64))], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
+
+
+def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, budget: int = 18, keys: int = KEYS, sketch: int = 64, slack: float = 0.1, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of near duplicates: that with the smallest id.
+
+    Near duplicates have a Jaccard similarity of their word shingles of `similarity` or more, which at 64 bits may put
+    their fingerprints `budget` bits apart (see wide_links); `sketch` MinHash bytes then estimate the similarity, and
+    similarity - slack is asked of the estimate, two standard errors below. Equal fingerprints are near duplicates.
+    Rows with a null id come after all others (of two, the one whose text hash is smaller stays); of rows equal in id
+    and text one stays. Blank texts are duplicates of each other. Every column stays; an empty table gives no rows.
     """
-    found = near_duplicates(docs, shingle=shingle, budget=budget, seed=seed, id_col=id_col, text_col=text_col).filter(F.col("doc_id").isNotNull())
-    found = materialize(found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")))
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone"))
-    kept = docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
-    if found.filter((F.col("n") > 1) & (F.col("doc_id") == F.col("component_id"))).limit(1).count():
-        null, rest = kept.filter(F.col(id_col).isNull()), kept.filter(F.col(id_col).isNotNull())
-        return rest.dropDuplicates([id_col]).unionByName(null)
-    return kept
+    found = materialize(sketches(docs, shingle=shingle, keys=keys, sketch=sketch, seed=seed, id_col=id_col, text_col=text_col))
+    classes = found.groupBy("fp").agg(F.min(F.struct("__d", "__t")).alias("least"), F.min(F.struct("m", "sketch")).alias("one"))
+    roots = components(wide_links(classes.select("fp", "one.m", "one.sketch"), budget, int(np.ceil((similarity - slack) * sketch)), keys))
+    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    named = rooted.join(smallest, "root").select(F.col("fp").alias("__fp"), "first")
+    rows = found.groupBy("__d", "__t", "fp").agg(F.count(F.lit(1)).alias("n")).join(named, F.col("fp") == F.col("__fp"))
+    rows = materialize(rows.select("__d", "__t", "n", (F.struct("__d", "__t") == F.col("first")).alias("stays")))
+    gone = rows.filter("not stays").select(F.col("__d").alias("__gd"), F.col("__t").alias("__gt"))
+    d, t = keyed(docs, id_col, text_col)
+    kept = docs.withColumns({"__d": d, "__t": t}).join(gone, (F.col("__d") == F.col("__gd")) & (F.col("__t") == F.col("__gt")), "left_anti")
+    if rows.filter("stays and n > 1").limit(1).count():
+        kept = kept.dropDuplicates(["__d", "__t"])
+    return kept.drop("__d", "__t")

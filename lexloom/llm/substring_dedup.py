@@ -30,7 +30,7 @@ LAYOUT = [("k", "<u8"), ("x", "<u4"), ("d", "<i8"), ("t", "<u4"), ("s", "<u4"),
 class Chunker:
     """mean and longest: bytes of a chunk. A run of repeated chunks counts from `least` bytes on."""
 
-    mean: int = 48
+    mean: int = 32
     longest: int = 1024
     least: int = 100
 
