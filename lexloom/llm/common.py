@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Stands for a null doc_id where documents are ordered: after every other document.
@@ -33,6 +33,23 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sampled(rows: DataFrame, group: str, key: str, n: int, most_groups: int = 1000) -> DataFrame:
+    """At most n rows of each group, those with the least hashes of their key, in column __turn's order.
+
+    The groups are counted first (a few numbers reach the driver), so that each task drops what lies above the share of
+    hashes that n rows can need; then one group's task sorts little more than n rows, however large the group is.
+    """
+    counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).limit(most_groups + 1).collect()
+    if len(counts) > most_groups:
+        raise ValueError(f"more than {most_groups} groups")
+    if not counts:
+        return rows.withColumn("__turn", F.lit(1))
+    bars = F.create_map(*(F.lit(x) for r in counts for x in (r[group], int(min(1.0, (n + 6 * n**0.5 + 40) / r["n"]) * (1 << 40)))))
+    few = rows.filter(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 40)) < F.try_element_at(bars, F.col(group)))
+    turn = F.row_number().over(Window.partitionBy(group).orderBy(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 40)), key))
+    return few.withColumn("__turn", turn).filter(F.col("__turn") <= n)
+
+
 def width(spark: SparkSession) -> int:
     """How many partitions a shuffle gets."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -7,10 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import bytes_of, runs
+from lexloom.llm.common import bytes_of, runs, sampled
 
 UNDETERMINED = "und"
 #: Bytes of an n-gram.
@@ -126,8 +126,7 @@ def sample(docs: DataFrame, usable: Column, per_language: int, longest: int, id_
     """
     size = F.octet_length(text_col)
     able = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (size > 0) & (size <= longest))
-    turn = F.row_number().over(Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col))
-    ids = [r[0] for r in able.select(id_col, lang_col, turn.alias("__turn")).filter(F.col("__turn") <= per_language).select(id_col).distinct().collect()]
+    ids = [r[0] for r in sampled(able.select(id_col, lang_col), lang_col, id_col, per_language).select(id_col).distinct().collect()]
     if not ids:
         return []
     rows = able.filter(F.col(id_col).isin(ids)).select(id_col, lang_col, text_col).collect()

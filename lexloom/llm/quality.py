@@ -7,9 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.llm.common import sampled
+
 #: A text is compressed in blocks of so many bytes, each from the dictionary alone, so that long texts are judged by it too.
 BLOCK = 4096
 
@@ -91,8 +93,7 @@ def sample(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int, l
     """
     marks = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("__d")).agg(F.min(label_col).alias("__y"))
     texts = docs.filter(usable & (F.octet_length(text_col) <= longest)).select(F.col(id_col).cast("long").alias("__d"), F.col(text_col).alias("__text"))
-    turn = F.row_number().over(Window.partitionBy("__y").orderBy(F.xxhash64("__d"), "__d"))
-    ids = {r[0]: int(r[1]) for r in texts.select("__d").join(marks, "__d").distinct().withColumn("__turn", turn).filter(F.col("__turn") <= per_class).select("__d", "__y").collect()}
+    ids = {r[0]: int(r[1]) for r in sampled(texts.select("__d").join(marks, "__d").distinct(), "__y", "__d", per_class).select("__d", "__y").collect()}
     if not ids:
         return []
     rows = texts.filter(F.col("__d").isin(list(ids))).collect()
