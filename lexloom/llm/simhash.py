@@ -209,7 +209,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, budget: int = 3, seed:
     classes = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(classes.select("fp"), budget))
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written, so that both sides of the join are plain shuffles and a large component can be split
+    smallest = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     named = rooted.join(smallest, "root").select(F.col("fp").alias("__fp"), "component_id")
     return found.join(named, found["fp"] == named["__fp"]).select("doc_id", "fp", "component_id")
 
@@ -274,7 +275,8 @@ def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float
     classes = found.groupBy("fp").agg(F.min(F.struct("__d", "__t")).alias("least"), F.min(F.struct("m", "sketch")).alias("one"))
     roots = components(wide_links(classes.select("fp", "one.m", "one.sketch"), budget, int(np.ceil((similarity - slack) * sketch)), keys))
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    # written, so that both sides of the join are plain shuffles and a large component can be split
+    smallest = materialize(rooted.groupBy("root").agg(F.min("least").alias("first")))
     named = rooted.join(smallest, "root").select(F.col("fp").alias("__fp"), "first")
     rows = found.groupBy("__d", "__t", "fp").agg(F.count(F.lit(1)).alias("n")).join(named, F.col("fp") == F.col("__fp"))
     rows = materialize(rows.select("__d", "__t", "n", (F.struct("__d", "__t") == F.col("first")).alias("stays")))
