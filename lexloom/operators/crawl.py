@@ -122,7 +122,8 @@ def host_allowed(host: Column, allowed: Column) -> Column:
 
 
 def robots_rules(files: DataFrame, agent: str) -> DataFrame:
-    """(host, allow, path) of robots.txt files (host, body) that hold for an agent: its own groups if one precedes, else *.
+    """(host, allow, path) of robots.txt files (host, body) that hold for an agent: its own groups, and * groups that none
+    of its own precedes.
 
     The file is folded line by line, as groups depend on order; rows are the rules.
     """

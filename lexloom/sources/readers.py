@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from lexloom import schemas
 from lexloom.functions.cleaning import clean_scan
@@ -21,7 +21,7 @@ from lexloom.functions.text import leading_number, text
 
 def seed(spark: SparkSession, path: str) -> DataFrame:
     """Chunks of a seed file {model, dim, chunks: [...]}, with model and dim. A file without a list of chunks fails."""
-    shape = StructType().add("model", "string").add("dim", "int").add("chunks", f"array<{schemas.CHUNKS.simpleString()}>")
+    shape = StructType().add("model", StringType()).add("dim", IntegerType()).add("chunks", ArrayType(schemas.CHUNKS))
     raw = spark.read.schema(shape).json(path, multiLine=True)
     chunks = F.when(F.col("chunks").isNull(), F.raise_error(F.lit("seed file has no list of chunks"))).otherwise(F.col("chunks"))
     return raw.select("model", "dim", F.explode(chunks).alias("c")).select("model", "dim", "c.*")
