@@ -59,7 +59,7 @@ def tokens(c: Column, least: int = 3) -> Column:
 
 def search_tokens(c: Column) -> Column:
     """Lower-cased words for full-text match, without stemming or stop words."""
-    return F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: t != ""))
+    return F.array_distinct(F.array_remove(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), ""))
 
 
 def search_text(title: Column, article: Column, content: Column, longest: int = 40_000) -> Column:
@@ -85,7 +85,8 @@ def short_hash(c: Column, digits: int = 16) -> Column:
 
 def signature(c: Column, longest: int = 180) -> Column:
     """What duplicates are compared by: the first characters with white space collapsed."""
-    return F.substring(collapse_space(text(c)), 1, longest)
+    start = collapse_space(F.substring(text(c), 1, 4 * longest))  # nearly always enough; else the whole text is collapsed
+    return F.when(F.length(start) > longest, F.substring(start, 1, longest)).otherwise(F.substring(collapse_space(text(c)), 1, longest))
 
 
 def ratio_of(c: Column, characters: str = r"[\u0600-\u06FF]") -> Column:

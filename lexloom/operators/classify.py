@@ -48,7 +48,8 @@ def classify(stories: DataFrame, forms: DataFrame, keywords: DataFrame, boosts:
     fallback without confidence; a known chosen form is taken; after a judgment a form for that stage leads; without any
     hit the fallback of the likelier track is taken; else the best form, with high confidence from a score of 6.
     """
-    s = normalize_letters(text("story"))
+    stories = stories.withColumn("__s", normalize_letters(text("story")))
+    s = F.col("__s")
     told = stories.withColumns({"__judged": F.coalesce("has_judgment", F.lit(False)) | s.rlike(V.JUDGMENT), "__refused": is_refused(F.col("story")), "__crime": s.rlike(V.CRIMINAL_HINT)})
     criminal = s.rlike(V.CRIMINAL_AFTER_JUDGMENT)
     forced = F.when(s.rlike(V.BARRED), "bar-prosecution").when(s.rlike(V.BY_DEFAULT), F.when(criminal, "criminal-default").otherwise("objection-default")).otherwise(F.when(criminal, "criminal-appeal").otherwise("civil-appeal"))

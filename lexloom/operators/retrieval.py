@@ -6,8 +6,14 @@ they are (BROADCAST_QUESTIONS); beyond that the joins are left to the optimizer.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from lexloom.functions import fixed as V
 from lexloom.functions.authority import authority_weight
@@ -86,12 +92,61 @@ def any_term(questions: DataFrame, chunks: DataFrame, limit: int = FTS_LIMIT, te
 def nearest_by_cosine(questions: DataFrame, chunks: DataFrame, limit: int = VECTOR_LIMIT, places: int = 6) -> DataFrame:
     """(question_id, id, semantic, rank): exact cosine top-k of each question's vector over all embedded rows.
 
-    The few question vectors go to the rows, not the rows to them; norms of questions are computed once.
+    A few questions travel to the rows as one matrix: a task multiplies each Arrow batch with it and passes on the best
+    `limit` rows a question, so what is shuffled does not follow the corpus. More than BROADCAST_QUESTIONS are joined.
+    Ranks follow the rounded score, ties the id. Vectors of another length count as -1.
     """
-    asked = questions.select("question_id", F.col("vector").alias("__q")).withColumn("__n", norm(F.col("__q")))
-    scored = chunks.filter(is_embedded(F.col("embedding"))).select("id", "embedding").join(small(asked))
-    scored = scored.select("question_id", "id", F.round(cosine(F.col("embedding"), F.col("__q"), F.col("__n")), places).alias("semantic"))
-    return top(scored, "question_id", [F.desc("semantic"), F.col("id")], limit)
+    rows = chunks.filter(is_embedded(F.col("embedding"))).select("id", "embedding")
+    asked = questions.select("question_id", F.col("vector").cast("array<double>").alias("__q"))
+    few = asked.limit(BROADCAST_QUESTIONS + 1).collect()
+    if len(few) > BROADCAST_QUESTIONS:
+        scored = rows.join(asked.withColumn("__n", norm(F.col("__q"))))
+        scored = scored.select("question_id", "id", F.round(cosine(F.col("embedding"), F.col("__q"), F.col("__n")), places).alias("semantic"))
+        return top(scored, "question_id", [F.desc("semantic"), F.col("id")], limit)
+    by_size: dict[int, list[int]] = {}
+    for i, r in enumerate(few):
+        by_size.setdefault(len(r["__q"] or ()), []).append(i)
+    units = {n: np.array([few[i]["__q"] for i in places_], float).reshape(len(places_), n) for n, places_ in by_size.items()}
+    units = {n: m / np.where((size := np.linalg.norm(m, axis=1, keepdims=True)) > 0, size, 1) for n, m in units.items()}
+    zero = {n: ~m.any(axis=1) for n, m in units.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, vectors = batch.column(0), batch.column(1)
+            sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+            found = np.full((len(few), batch.num_rows), -1.0)
+            for n in np.unique(sizes):
+                if int(n) in units:
+                    at = np.flatnonzero(sizes == n)
+                    m = np.nan_to_num(vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)).reshape(len(at), int(n))
+                    length = np.linalg.norm(m, axis=1)
+                    score = units[int(n)] @ (m / np.where(length > 0, length, 1)[:, None]).T
+                    score[:, length == 0] = -1
+                    score[zero[int(n)]] = -1
+                    found[np.ix_(by_size[int(n)], at)] = score
+            found = np.round(found, places)
+            order = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+            question, row = [], []
+            for q in range(len(few)):
+                best = np.lexsort((order, -found[q]))[:limit] if batch.num_rows <= 4 * limit else _first(found[q], order, limit)
+                question.append(np.full(len(best), q, np.int32))
+                row.append(best)
+            q, r = np.concatenate(question), np.concatenate(row)
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), ids.take(pa.array(r)), pa.array(found[q, r], pa.float64())], ["__i", "id", "semantic"])
+
+    if not few:
+        return asked.join(rows.select("id"), F.lit(False)).select("question_id", "id", F.lit(0.0).alias("semantic"), F.lit(1).alias("rank"))
+    names = asked.sparkSession.createDataFrame([(i, r["question_id"]) for i, r in enumerate(few)], StructType([StructField("__i", IntegerType()), asked.schema["question_id"]]))
+    schema = StructType([StructField("__i", IntegerType()), StructField("id", chunks.schema["id"].dataType), StructField("semantic", DoubleType())])
+    best = top(rows.mapInArrow(run, schema), "__i", [F.desc("semantic"), F.col("id")], limit)
+    return best.join(F.broadcast(names), "__i").select("question_id", "id", "semantic", "rank")
+
+
+def _first(score: np.ndarray, order: np.ndarray, n: int) -> np.ndarray:
+    """Indices of the n best of many: all that reach the n-th score, then by score and order."""
+    bar = -np.partition(-score, n - 1)[n - 1]
+    able = np.flatnonzero(score >= bar)
+    return able[np.lexsort((order[able], -score[able]))[:n]]
 
 
 def bounded_rerank(question_id: int, chunks: DataFrame, vector: list[float], lexical: Column, pool: int = LEXICAL_POOL, total: int = POOL, limit: int = VECTOR_LIMIT, places: int = 6) -> DataFrame:
@@ -106,10 +161,13 @@ def bounded_rerank(question_id: int, chunks: DataFrame, vector: list[float], lex
     return chunks.drop("embedding").join(F.broadcast(best), "id")
 
 
-def lexical_overlap(question: Column, title: Column, content: Column) -> Column:
-    """Share of the question's words (repeats count) that title or content contain."""
-    words = tokens(question)
-    hay = F.concat_ws("\n", normalize(text(title)), normalize(text(content)))
+def haystack(title: Column, content: Column) -> Column:
+    """What lexical overlap looks into."""
+    return F.concat_ws("\n", normalize(text(title)), normalize(text(content)))
+
+
+def lexical_overlap(words: Column, hay: Column) -> Column:
+    """Share of a question's words (repeats count) that a haystack contains."""
     return F.when(F.size(words) > 0, F.size(F.filter(words, lambda t: F.contains(hay, t))) / F.size(words)).otherwise(F.lit(0.0))
 
 
@@ -125,9 +183,11 @@ def rank(candidates: DataFrame, limit: int = TOP, places: int | None = None) ->
     full-text rows stay, others above KEEP_SCORE. If an exact row's title names the law asked for, rows with the same
     article of another law go. Then the best `limit` by score, ties by place.
     """
-    refs = article_refs(F.col("question"))
-    scored = candidates.withColumn("refs", refs).withColumn("exact", article_score(F.col("refs"), F.col("article_number"), F.col("source_title")))
-    score = fused_score(F.col("exact"), F.coalesce(F.col("semantic"), F.lit(0.0)), lexical_overlap(F.col("question"), F.col("source_title"), F.col("content")), authority_weight(F.col("source_type"), F.col("source_title")), is_official_url(F.col("source_url")))
+    if "hay" not in candidates.columns:
+        candidates = candidates.withColumn("hay", haystack(F.col("source_title"), F.col("content")))
+    asked = candidates.select("question_id", "question").distinct().withColumns({"refs": article_refs(F.col("question")), "words": tokens(F.col("question"))}).drop("question")
+    scored = candidates.join(asked, "question_id").withColumn("exact", article_score(F.col("refs"), F.col("article_number"), F.col("source_title")))
+    score = fused_score(F.col("exact"), F.coalesce(F.col("semantic"), F.lit(0.0)), lexical_overlap(F.col("words"), F.col("hay")), authority_weight(F.col("source_type"), F.col("source_title")), is_official_url(F.col("source_url")))
     kind = F.when(F.col("exact") >= V.EXACT_PLAIN, "exact_article").when(F.col("match_kind") == "exact_article", "fts").otherwise(F.col("match_kind"))
     scored = scored.withColumns({"score": score if places is None else F.round(score, places), "match_kind": kind})
     same = Window.partitionBy("question_id", "id")
@@ -138,7 +198,7 @@ def rank(candidates: DataFrame, limit: int = TOP, places: int | None = None) ->
     names = (F.col("match_kind") == "exact_article") & F.exists(hinted, lambda r: F.contains(title, r["law_hint"]))
     other = (F.length(art) <= 6) & F.exists(hinted, lambda r: ((art == r["number"]) | (art == F.concat(r["number"], F.lit(V.REPEATED)))) & ~F.contains(title, r["law_hint"]))
     kept = kept.withColumn("named", F.max(F.coalesce(names, F.lit(False))).over(Window.partitionBy("question_id"))).filter(~(F.col("named") & F.coalesce(other, F.lit(False))))
-    return top(kept, "question_id", [F.desc("score"), F.col("first_pos")], limit).drop("refs", "first_pos", "turn", "named")
+    return top(kept, "question_id", [F.desc("score"), F.col("first_pos")], limit).drop("refs", "words", "hay", "first_pos", "turn", "named")
 
 
 def retrieve(questions: DataFrame, chunks: DataFrame, limit: int = TOP, places: int | None = None) -> DataFrame:
@@ -158,8 +218,10 @@ def retrieve(questions: DataFrame, chunks: DataFrame, limit: int = TOP, places:
     found = branches[0]
     for b in branches[1:]:
         found = found.unionByName(b)
-    hydrated = chunks.drop("embedding").join(found.select(*columns), "id").join(small(questions.select("question_id", "question")), "question_id")
-    return rank(hydrated, limit, places)
+    found = found.select(*columns)
+    # a row found for many questions is normalised once
+    rows = chunks.drop("embedding").join(found.select("id").distinct(), "id", "left_semi").withColumn("hay", haystack(F.col("source_title"), F.col("content")))
+    return rank(rows.join(found, "id").join(small(questions.select("question_id", "question")), "question_id"), limit, places)
 
 
 def merge_by_distance(rows: DataFrame, group: str, key: str, limit: int = 10) -> DataFrame:

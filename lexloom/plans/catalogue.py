@@ -467,7 +467,9 @@ def v5_hybrid_rank(spark, sf):
     asked, rows = questions(spark, sf), chunks(spark, sf, True)
     exact = retrieval.exact_lookup(asked, rows.drop("embedding")).select("question_id", "id", F.lit("exact_article").alias("match_kind"), F.lit(0.0).alias("semantic"), F.col("rank").alias("pos"))
     near = retrieval.nearest_by_cosine(asked, rows).select("question_id", "id", F.lit("vector").alias("match_kind"), "semantic", (F.lit(2_000_000) + F.col("rank")).alias("pos"))
-    found = rows.drop("embedding").join(exact.unionByName(near), "id").join(F.broadcast(asked.select("question_id", "question")), "question_id")
+    both = exact.unionByName(near)
+    hydrated = rows.drop("embedding").join(both.select("id").distinct(), "id", "left_semi").withColumn("hay", retrieval.haystack(F.col("source_title"), F.col("content")))
+    found = hydrated.join(both, "id").join(F.broadcast(asked.select("question_id", "question")), "question_id")
     return retrieval.rank(found, places=6).select("question_id", "id", "match_kind", "score", F.col("rank").cast("long").alias("rank"))
 
 
