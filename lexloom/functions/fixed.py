@@ -54,6 +54,7 @@ EXACT_PLAIN, EXACT_TITLE, EXACT_OTHER_TITLE, KEEP_SCORE = 0.72, 1.0, 0.35, 0.18
 
 # Topics for which no draft is written.
 REFUSED = "تجاوز(?:\\s+جنسی)?|تجاوز به عنف|جرائم? منافی عفت|مواد مخدر|اعتیاد به مواد|قاچاق مواد"
+REFUSED_STEMS = "تجاوز|منافی عفت|مواد مخدر|اعتیاد به مواد|قاچاق مواد"
 JUDGMENT = "رأی|رای دادگاه|دادنامه|حکم صادر|حکم دادگاه|قرار منع|قرار موقوفی|کیفرخواست صادر"
 CRIMINAL_AFTER_JUDGMENT = "کلاه|سرقت|ضرب|جرح|تهدید|توهین|کیفر|دادسرا|متهم"
 CRIMINAL_HINT = "کلاه|فریب|سرقت|دزد|تهدید|فحش|کتک|جرح"

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import fixed as V
-from lexloom.functions.text import normalize, normalize_letters, text
+from lexloom.functions.text import contains_any, let, normalize, normalize_letters, text
 
 #: Rule tables are short lists that people write; beyond this they are refused rather than broadcast.
 MAX_RULES = 20_000
@@ -23,7 +23,7 @@ def scores(stories: DataFrame, keywords: DataFrame, boosts: DataFrame) -> DataFr
 
     stories: story_id, story. keywords: form_id, keyword. boosts: form_id, pattern, weight. The rules go to the stories.
     """
-    told = stories.select("story_id", normalize_letters(text("story")).alias("__s"))
+    told = stories.select("story_id", normalize_letters(text("story")).alias("__s") if "__s" not in stories.columns else "__s")
     words = keywords.select("form_id", normalize_letters(F.col("keyword")).alias("k")).filter(F.length("k") >= 2)
     weight = F.least(F.lit(4), F.greatest(F.lit(1), F.floor(F.length("k") / 4))).cast("int")
     hits = told.join(_rules(words), F.contains("__s", F.col("k"))).select("story_id", "form_id", weight.alias("w"))
@@ -38,7 +38,7 @@ def top_forms(scored: DataFrame, forms: DataFrame, n: int = 4) -> DataFrame:
 
 
 def is_refused(story: Column) -> Column:
-    return normalize(text(story)).rlike(V.REFUSED)
+    return let(normalize(text(story)), lambda s: contains_any(s, V.REFUSED_STEMS) & s.rlike(V.REFUSED))
 
 
 def classify(stories: DataFrame, forms: DataFrame, keywords: DataFrame, boosts: DataFrame, fallback: str = "claim-money", criminal_fallback: str = "fraud-complaint") -> DataFrame:
@@ -50,9 +50,9 @@ def classify(stories: DataFrame, forms: DataFrame, keywords: DataFrame, boosts:
     """
     stories = stories.withColumn("__s", normalize_letters(text("story")))
     s = F.col("__s")
-    told = stories.withColumns({"__judged": F.coalesce("has_judgment", F.lit(False)) | s.rlike(V.JUDGMENT), "__refused": is_refused(F.col("story")), "__crime": s.rlike(V.CRIMINAL_HINT)})
-    criminal = s.rlike(V.CRIMINAL_AFTER_JUDGMENT)
-    forced = F.when(s.rlike(V.BARRED), "bar-prosecution").when(s.rlike(V.BY_DEFAULT), F.when(criminal, "criminal-default").otherwise("objection-default")).otherwise(F.when(criminal, "criminal-appeal").otherwise("civil-appeal"))
+    told = stories.withColumns({"__judged": F.coalesce("has_judgment", F.lit(False)) | contains_any(s, V.JUDGMENT), "__refused": is_refused(F.col("story")), "__crime": contains_any(s, V.CRIMINAL_HINT)})
+    criminal = contains_any(s, V.CRIMINAL_AFTER_JUDGMENT)
+    forced = F.when(contains_any(s, V.BARRED), "bar-prosecution").when(contains_any(s, V.BY_DEFAULT), F.when(criminal, "criminal-default").otherwise("objection-default")).otherwise(F.when(criminal, "criminal-appeal").otherwise("civil-appeal"))
     ranked = top_forms(scores(stories, keywords, boosts), forms, 5).groupBy("story_id").agg(F.array_sort(F.collect_list(F.struct("rank", "form_id", "score"))).alias("__ranked"))
     known = _rules(forms.select(F.col("form_id").alias("__known")))
     joined = told.withColumn("__forced", forced).join(ranked, "story_id", "left").join(known, F.col("form_id") == F.col("__known"), "left")

@@ -161,7 +161,8 @@ def nearest_name(requests: DataFrame, titles: DataFrame, name: str = "name", tit
 
 def repeated_page_lines(pages: DataFrame, document: str, page: str, content: str, share: float = 0.5, edge: int = 3) -> DataFrame:
     """Headers and footers: lines among a page's first or last `edge` that stand on more than `share` of a document's pages."""
-    lines = pages.select(document, page, F.posexplode(F.split(content, "\n")).alias("i", "line"), F.size(F.split(content, "\n")).alias("n")).filter((F.col("i") < edge) | (F.col("i") >= F.col("n") - edge))
+    cut = pages.select(document, page, F.split(content, "\n").alias("lines")).withColumn("n", F.size("lines"))
+    lines = cut.select(document, page, "n", F.posexplode("lines").alias("i", "line")).filter((F.col("i") < edge) | (F.col("i") >= F.col("n") - edge))
     each = lines.filter(F.trim("line") != "").select(document, page, F.trim("line").alias("line")).distinct().groupBy(document, "line").agg(F.count(F.lit(1)).alias("on"))
     total = pages.groupBy(document).agg(F.count_distinct(page).alias("pages"))
     return each.join(total, document).filter((F.col("pages") > 1) & (F.col("on") > share * F.col("pages")))

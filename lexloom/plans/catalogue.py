@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import anonymize, authority, chunking, references, vectors
 from lexloom.functions import text as T
 from lexloom.operators import citations, classify, corpus, crawl, retrieval, state, stats
+from lexloom.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -33,7 +34,8 @@ def query(sql: str | None = None) -> Callable:
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(rows) if name in ("documents", "pages") else rows
 
 
 def chunks(spark: SparkSession, sf: str, embedded: bool = False) -> DataFrame:
