@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.llm.common import materialize
+
 #: Rules are broadcast while they are at most so many; beyond, they are joined by shuffle.
 BROADCAST_RULES = 100_000
 
@@ -52,7 +54,8 @@ def judge(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", default:
     expressions = expressions.withColumn("__ed", F.sha2(F.concat("__eh", F.lit(separator), "__ep"), 256)).withColumn("__ek", F.substring("__ed", 1, prefix))
     hits = expressions.join(named, (F.col("__ek") == F.col("__rk")) & (F.col("__ed") == F.col("__rd")))
     rank = F.struct(F.length("__rh") + F.length("__rp"), F.length("__rh"), F.when(F.col("__rv") == "block", 1).otherwise(0), F.concat("__rh", "__rp"), "__rv")
-    best = hits.groupBy("__url").agg(F.max(rank).alias("__best"))
+    # written, so that both sides of the last join are plain shuffles and a url that many pages have can be split
+    best = materialize(hits.groupBy("__url").agg(F.max(rank).alias("__best")))
 
     host, path = split_url(F.col(url_col))
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
