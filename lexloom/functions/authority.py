@@ -32,3 +32,12 @@ def authority(source_type: Column, title: Column) -> Column:
 
 def authority_weight(source_type: Column, title: Column) -> Column:
     return authority(source_type, title)["rank"] / 100
+
+
+# Kinds of sources as users see them.
+SOURCE_LABELS = {"statute": "قانون", "advisory_opinion": "نظریه مشورتی", "case_law": "رویه قضایی", "convention": "معاهده", "terminology": "اصطلاح‌نامه"}
+
+
+def source_label(source_type: Column) -> Column:
+    table = F.create_map(*(F.lit(x) for pair in SOURCE_LABELS.items() for x in pair))
+    return F.coalesce(F.try_element_at(table, source_type), source_type)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import fixed as V
-from lexloom.functions.text import ratio_of, signature, text
+from lexloom.functions.text import ratio_of, signature, source_name, text
 
 
 def first_failing(gates: list[tuple[str, Column]]) -> Column:
@@ -159,6 +159,31 @@ def nearest_name(requests: DataFrame, titles: DataFrame, name: str = "name", tit
     return found.groupBy(name).agg(F.min_by(title, F.struct((F.col(title) != F.col(name)).cast("int"), F.length(title), F.col(title))).alias(title))
 
 
+def best_files(records: DataFrame, sources: DataFrame, file: str = "source_file", count: str = "chunks") -> DataFrame:
+    """Records of the best file of each source: sources (file, count) whose normalised names agree are one source, and
+    the file with most chunks (of equals the first by name) stands for it."""
+    named = sources.withColumn("__source", source_name(F.col(file)))
+    best = named.groupBy("__source").agg(F.min_by(file, F.struct(-F.col(count), F.col(file))).alias("__best"))
+    return records.join(best.select(F.col("__best").alias(file)), file, "left_semi")
+
+
+def with_keep_list(records: DataFrame, keep: DataFrame, key: str) -> DataFrame:
+    """Records on a short keep-list (a table that people write), with its columns."""
+    return records.join(F.broadcast(keep), key)
+
+
+def coverage(rows: DataFrame, metadata: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """How many rows find their metadata by key, and how many have each of its columns."""
+    known = metadata.select(key, *columns).dropDuplicates([key]).withColumn("__found", F.lit(1))
+    joined = rows.select(key).join(known, key, "left")
+    return joined.agg(F.count(F.lit(1)).alias("rows"), F.count("__found").alias("matched"), *(F.count(c).alias(c) for c in columns))
+
+
+def collated(rows: DataFrame, column: str, locale: str = "fa") -> DataFrame:
+    """Rows in a language's alphabetical order."""
+    return rows.orderBy(F.collate(F.col(column), locale), column)
+
+
 def repeated_page_lines(pages: DataFrame, document: str, page: str, content: str, share: float = 0.5, edge: int = 3) -> DataFrame:
     """Headers and footers: lines among a page's first or last `edge` that stand on more than `share` of a document's pages."""
     cut = pages.select(document, page, F.split(content, "\n").alias("lines")).withColumn("n", F.size("lines"))

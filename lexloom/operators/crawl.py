@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 from lexloom.functions.chunking import sliding_chunks
 from lexloom.functions.text import content_hash, short_hash
@@ -107,6 +107,26 @@ def absolute(hrefs: Column, base: Column) -> Column:
     return run(hrefs, base)
 
 
+def fetched(pages: DataFrame, get: Callable[[str], tuple[int, str, bytes]], kinds: tuple[str, ...] = ("text/html", "application/xhtml")) -> DataFrame:
+    """pages (url, ...) with ok, is_html and html. get(url) gives status, content type and body, and raises on time-out;
+    an error or a status of 400 and more is not ok, another content type is not HTML. One narrow pass."""
+    schema = StructType([*pages.schema.fields, StructField("ok", BooleanType()), StructField("is_html", BooleanType()), StructField("html", StringType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            rows = []
+            for url in frame["url"]:
+                try:
+                    status, kind, body = get(url)
+                    ok, html = status < 400, kind.lower().startswith(kinds)
+                    rows.append((ok, html, body.decode("utf-8", "replace") if ok and html else None))
+                except Exception:  # whatever the site or the network does is a failed page, to be tried again
+                    rows.append((False, False, None))
+            yield frame.assign(**{n: [r[i] for r in rows] for i, n in enumerate(("ok", "is_html", "html"))})
+
+    return pages.mapInPandas(run, schema)
+
+
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)", 1))
 

@@ -52,6 +52,19 @@ def window_counts(events: DataFrame, key: str, ts: str, seconds: int) -> DataFra
     return events.groupBy(key, window_start(F.col(ts), seconds).alias("window_start")).agg(F.count(F.lit(1)).alias("hits"))
 
 
+def increment(table: DataFrame, events: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
+    """The table (bucket_key, window_start, hits) with the events' hits added to their key and window."""
+    more = window_counts(events, key, ts, seconds).select(F.col(key).cast("string").alias("bucket_key"), "window_start", F.col("hits").cast("long").alias("hits"))
+    both = table.select("bucket_key", "window_start", F.col("hits").cast("long").alias("hits")).unionByName(more)
+    return both.groupBy("bucket_key", "window_start").agg(F.sum("hits").alias("hits"))
+
+
+def owns(rows: DataFrame, keys: DataFrame, key: str, owner: str) -> DataFrame:
+    """keys (key, owner) with `owned`: whether such a row exists."""
+    have = rows.select(F.col(key).alias("__k"), F.col(owner).alias("__o")).distinct()
+    return keys.join(have, (F.col(key) == F.col("__k")) & (F.col(owner) == F.col("__o")), "left").withColumn("owned", F.col("__k").isNotNull()).drop("__k", "__o")
+
+
 def latest(rows: DataFrame, group: str, time: str, tie: str, n: int = 50) -> DataFrame:
     """The latest n rows of each group with their place, oldest first."""
     w = Window.partitionBy(group)

@@ -7,15 +7,18 @@ items questions.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.functions import anonymize, authority, chunking, references, vectors
+from lexloom.functions import anonymize, authority, chunking, cleaning, references, vectors
 from lexloom.functions import text as T
 from lexloom.operators import citations, classify, corpus, crawl, retrieval, state, stats
-from lexloom.session import spread
+from lexloom.session import shared_dir, spread
+from lexloom.sources import sinks
+from lexloom.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -761,6 +764,127 @@ def w11_resolve_matter(spark, sf):
     return state.resolve_matter(e.select("user_id", F.lit("none").alias("matter_id")).distinct(), matters).select("user_id", "resolved")
 
 
+@query("""with old as (select cast(user_id as varchar) as bucket_key, time_bucket(interval '3600 seconds', ts, timestamp '1970-01-01') as window_start from events where event_id % 2 = 0),
+new as (select cast(user_id as varchar) as bucket_key, time_bucket(interval '3600 seconds', ts, timestamp '1970-01-01') as window_start from events where event_id % 2 = 1)
+select bucket_key, window_start, count(*) as hits from (select * from old union all select * from new) group by all""")
+def d3_increment(spark, sf):
+    e = table(spark, sf, "events")
+    old = state.window_counts(e.filter("event_id % 2 = 0"), "user_id", "ts", 3600).select(F.col("user_id").cast("string").alias("bucket_key"), "window_start", "hits")
+    return state.increment(old, e.filter("event_id % 2 = 1"), "user_id", "ts", 3600)
+
+
+@query("select doc_id, sha256(array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(source || ' ' || (doc_id % 97) || ' ' || substr(text, 1, 40000)), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))), ' ')) as hash from documents")
+def d12_search_backfill(spark, sf):
+    rows = sinks.with_search_tokens(chunks(spark, sf))
+    return rows.select(F.col("id").alias("doc_id"), F.sha2(F.array_join(F.array_sort("tokens"), " "), 256).alias("hash"))
+
+
+@query("select doc_id as id, case when doc_id % 3 = 0 then 'old' else 'new' end as content from documents where doc_id % 3 = 0 or lang = 'en'")
+def d21_merge_sources(spark, sf):
+    d = table(spark, sf, "documents")
+    old = d.filter("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.lit("old").alias("content"))
+    return sinks.merge_sources([d.filter("lang = 'en'").select(F.col("doc_id").alias("id"), F.lit("new").alias("content"))], old)
+
+
+@query("select distinct url from pages where page_id % 7 = 0")
+def d16_retry_urls(spark, sf):
+    return sinks.retry_urls(table(spark, sf, "pages"), F.col("page_id") % 7 == 0)
+
+
+@query("""with s as (select source as source_file, count(*) as chunks from documents group by 1), n as (select *, substr(source_file, 1, 4) as k from s),
+b as (select min_by(source_file, {'c': -chunks, 'f': source_file}) as source_file from (select *, lower(replace(source_file, '_', ' ')) as k2 from n) group by k2)
+select doc_id from documents where source in (select source_file from b)""")
+def j9_best_file(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.col("source").alias("source_file"))
+    return corpus.best_files(d, d.groupBy("source_file").agg(F.count(F.lit(1)).alias("chunks"))).select("doc_id")
+
+
+@query("select doc_id, title from documents join (values ('src1', 'one'), ('src5', 'five')) k(source, title) using (source)")
+def j10_keep_list(spark, sf):
+    keep = spark.createDataFrame([("src1", "one"), ("src5", "five")], "source string, title string")
+    return corpus.with_keep_list(table(spark, sf, "documents"), keep, "source").select("doc_id", "title")
+
+
+@query("select count(*) as rows, count(l.doc_id) as matched, count(quality) as quality, count(nullif(toxic, 0)) as toxic from documents d left join labels l using (doc_id)")
+def j13_coverage(spark, sf):
+    meta = table(spark, sf, "labels").withColumn("toxic", F.nullif("toxic", F.lit(0)))
+    return corpus.coverage(table(spark, sf, "documents"), meta, "doc_id", ["quality", "toxic"])
+
+
+@query("select doc_id, doc_id in (select doc_id from labels where quality = 1) as owned from documents")
+def a23_owner_exists(spark, sf):
+    owned = table(spark, sf, "labels").filter("quality = 1").withColumn("owner", F.lit("u"))
+    return state.owns(owned, table(spark, sf, "documents").select("doc_id", F.lit("u").alias("owner")), "doc_id", "owner").select("doc_id", "owned")
+
+
+@query("select n_name, n_nationkey from nation")
+def o13_collated(spark, sf):
+    return corpus.collated(table(spark, sf, "nation").select("n_name", "n_nationkey"), "n_name")
+
+
+@query("""with l as (select conv_id, turn, unnest(regexp_split_to_array(text || chr(10), '\\n')) as line from conversations where turn = 0) select conv_id, count(*) as lines from l where trim(line) <> '' group by conv_id""")
+def t7_reassemble_lines(spark, sf):
+    c = table(spark, sf, "conversations").filter("turn = 0")
+    pieces = c.select("conv_id", F.explode(F.array(F.struct(F.lit(0).alias("i"), F.expr("substring(text, 1, cast(length(text) / 2 as int))").alias("p")), F.struct(F.lit(1).alias("i"), F.expr("substring(text, cast(length(text) / 2 as int) + 1, length(text))").alias("p")))).alias("x")).select("conv_id", "x.*")
+    return jobs.reassemble_lines(pieces, "conv_id", "i", "p").groupBy("conv_id").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query("""with w as (select cast(user_id as varchar) as key, time_bucket(interval '3600 seconds', ts, timestamp '1970-01-01') as window_start, count(*) as hits from events group by all)
+select key, window_start, hits, least(hits, 2) as allowed from w""")
+def t1_stream_decisions(spark, sf):
+    """The rate limit as a stream: all events read as micro-batches with state per key and window, until none is left."""
+    events = table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    place = f"{shared_dir(spark)}/lexloom/{uuid.uuid4().hex}"
+    events.write.parquet(f"{place}/in")
+    stream = spark.readStream.schema(events.schema).parquet(f"{place}/in")
+    jobs.decide(stream, "user_id", "ts", 3600, 2, "60 days").writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema(jobs.DECISION).parquet(f"{place}/out").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return found.groupBy("key", "window_start").agg(F.count(F.lit(1)).alias("hits"), F.count_if("allowed").alias("allowed"))
+
+
+@query("""with i as (select doc_id, substr(text, 1, 200) as head, doc_id % 3 = 0 as preamble, doc_id % 5 = 0 as old from documents)
+select doc_id, preamble or old or not contains(head, 'the ') or length(head) > 150 as unusable from i""")
+def p20_usable_article(spark, sf):
+    head = F.substring("text", 1, 200)
+    body = F.replace(head, F.lit("the "), F.lit("theماده "))
+    unusable = corpus.is_unusable_article(body, F.when(F.col("doc_id") % 3 == 0, "مقدمه"), F.when(F.col("doc_id") % 5 == 0, "قدیم"), F.lit("قانون اساسی"), 10_000)
+    return table(spark, sf, "documents").select("doc_id", (unusable | (F.length(head) > 150)).alias("unusable"))
+
+
+@query("select part.p_partkey, case when regexp_matches(p_type, 'BRASS') then 'statute' when regexp_matches(p_type, 'STEEL') then null when regexp_matches(p_type, 'TIN') then 'opinion' end as class from part")
+def x29_source_class(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", cleaning.source_class(F.col("p_type"), [("BRASS", "statute"), ("STEEL", None), ("TIN", "opinion")]).alias("class"))
+
+
+@query("select doc_id, case when doc_id % 9 = 2 then 'case_law' else 'statute' end as source_type, (doc_id % 9)::int as rank from documents")
+def x30_x31_document_kind(spark, sf):
+    titles = F.array(*map(F.lit, ("قانون کار", "آیین‌نامه", "رای دادگاه", "اساسنامه", "دستورالعمل", "تصویب نامه", "مصوبه", "بخشنامه", "دیگر")))
+    kind = cleaning.document_kind(F.element_at(titles, (F.col("doc_id") % 9 + 1).cast("int")))
+    return table(spark, sf, "documents").select("doc_id", cleaning.source_type_of_kind(kind).alias("source_type"), cleaning.kind_rank(kind).alias("rank"))
+
+
+@query("select doc_id, case when doc_id % 100 = 0 then null else doc_id % 100 end as number from documents")
+def x26_number_words(spark, sf):
+    from lexloom.functions import fixed
+
+    words = {n: w for w, n in reversed([*fixed.ONES.items(), *fixed.TENS.items()])}
+    spelled = F.create_map(*(F.lit(x) for n in range(100) for x in (n, words[n] if n in words else f"{words[n // 10 * 10]} و {words[n % 10]}")))
+    return table(spark, sf, "documents").select("doc_id", T.words_to_number(F.element_at(spelled, (F.col("doc_id") % 100).cast("int"))).cast("long").alias("number"))
+
+
+@query("select doc_id, (1300 + doc_id % 200) || '/' || (1 + doc_id % 12) as date, case when doc_id % 200 < 200 then cast(1300 + doc_id % 200 as varchar) end as year from documents")
+def x27_dates(spark, sf):
+    raw = F.concat(F.lit("مصوب: "), T.persian_digits((1300 + F.col("doc_id") % 200).cast("string")), F.lit("-"), (1 + F.col("doc_id") % 12).cast("string"))
+    return table(spark, sf, "documents").select("doc_id", T.labelled_date(raw).alias("date"), T.year(raw).alias("year"))
+
+
+@query()
+def x57_page_furniture(spark, sf):
+    """Lines that stand at the edge of most pages of a source."""
+    pages = table(spark, sf, "documents").select("source", "doc_id", F.concat(F.lit("HEADER\n"), "text", F.lit("\nFOOTER")).alias("page"))
+    return corpus.repeated_page_lines(pages, "source", "doc_id", "page", edge=1)
+
+
 # ---- analytics over the star schema
 
 
