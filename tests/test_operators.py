@@ -148,6 +148,35 @@ def test_crawl(spark):
     assert crawl.page_chunks(spark.createDataFrame([("u", "x" * 1200)], "url string, text string")).count() == 2
 
 
+def get(url):
+    if "down" in url:
+        raise TimeoutError
+    return (404 if "none" in url else 200), ("text/plain" if "txt" in url else "text/html; charset=utf-8"), b"<p>x</p>"
+
+
+def test_fetch(spark):
+    urls = spark.createDataFrame([("a",), ("a.txt",), ("none",), ("down",)], "url string")
+    found = {r.url: (r.ok, r.is_html, r.html) for r in crawl.fetched(urls, get).collect()}
+    assert found == {"a": (True, True, "<p>x</p>"), "a.txt": (True, False, None), "none": (False, True, None), "down": (False, False, None)}
+
+
+def test_queue_and_requeue(spark):
+    now = dt.datetime(2024, 1, 10)
+    rows = [(f"u{i}", "s", "done" if i < 5 else "pending", now - dt.timedelta(hours=20 + 2 * i), now) for i in range(8)]
+    frontier = spark.createDataFrame(rows, "url string, source_id string, status string, last_crawled_at timestamp, discovered_at timestamp")
+    again = crawl.requeue_stale(frontier, F.lit(now), 1)
+    assert sorted(r.url for r in again.filter("status = 'pending'").collect()) == ["u4", "u5", "u6", "u7"]
+    assert [r.url for r in crawl.take_pending(again, 2).collect()] == ["u4", "u5"]
+
+
+def test_coverage_and_lists(spark):
+    rows = spark.createDataFrame([(1, "Law(1).pdf"), (2, "law.pdf"), (3, "b.pdf")], "id int, source_file string")
+    sources = spark.createDataFrame([("Law(1).pdf", 3), ("law.pdf", 5), ("b.pdf", 1)], "source_file string, chunks int")
+    assert sorted(r.id for r in corpus.best_files(rows, sources).collect()) == [2, 3]
+    found = corpus.coverage(rows, spark.createDataFrame([(1, "x"), (2, None)], "id int, title string"), "id", ["title"]).first()
+    assert tuple(found) == (3, 2, 1)
+
+
 FORMS = [("claim-money", 0, "civil"), ("fraud-complaint", 1, "criminal"), ("civil-appeal", 2, "civil"), ("criminal-appeal", 3, "criminal"), ("damages", 4, "civil")]
 
 
