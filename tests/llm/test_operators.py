@@ -24,6 +24,17 @@ def test_spliced_encodings_equal_whole_ones(chunk, overlap):
             assert token_counts.encode_long(text, encode, chunk, overlap) == encode(text).ids
 
 
+def test_counts_from_pieces_equal_whole_encodings(corpus, monkeypatch):
+    tokenizer = token_counts.load(public_tokenizers.path(WORD))
+    assert token_counts.drops_space(tokenizer) and not token_counts.drops_space(token_counts.load(public_tokenizers.path(BYTE)))
+    monkeypatch.setattr(token_counts, "KEPT_PIECES", 500)
+    monkeypatch.setattr(token_counts, "JOINED", 300)
+    count = token_counts.counter(public_tokenizers.path(WORD), 1 << 15, 256)
+    texts = [*HARD, *(t for _, t, *_ in corpus if t), "a\x1cb\x1d c\x85d\u2028e\u00a0f\u180eg", "x \u0301y \u200bz <|endoftext|>\n<|endoftext|>", "İ \u0130 Σ ς ΑΣ ﬀ"]
+    for at in range(0, len(texts), 7):
+        assert count(texts[at : at + 7]) == [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts[at : at + 7]]
+
+
 def test_op1_equals_the_library(docs, clashing, empty, corpus):
     tokenizer = token_counts.load(public_tokenizers.path(WORD))
     want = sorted((-1 if d is None else d, len((t or "").encode()), len(tokenizer.encode(t or "", add_special_tokens=False).ids)) for d, t, *_ in corpus)
