@@ -603,7 +603,7 @@ def x42_cosine(spark, sf):
 
 
 @query("""with e as (select vec_id, embedding::double[] as v from embeddings), n as (select *, sqrt(list_sum(list_transform(v, lambda x: x * x))) as n from e)
-select vec_id, list_transform(v, lambda x: round(x / n, 5)) as unit from n""")
+select vec_id, list_transform(v, lambda x: case when round(x / n, 5) = 0 then 0.0::double else round(x / n, 5) end) as unit from n""")
 def x43_l2_normalise(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     return e.select("vec_id", vectors.rounded(vectors.l2_normalize(F.col("v")), 5).alias("unit"))
