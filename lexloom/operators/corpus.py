@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import fixed as V
 from lexloom.functions.text import ratio_of, signature, source_name, text
+from lexloom.session import materialize
 
 
 def first_failing(gates: list[tuple[str, Column]]) -> Column:
@@ -138,9 +139,10 @@ def running_before(rows: DataFrame, order: list[Column], value: str, name: str =
     """The sum of value over all rows before this one in `order`.
 
     Two passes: rows are range-partitioned by `order`; each range's total (one row) is summed, and within a range a
-    window runs. So no task gets all rows. `order` must be unique for a defined result.
+    window runs. So no task gets all rows. The ranges are written, as both passes must see the same ones. `order` must be
+    unique for a defined result.
     """
-    dealt = rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
+    dealt = materialize(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
     totals = dealt.groupBy("__range").agg(F.sum(value).alias("__sum"))
     bases = totals.withColumn("__base", F.coalesce(F.sum("__sum").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__sum")
     within = F.coalesce(F.sum(value).over(Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
