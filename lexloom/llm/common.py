@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,20 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexloom.session import shared_dir
+from lexloom.session import materialize
+
+__all__ = ["NO_ID", "Exchange", "blobs_by_kind", "bytes_of", "keyed", "materialize", "mix", "resolve", "runs", "sampled", "width"]
 
 #: Stands for a null doc_id where documents are ordered: after every other document.
 NO_ID = (1 << 63) - 1
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df into the shared folder and read it again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def sampled(rows: DataFrame, group: str, key: str, n: int, most_groups: int = 1000) -> DataFrame:
     """At most n rows of each group, those with the least hashes of their key, in column __turn's order.
 
