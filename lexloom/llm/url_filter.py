@@ -59,5 +59,5 @@ def judge(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", default:
 
     host, path = split_url(F.col(url_col))
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    judged = pages.join(best, pages[url_col] == best["__url"], "left")
+    judged = pages.join(best.hint("merge"), pages[url_col] == best["__url"], "left")  # its compressed size hides what a broadcast would weigh
     return judged.select(*(pages[c] for c in kept), host.alias("host"), path.alias("path"), F.col("__best.col4").alias("rule"), F.coalesce(F.col("__best.__rv"), F.lit(default)).alias("verdict"))
