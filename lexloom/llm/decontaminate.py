@@ -60,12 +60,12 @@ def contaminated(docs: DataFrame, items: DataFrame, *, shingle: int = 5, thresho
     sketches = whole.groupBy("item_id").agg(F.array_sort(F.collect_set(split)).alias("h")).select("item_id", F.explode(F.slice("h", 1, k)).alias("h"), (k - (F.size("h") - need(F.size("h")))).alias("must"))
 
     keys = keyed(docs, id_col, text_col)
-    rows = docs.select(*keys, shingles(docs[text_col], shingle, True).alias("h")).select("__d", "__t", F.explode("h").alias("h"))
+    rows = docs.select(*keys, shingles(docs[text_col], shingle, True).alias("h")).select("__d", "__t", F.explode_outer("h").alias("h"))  # a plain explode infers a filter that would make the shingles twice
     hits = rows.join(small(sketches), "h").groupBy("__d", "__t", "item_id").agg(F.size(F.collect_set("h")).alias("n"), F.max("must").alias("must"))
     found = materialize(hits.filter(F.col("n") >= F.col("must")).select("__d", "__t", "item_id"))
 
     texts = docs.select(*keys, docs[text_col].alias("text")).join(found.select("__d", "__t").distinct(), ["__d", "__t"], "left_semi")
-    parts = texts.select("__d", "__t", F.explode(shingles(F.col("text"), shingle, False)).alias("s"))
+    parts = texts.select("__d", "__t", F.explode_outer(shingles(F.col("text"), shingle, False)).alias("s"))
     shared = parts.join(small(whole), "s").groupBy("__d", "__t", "item_id").agg(F.size(F.collect_set("s")).alias("n_shared"))
     exact = shared.join(found, ["__d", "__t", "item_id"], "left_semi").join(small(sizes), "item_id")
     return exact.filter(F.col("n_shared") >= need(F.col("n_item"))).select("__d", "__t", "item_id", F.col("n_shared").cast("long").alias("n_shared"), "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
