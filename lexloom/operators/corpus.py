@@ -197,7 +197,7 @@ def repeated_page_lines(pages: DataFrame, document: str, page: str, content: str
 
 def lexicon_hits(documents: DataFrame, lexicon: DataFrame, key: str, content: str, least: int = 2) -> DataFrame:
     """Per document: words, words in the lexicon (column word) and their share."""
-    words = documents.select(key, F.explode(F.split(F.lower(content), r"[^\p{L}]+")).alias("word")).filter(F.length("word") >= least)
+    words = documents.select(key, F.explode_outer(F.split(F.lower(content), r"[^\p{L}]+")).alias("word")).filter(F.length("word") >= least)
     marked = words.join(lexicon.select("word", F.lit(1).alias("__hit")).distinct(), "word", "left")
     return marked.groupBy(key).agg(F.count(F.lit(1)).alias("words"), F.count("__hit").alias("hits")).withColumn("rate", F.col("hits") / F.col("words"))
 

@@ -76,7 +76,7 @@ def fts_all_terms(questions: DataFrame, chunks: DataFrame, content: Column, limi
     """
     asked = questions.select("question_id", search_tokens(F.col("question")).alias("terms"))
     terms = asked.select("question_id", F.size("terms").alias("n"), F.explode("terms").alias("token"))
-    index = chunks.select(F.col("id"), F.explode(search_tokens(content)).alias("token"))
+    index = chunks.select(F.col("id"), F.explode_outer(search_tokens(content)).alias("token"))  # a plain explode infers a filter that would cut the text twice
     hits = index.join(small(terms), "token").groupBy("question_id", "id").agg(F.count(F.lit(1)).alias("hits"), F.first("n").alias("n")).filter("hits = n")
     # sizes are joined to the few matches; beside the explode they would be made again for every token
     sized = hits.join(chunks.select("id", F.length(content).alias("size")), "id")
