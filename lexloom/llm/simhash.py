@@ -50,7 +50,8 @@ def _sketched(text: bytes, shingle: int, seed: int, turns: np.ndarray | None) ->
         n += len(hashes)
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         if turns is not None:
-            least = np.minimum(least, [(hashes * a + b).min() for a, b in turns.T])
+            for at in range(0, len(hashes), 1024):
+                least = np.minimum(least, (hashes[at : at + 1024, None] * turns[0] + turns[1]).min(axis=0))
     return np.packbits(2 * ones > n, bitorder="little").view("<u8")[0], least
 
 
@@ -224,7 +225,7 @@ def sketches(docs: DataFrame, *, shingle: int, keys: int, sketch: int, seed: int
             found = [_sketched(x or b"", shingle, seed, turns) for x in batch.column(2).to_pylist()]
             prints = np.array([f for f, _ in found], np.uint64).view(np.int64)
             least = pa.array([m[:keys].view(np.int64) for _, m in found], pa.list_(pa.int64()))
-            bytes_ = pa.array([(m[:sketch] >> np.uint64(56)).astype(np.uint8).tobytes() for _, m in found], pa.binary())
+            bytes_ = pa.array([(m[:sketch] & np.uint64(0xFF)).astype(np.uint8).tobytes() for _, m in found], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints), least, bytes_], ["__d", "__t", "fp", "m", "sketch"])
 
     texts = docs.select(*keyed(docs, id_col, text_col), docs[text_col].cast("string").cast("binary").alias("text"))
@@ -262,12 +263,12 @@ def wide_links(distinct: DataFrame, budget: int, least: int, keys: int = KEYS) -
     return dealt.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
-def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, budget: int = 18, keys: int = KEYS, sketch: int = 64, slack: float = 0.1, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, budget: int = 18, keys: int = KEYS, sketch: int = 128, slack: float = 0.09, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group of near duplicates: that with the smallest id.
 
     Near duplicates have a Jaccard similarity of their word shingles of `similarity` or more, which at 64 bits may put
     their fingerprints `budget` bits apart (see wide_links); `sketch` MinHash bytes then estimate the similarity, and
-    similarity - slack is asked of the estimate, two standard errors below. Equal fingerprints are near duplicates.
+    similarity - slack is asked of the estimate, two and a half standard errors below. Equal fingerprints are near duplicates.
     Rows with a null id come after all others (of two, the one whose text hash is smaller stays); of rows equal in id
     and text one stays. Blank texts are duplicates of each other. Every column stays; an empty table gives no rows.
     """
