@@ -42,17 +42,21 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> np.uint64:
     return _sketched(text, shingle, seed, None)[0]
 
 
-def _sketched(text: bytes, shingle: int, seed: int, turns: np.ndarray | None) -> tuple[np.uint64, np.ndarray | None]:
-    """(SimHash, MinHash values under the permutations x * turns[0] + turns[1])."""
-    ones, n = np.zeros(64, np.int64), 0
+def _sketched(text: bytes, shingle: int, seed: int, turns: np.ndarray | None) -> tuple[np.uint64, np.ndarray | None, int]:
+    """(SimHash, MinHash values under the permutations x * turns[0] + turns[1], digest of the shingle set)."""
+    from xxhash import xxh64_intdigest
+
+    ones, n, held = np.zeros(64, np.int64), 0, []
     least = None if turns is None else np.full(turns.shape[1], (1 << 64) - 1, np.uint64)
     for hashes in shingle_hashes(text, shingle, seed):
         n += len(hashes)
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         if turns is not None:
+            held.append(hashes)
             for at in range(0, len(hashes), 1024):
                 least = np.minimum(least, (hashes[at : at + 1024, None] * turns[0] + turns[1]).min(axis=0))
-    return np.packbits(2 * ones > n, bitorder="little").view("<u8")[0], least
+    digest = xxh64_intdigest(np.unique(np.concatenate(held)).tobytes() if held else b"", seed)
+    return np.packbits(2 * ones > n, bitorder="little").view("<u8")[0], least, digest
 
 
 def fingerprints(docs: DataFrame, *, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,69 +221,135 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, budget: int = 3, seed:
 
 
 def sketches(docs: DataFrame, *, shingle: int, keys: int, sketch: int, seed: int, id_col: str, text_col: str) -> DataFrame:
-    """__d, __t, fp, m (the first `keys` MinHash values) and sketch (a byte of each of `sketch` MinHash values) of every row."""
+    """__d, __t, k (a digest of the shingle set), fp, m (the first `keys` MinHash values) and sketch (a byte of each of `sketch` MinHash values) of every row."""
     turns = np.random.default_rng(seed).integers(0, 1 << 63, (2, max(keys, sketch)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [_sketched(x or b"", shingle, seed, turns) for x in batch.column(2).to_pylist()]
-            prints = np.array([f for f, _ in found], np.uint64).view(np.int64)
-            least = pa.array([m[:keys].view(np.int64) for _, m in found], pa.list_(pa.int64()))
-            bytes_ = pa.array([(m[:sketch] & np.uint64(0xFF)).astype(np.uint8).tobytes() for _, m in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints), least, bytes_], ["__d", "__t", "fp", "m", "sketch"])
+            prints, digests = (np.array([f[i] for f in found], np.uint64).view(np.int64) for i in (0, 2))
+            least = pa.array([m[:keys].view(np.int64) for _, m, _ in found], pa.list_(pa.int64()))
+            bytes_ = pa.array([(m[:sketch] & np.uint64(0xFF)).astype(np.uint8).tobytes() for _, m, _ in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests), pa.array(prints), least, bytes_], ["__d", "__t", "k", "fp", "m", "sketch"])
 
     texts = docs.select(*keyed(docs, id_col, text_col), docs[text_col].cast("string").cast("binary").alias("text"))
-    return texts.mapInArrow(run, "__d long, __t long, fp long, m array<long>, sketch binary")
+    return texts.mapInArrow(run, "__d long, __t long, k long, fp long, m array<long>, sketch binary")
 
 
 def wide_links(distinct: DataFrame, budget: int, least: int, keys: int = KEYS) -> DataFrame:
-    """(a, b) pairs that span the groups of fingerprints within a budget too wide for shared blocks of bits.
+    """(a, b) pairs of nodes that span the groups of fingerprints within a budget too wide for shared blocks of bits.
 
-    distinct: fp, m, sketch. Two documents alike enough share two MinHash values or more; so each fingerprint goes to
-    one trie for every pair of its values, and meets there only what shares that pair. There the tries are joined within
-    the Hamming budget, and a pair counts if `least` bytes of its sketches agree. Dealt by value pair; a task emits at
-    most one link for each fingerprint it holds.
+    distinct: k (the node), fp, m, sketch. Two documents alike enough share two MinHash values or more; so each node
+    goes to one trie for every pair of its values, and meets there only what shares that pair. There the tries are joined
+    within the Hamming budget, and a pair counts if `least` bytes of its sketches agree. Dealt by value pair; a task emits
+    at most one link for each node it holds.
     """
     pairs = [(i, j) for j in range(keys) for i in range(j)]
     partitions = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = F.explode(F.array(*(F.xxhash64(F.lit(i), F.lit(j), F.col("m")[i], F.col("m")[j]) for i, j in pairs))).alias("key")
-    dealt = distinct.select("fp", "sketch", spread).repartition(partitions, "key").select("key", "fp", "sketch")
+    dealt = distinct.select("k", "fp", "sketch", spread).repartition(partitions, "key").select("key", "fp", "k", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(x.column(0).to_numpy(), x.column(1).to_numpy(), np.frombuffer(b"".join(x.column(2).to_pylist()), np.uint8).reshape(x.num_rows, -1)) for x in batches if x.num_rows]
+        held = [(*(x.column(i).to_numpy() for i in range(3)), np.frombuffer(b"".join(x.column(3).to_pylist()), np.uint8).reshape(x.num_rows, -1)) for x in batches if x.num_rows]
         if not held:
             return
-        key, value, sketch = (np.concatenate([h[i] for h in held]) for i in range(3))
+        key, value, node, sketch = (np.concatenate([h[i] for h in held]) for i in range(4))
         held.clear()
         value = value.view(np.uint64)
         order = np.lexsort((value, key))
-        key, value, sketch = key[order], value[order], sketch[order]
+        key, value, node, sketch = key[order], value[order], node[order], sketch[order]
         cuts = np.flatnonzero(np.diff(key)) + 1
         alike = lambda i, j: np.concatenate([(sketch[i[a : a + 65536]] == sketch[j[a : a + 65536]]).sum(axis=1) >= least for a in range(0, len(i), 65536)])
         parent = trie_links(value, np.r_[0, cuts], np.r_[cuts, len(key)], 0, budget, alike)
         child = np.flatnonzero(parent != np.arange(len(key)))
-        yield pa.RecordBatch.from_arrays([pa.array(value[child].view(np.int64)), pa.array(value[parent[child]].view(np.int64))], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(node[child]), pa.array(node[parent[child]])], ["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
+def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard index of two sorted sets is `similarity` or more; two empty sets are equal."""
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
+        return False
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared >= similarity * (len(x) + len(y) - shared) - 1e-9
+
+
+def confirmed_roots(nodes: list[int], sketch: np.ndarray, sets: list[np.ndarray], least: int, similarity: float) -> np.ndarray:
+    """For each node the index of the least one that it reaches over exact links: pairs with `least` equal sketch bytes are
+    compared as sets, unless they are joined already. nodes are in order."""
+    parent = np.arange(len(nodes))
+    for i in range(len(nodes) - 1):
+        for j in i + 1 + np.flatnonzero((parent[i + 1 :] != parent[i]) & ((sketch[i + 1 :] == sketch[i]).sum(axis=1) >= least)):
+            if parent[i] != parent[j] and similar(sets[i], sets[j], similarity):
+                lo, hi = sorted((parent[i], parent[j]))
+                parent[parent == hi] = lo
+    return parent
+
+
+def confirm(docs: DataFrame, roots: DataFrame, classes: DataFrame, *, least: int, similarity: float, shingle: int, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, root) of the components that stay when each link is an exact Jaccard index of `similarity` or more.
+
+    roots: components of the candidate links; an exact component lies within one of them. Every node's set is compared
+    with its root's first; a component that this confirms as a whole is done, however large. The others go, each to one
+    task, to confirmed_roots.
+    """
+    linked = classes.join(roots.select("node", "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), F.col("k") == F.col("node")).select("k", "root", "sketch", F.col("least.__d").alias("__cd"), F.col("least.__t").alias("__ct"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [np.unique(np.concatenate([*shingle_hashes(x or b"", shingle, seed), np.empty(0, "<u8")])).tobytes() for x in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(made, pa.binary())], ["k", "root", "sketch", "hashes"])
+
+    texts = docs.select(*keyed(docs, id_col, text_col), docs[text_col].cast("string").cast("binary").alias("text"))
+    texts = texts.join(linked, (F.col("__d") == F.col("__cd")) & (F.col("__t") == F.col("__ct"))).select("k", "root", "sketch", "text")
+    sets = materialize(texts.mapInArrow(run, "k long, root long, sketch binary, hashes binary"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [similar(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), similarity) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["node", "root", "ok"])
+
+    # written, so that both sides of the join are plain shuffles and a large component can be split
+    pivots = materialize(sets.filter("k = root").dropDuplicates(["root"]).select(F.col("root").alias("p"), F.col("hashes").alias("of_root")))
+    star = sets.filter("k <> root").join(pivots, F.col("root") == F.col("p")).select("k", "root", "hashes", "of_root")
+    star = materialize(star.mapInArrow(compare, "node long, root long, ok boolean"))
+    open_ = star.filter("not ok").select(F.col("root").alias("o")).distinct()
+
+    def settle(group: pa.Table) -> pa.Table:
+        at = np.argsort(group.column("k").to_numpy())
+        nodes, first = np.unique(group.column("k").to_numpy()[at], return_index=True)
+        rows = group.take(pa.array(at[first]))
+        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(nodes), -1)
+        parent = confirmed_roots(nodes, sketch, [np.frombuffer(x.as_buffer(), "<u8") for x in rows.column("hashes")], least, similarity)
+        child = np.flatnonzero(parent != np.arange(len(nodes)))
+        return pa.table({"node": nodes[child], "root": nodes[parent[child]]})
+
+    settled = sets.join(open_, F.col("root") == F.col("o"), "left_semi").groupBy("root").applyInArrow(settle, "node long, root long")
+    whole = star.join(open_, F.col("root") == F.col("o"), "left_anti").select("node", "root").distinct()
+    return materialize(whole.unionByName(settled))
+
+
 def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, budget: int = 18, keys: int = KEYS, sketch: int = 128, slack: float = 0.09, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group of near duplicates: that with the smallest id.
 
     Near duplicates have a Jaccard similarity of their word shingles of `similarity` or more, which at 64 bits may put
-    their fingerprints `budget` bits apart (see wide_links); `sketch` MinHash bytes then estimate the similarity, and
-    similarity - slack is asked of the estimate, two and a half standard errors below. Equal fingerprints are near duplicates.
+    their fingerprints `budget` bits apart (see wide_links). `sketch` MinHash bytes estimate the similarity, and
+    similarity - slack of the estimate, two and a half standard errors below, makes a candidate; a candidate is a link
+    only if its shingle sets confirm it (see confirm). Texts with equal shingle sets are one node.
     Rows with a null id come after all others (of two, the one whose text hash is smaller stays); of rows equal in id
     and text one stays. Blank texts are duplicates of each other. Every column stays; an empty table gives no rows.
     """
     found = materialize(sketches(docs, shingle=shingle, keys=keys, sketch=sketch, seed=seed, id_col=id_col, text_col=text_col))
-    classes = found.groupBy("fp").agg(F.min(F.struct("__d", "__t")).alias("least"), F.min(F.struct("m", "sketch")).alias("one"))
-    roots = components(wide_links(classes.select("fp", "one.m", "one.sketch"), budget, int(np.ceil((similarity - slack) * sketch)), keys))
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    classes = found.groupBy("k").agg(F.min(F.struct("__d", "__t")).alias("least"), F.min(F.struct("fp", "m", "sketch")).alias("one")).select("k", "least", "one.*")
+    agreed = int(np.ceil((similarity - slack) * sketch))
+    roots = components(wide_links(classes.select("k", "fp", "m", "sketch"), budget, agreed, keys))
+    roots = confirm(docs, roots, classes, least=agreed, similarity=similarity, shingle=shingle, seed=seed, id_col=id_col, text_col=text_col)
+    rooted = classes.join(roots, classes["k"] == roots["node"], "left").select("k", "least", F.coalesce("root", "k").alias("root"))
     # written, so that both sides of the join are plain shuffles and a large component can be split
     smallest = materialize(rooted.groupBy("root").agg(F.min("least").alias("first")))
-    named = rooted.join(smallest, "root").select(F.col("fp").alias("__fp"), "first")
-    rows = found.groupBy("__d", "__t", "fp").agg(F.count(F.lit(1)).alias("n")).join(named, F.col("fp") == F.col("__fp"))
+    named = rooted.join(smallest, "root").select(F.col("k").alias("__k"), "first")
+    rows = found.groupBy("__d", "__t", "k").agg(F.count(F.lit(1)).alias("n")).join(named, F.col("k") == F.col("__k"))
     rows = materialize(rows.select("__d", "__t", "n", (F.struct("__d", "__t") == F.col("first")).alias("stays")))
     gone = rows.filter("not stays").select(F.col("__d").alias("__gd"), F.col("__t").alias("__gt"))
     d, t = keyed(docs, id_col, text_col)

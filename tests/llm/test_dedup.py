@@ -257,6 +257,36 @@ def test_stage_keeps_one_of_each_group(spark):
     assert kept == {10 * g for g in range(25)} | {1000 + i for i in range(60)}
 
 
+def test_stage_confirms_links_exactly(spark):
+    from tests.llm.conftest import prose
+
+    rows, under, near = [], set(), set()
+    for g in range(40):  # 1 to 13 of 300 words differ: similarities from 0.64 to 0.97
+        words = prose(7000 + g, 300).split()
+        rows.append((10 * g, " ".join(words)))
+        edits = 1 + g % 13
+        copy = list(words)
+        for k in range(edits):
+            copy[10 + 22 * k] = f"edit{g}x{k}"
+        rows.append((10 * g + 1, " ".join(copy)))
+        (near if jaccard(rows[-2][1], rows[-1][1]) >= 0.8 else under).add(10 * g + 1)
+    assert len(near) > 10 and len(under) > 10
+    # equal fingerprints, different sets: one repeated shingle decides every bit
+    loud = "again " * 400
+    rows += [(1000, loud + prose(1, 60)), (1001, loud + prose(2, 60))]
+    assert simhash.fingerprint(rows[-1][1].encode(), 5) == simhash.fingerprint(rows[-2][1].encode(), 5)
+    assert jaccard(rows[-1][1], rows[-2][1]) < 0.8
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()}
+    assert kept == {d for d, _ in rows} - near
+
+
+def test_confirmed_roots_join_over_a_chain():
+    chain = [np.arange(a, a + 100, dtype=np.uint64) for a in (0, 10, 20, 60)]
+    same = np.zeros((4, 8), np.uint8)
+    assert simhash.confirmed_roots([1, 2, 3, 4], same, chain, 8, 0.8).tolist() == [0, 0, 0, 3]
+
+
 def test_op7_edges(clashing, empty, corpus):
     assert simhash.near_duplicates(empty).count() == 0
     kept = simhash.drop_near_duplicates(clashing)
