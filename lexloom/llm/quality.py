@@ -54,26 +54,33 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * x + self.intercept, -30, 30)))
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-3) -> tuple[float, float]:
-    """Slope and intercept of a logistic fit by Newton steps on the standardised difference; one class only: its smoothed share."""
+def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-3, weights: np.ndarray | None = None) -> tuple[float, float]:
+    """Slope and intercept of a logistic fit by Newton steps on the standardised difference; one class only: its smoothed share.
+
+    weights: what each row stands for, relative to the others (None: the same).
+    """
     if not len(y) or y.min() == y.max():
         p = (y.sum() + 1) / (len(y) + 2)
         return 0.0, float(np.log(p / (1 - p)))
     mean, spread = x.mean(), x.std() or 1.0
     z = np.column_stack([(x - mean) / spread, np.ones(len(x))])
-    w = np.zeros(2)
+    w, v = np.zeros(2), np.ones(len(x)) if weights is None else weights / weights.mean()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        hessian = (z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(2)
-        step = np.linalg.solve(hessian, z.T @ (y - p) - ridge * w)
+        hessian = (z * (v * p * (1 - p))[:, None]).T @ z + ridge * np.eye(2)
+        step = np.linalg.solve(hessian, z.T @ (v * (y - p)) - ridge * w)
         w += step
         if abs(step).max() < 1e-9:
             break
     return float(w[0] / spread), float(w[1] - w[0] * mean / spread)
 
 
-def train(rows: list[tuple[int, bytes]], size: int = 1 << 16, level: int = 3) -> Model:
-    """Fit on (label, text) rows: two of three rows make the dictionaries, the third calibrates the score."""
+def train(rows: list[tuple[int, bytes]], size: int = 1 << 16, level: int = 3, counts: dict[int, int] | None = None) -> Model:
+    """Fit on (label, text) rows: two of three rows make the dictionaries, the third calibrates the score.
+
+    counts: the documents of each class that the rows were drawn from; the calibration gives each class that weight, so
+    the score does not depend on how many were drawn (None: the rows are all there are).
+    """
     parts: dict[int, list[bytes]] = {0: [], 1: []}
     for label, text in rows:
         parts[label].append(text)
@@ -81,17 +88,29 @@ def train(rows: list[tuple[int, bytes]], size: int = 1 << 16, level: int = 3) ->
     made = {y: dictionary([t for i, t in enumerate(texts) if i % 3] or texts, size) for y, texts in parts.items()}
     model = Model(made[1], made[0], level=level)
     x = model.differ([t for _, t in held])
-    model.slope, model.intercept = calibrate(x, np.array([y for y, _ in held], float))
+    stands = {y: (counts[y] if counts else len(texts)) / len(parts[y][::3]) for y, texts in parts.items() if texts}
+    model.slope, model.intercept = calibrate(x, np.array([y for y, _ in held], float), weights=np.array([stands[y] for y, _ in held]))
     return model
 
 
+def marked(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """__d and __y: the label of each labelled document (the lowest of several), without null or other labels."""
+    return labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("__d")).agg(F.min(label_col).alias("__y"))
+
+
+def counted(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str, label_col: str) -> dict[int, int]:
+    """How many usable documents of each class there are, whatever their size. Texts are not read."""
+    ids = docs.filter(usable).select(F.col(id_col).cast("long").alias("__d")).distinct()
+    return {int(r[0]): r[1] for r in ids.join(marked(labels, id_col, label_col), "__d").groupBy("__y").agg(F.count(F.lit(1))).collect()}
+
+
 def sample(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int, longest: int, id_col: str, text_col: str, label_col: str) -> list[tuple[int, bytes]]:
     """(label, text) of at most per_class labelled documents of either class that are usable and at most `longest` bytes.
 
     A document with several labels counts by the lowest, a row with a null or other label not at all. Ids are drawn by
     hash from the labels and document sizes; then only their texts are read.
     """
-    marks = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("__d")).agg(F.min(label_col).alias("__y"))
+    marks = marked(labels, id_col, label_col)
     texts = docs.filter(usable & (F.octet_length(text_col) <= longest)).select(F.col(id_col).cast("long").alias("__d"), F.col(text_col).alias("__text"))
     ids = {r[0]: int(r[1]) for r in sampled(texts.select("__d").join(marks, "__d").distinct(), "__y", "__d", per_class).select("__d", "__y").collect()}
     if not ids:
@@ -101,8 +120,12 @@ def sample(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int, l
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, *, per_class: int = 2000, longest: int = 1 << 15, size: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """A model of label_col of the usable rows, from a sample bounded by per_class and longest (64 MiB a class at most by default)."""
-    return train(sample(docs, labels, usable, per_class, longest, id_col, text_col, label_col), size)
+    """A model of label_col of the usable rows, from a sample bounded by per_class and longest (64 MiB a class at most by default).
+
+    The sample is weighted by the classes' counts over all usable rows.
+    """
+    rows = sample(docs, labels, usable, per_class, longest, id_col, text_col, label_col)
+    return train(rows, size, counts=counted(docs, labels, usable, id_col, label_col) if rows else None)
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", column: str = "score") -> DataFrame:

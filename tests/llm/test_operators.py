@@ -192,6 +192,18 @@ def test_op6_learns_and_handles_edges(spark):
     assert {r.score for r in quality.score(docs, blank).collect()} == {0.5}
 
 
+def test_op6_scores_keep_the_class_shares_beyond_the_cap(spark):
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    rows = [(i, " ".join(word() for _ in range(40)), int(i % 6 > 0)) for i in range(1440)]  # labels that no text tells apart
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows if r[0] < 720], "doc_id long, quality int")
+    for cap in (2000, 60):
+        model = quality.fit(docs, labels, F.lit(True), per_class=cap)
+        scores = [r.score for r in quality.score(docs.filter("doc_id >= 720"), model).collect()]
+        assert abs(np.mean(scores) - 5 / 6) < 0.06, (cap, np.mean(scores))
+
+
 # ---- url filters
 
 
