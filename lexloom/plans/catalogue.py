@@ -688,9 +688,9 @@ def v10_evaluation(spark, sf):
 @query()
 def x39_anonymise(spark, sf):
     """Case files made of conversations: names in persons are redacted in the description."""
-    c = table(spark, sf, "conversations").filter("turn = 0 or turn = 1")
+    c = table(spark, sf, "conversations")
     person = F.struct(F.col("role").alias("role"), F.concat(F.lit("Name"), "conv_id").alias("fullName"))
-    record = F.to_json(F.struct(F.array(person).alias("persons"), F.concat(F.lit("Name"), "conv_id", F.lit(" said "), F.substring("text", 1, 50)).alias("description")))
+    record = F.to_json(F.struct(F.array(person).alias("persons"), F.concat(F.lit("Name"), "conv_id", F.lit(" said "), "text").alias("description")))
     return c.select("conv_id", "turn", anonymize.anonymized()(record).alias("c")).select("conv_id", "turn", "c.content", "c.title")
 
 

@@ -301,3 +301,15 @@ def test_excerpts_and_prompts(spark):
     assert [r.excerpt for r in rows] == ["alpha one", "alp"]
     source = spark.createDataFrame([(1, 1, "T", "5", "content here")], "question_id int, rank int, source_title string, article_number string, content string")
     assert citations.source_lines(source).first().sources == "[1] T — 5\ncontent here"
+
+
+def test_x39_anonymises_whole_texts_of_all_turns(spark, tmp_path):
+    from lexloom.plans import catalogue
+
+    rows = [(c, t, "user", "word " * 40 + f"and Name{c} left") for c in (1, 2) for t in range(5)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = catalogue.QUERIES["x39_anonymise"](spark, str(tmp_path)).collect()
+    assert sorted((r.conv_id, r.turn) for r in found) == [r[:2] for r in rows]
+    for r in found:
+        text = json.loads(r.content)["description"]
+        assert text.count("word") == 40 and text.endswith("left") and f"Name{r.conv_id}" not in text
