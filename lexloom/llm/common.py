@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lexloom.session import materialize
 
-__all__ = ["NO_ID", "Exchange", "blobs_by_kind", "bytes_of", "keyed", "materialize", "mix", "resolve", "runs", "sampled", "width"]
+__all__ = ["NO_ID", "Exchange", "blobs_by_kind", "bytes_of", "keyed", "lean", "materialize", "mix", "resolve", "runs", "sampled", "width"]
 
 #: Stands for a null doc_id where documents are ordered: after every other document.
 NO_ID = (1 << 63) - 1
@@ -34,6 +37,33 @@ def sampled(rows: DataFrame, group: str, key: str, n: int, most_groups: int = 10
     return few.withColumn("__turn", turn).filter(F.col("__turn") <= n)
 
 
+def lean(run: Callable) -> Callable:
+    """run, a function over Arrow batches, after which its worker gives back the memory that it no longer uses.
+
+    Workers are kept between tasks and stages, so what an idle one holds is missing to the others of its executor.
+    """
+
+    @functools.wraps(run)
+    def leaner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # a C library without it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return leaner
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = 256, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices of at most `rows` rows and `size` bytes of a text or binary column, or of one row."""
+    for batch in batches:
+        offsets = bytes_of(batch.column(column))[1]
+        for i, j in runs(offsets, size):
+            for at in range(i, j, rows):
+                yield batch.slice(at, min(rows, j - at))
+
+
 def width(spark: SparkSession) -> int:
     """How many partitions a shuffle gets."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import bytes_of, runs, sampled
+from lexloom.llm.common import bytes_of, lean, runs, sampled
 
 UNDETERMINED = "und"
 #: Bytes of an n-gram.
@@ -175,4 +175,4 @@ def predict(docs: DataFrame, model: Model | None, *, text_col: str = "text", lab
             columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*kept, label, score])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(lean(run), schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -12,32 +13,61 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import materialize, resolve
-from lexloom.llm.token_counts import load
+from lexloom.llm.common import lean, materialize, resolve, slices
+from lexloom.llm.token_counts import encode_long, load
 
 #: Both libraries' patterns read letters, numbers and space alike below this; other texts take the .json tokenizer itself.
 _BEYOND = re.compile("[^\x00-ɏ]")
+#: A space between two visible ASCII characters: no word of the pattern goes on over it or looks back from it.
+_CUT = re.compile("(?<=[!-~]) (?=[!-~])")
+#: Characters of a text that are encoded at once.
+STRETCH = 1 << 16
+
+
+def stretches(text: str, size: int = STRETCH) -> Iterator[str]:
+    """A text in pieces that are encoded apart with the ids of the whole: `size` characters or more, up to the next cut."""
+    at = 0
+    while len(text) - at > size:
+        found = _CUT.search(text, at + size)
+        if not found:
+            break
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:] if at else text
+
+
+@functools.cache
+def _quick(ranks: str, specials: tuple[tuple[str, int], ...]):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(resolve(ranks), "rb") as lines:
+        merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens=dict(specials))
 
 
+@functools.cache
 def encoder(path: str, ranks: str | None) -> Callable[[str], np.ndarray]:
-    """Ids of a text by the .json tokenizer at path, special strings in texts as its default.
+    """Ids of a text by the .json tokenizer at path, special strings in texts as its default; one a worker.
 
-    ranks: a .tiktoken file of the same vocabulary, whose quicker library gives the same ids for texts of Latin letters.
+    Texts of any length are encoded stretch by stretch, and a stretch without a cut in overlapping chunks (encode_long).
+    ranks: a .tiktoken file of the same vocabulary, whose quicker library gives the same ids for Latin letters; what it
+    does not take, such as very long runs of one kind of character, and all other texts go to the tokenizer.
     """
     tokenizer = load(path)
-    slow = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-    if not ranks:
-        return slow
-    import base64
+    whole = lambda text: tokenizer.encode(text, add_special_tokens=False)
+    specials = tokenizer.get_added_tokens_decoder()
+    cuts = not any(t.lstrip or t.rstrip or t.single_word or re.search(r"\s", t.content) for t in specials.values())
+    quick = _quick(ranks, tuple(sorted((t.content, i) for i, t in specials.items()))) if ranks else None
 
-    import public_tokenizers
-    import tiktoken
+    def ids(text: str) -> np.ndarray:
+        if quick is not None and len(text) <= 2 * STRETCH and not _BEYOND.search(text):
+            return quick.encode_to_numpy(text, allowed_special="all")
+        return np.array(encode_long(text, whole), np.uint32)
 
-    with open(resolve(ranks), "rb") as lines:
-        merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    specials = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-    quick = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens=specials)
-    return lambda text: slow(text) if _BEYOND.search(text) else np.array(quick.encode(text, allowed_special="all"), np.uint32)
+    return lambda text: np.concatenate([ids(x) for x in stretches(text)]) if cuts and len(text) > STRETCH else ids(text)
 
 
 def encoded(docs: DataFrame, path: str, ranks: str | None, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -45,17 +75,15 @@ def encoded(docs: DataFrame, path: str, ranks: str | None, end_id: int, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, base = encoder(path, ranks), TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                ids = [np.append(encode(x or ""), np.uint32(end_id)) for x in piece.column(1).to_pylist()]
-                n = np.array([len(x) for x in ids], np.int64)
-                starts = base + np.cumsum(n) - n
-                base += int(n.sum())
-                blobs = [x.astype("<u2").tobytes() if x.max() < 1 << 16 else x.astype("<u4").tobytes() for x in ids]
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.full(len(ids), part), pa.int32()), pa.array(starts), pa.array(n), pa.array(blobs, pa.binary())], ["doc_id", "part", "base", "n", "ids"])
+        for piece in slices(batches, 1):
+            ids = [np.append(encode(x or ""), np.uint32(end_id)) for x in piece.column(1).to_pylist()]
+            n = np.array([len(x) for x in ids], np.int64)
+            starts = base + np.cumsum(n) - n
+            base += int(n.sum())
+            blobs = [x.astype("<u2").tobytes() if x.max() < 1 << 16 else x.astype("<u4").tobytes() for x in ids]
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.full(len(ids), part), pa.int32()), pa.array(starts), pa.array(n), pa.array(blobs, pa.binary())], ["doc_id", "part", "base", "n", "ids"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, part int, base long, n long, ids binary")
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, part int, base long, n long, ids binary")
 
 
 def pack(docs: DataFrame, path: str, *, ranks: str | None = None, size: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -75,7 +103,7 @@ def pack(docs: DataFrame, path: str, *, ranks: str | None = None, size: int = 10
     starts = np.cumsum(starts) - starts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 4):
             rows: list[tuple] = []
             for doc, part, base, n, blob in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 ids = np.frombuffer(blob, "<u2" if len(blob) == 2 * n else "<u4").astype("<u4")
@@ -92,7 +120,7 @@ def pack(docs: DataFrame, path: str, *, ranks: str | None = None, size: int = 10
                 yield _batch(rows, with_ids)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return tokens.select("doc_id", "part", "base", "n", "ids").mapInArrow(run, schema + ", ids array<long>" * with_ids)
+    return tokens.select("doc_id", "part", "base", "n", "ids").mapInArrow(lean(run), schema + ", ids array<long>" * with_ids)
 
 
 def _batch(rows: list[tuple], with_ids: bool) -> pa.RecordBatch:

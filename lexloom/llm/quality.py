@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import sampled
+from lexloom.llm.common import lean, sampled
 
 #: A text is compressed in blocks of so many bytes, each from the dictionary alone, so that long texts are judged by it too.
 BLOCK = 4096
@@ -147,4 +147,4 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", column: str
                 found = pa.array(model.score(model.differ(texts)), pa.float64())
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), found], [*kept, column])
 
-    return docs.select(*dict.fromkeys([*kept, text_col])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*kept, text_col])).mapInArrow(lean(run), schema)

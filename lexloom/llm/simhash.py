@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import keyed, materialize
+from lexloom.llm.common import keyed, lean, materialize
 
 #: Node pairs that are expanded at once; a pair of nodes of at most LEAF pairs of members is compared directly.
 FRONT, LEAF = 1 << 18, 64
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, *, shingle: int = 3, seed: int = 42, id_col: s
             found = np.array([fingerprint(x or b"", shingle, seed) for x in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").cast("binary").alias("text")).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -172,7 +172,7 @@ def links(distinct: DataFrame, budget: int = 3) -> DataFrame:
             back = (lambda x: x) if not at else (lambda x, at=np.uint64(at): x >> at | x << np.uint64(64 - int(at)))
             yield pa.RecordBatch.from_arrays([pa.array(back(r[child]).view(np.int64)), pa.array(back(r[parent[child]]).view(np.int64))], ["a", "b"])
 
-    return dealt.repartition(partitions, "b", "v").select("b", "r").mapInArrow(run, "a long, b long")
+    return dealt.repartition(partitions, "b", "v").select("b", "r").mapInArrow(lean(run), "a long, b long")
 
 
 def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
@@ -233,7 +233,7 @@ def sketches(docs: DataFrame, *, shingle: int, keys: int, sketch: int, seed: int
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests), pa.array(prints), least, bytes_], ["__d", "__t", "k", "fp", "m", "sketch"])
 
     texts = docs.select(*keyed(docs, id_col, text_col), docs[text_col].cast("string").cast("binary").alias("text"))
-    return texts.mapInArrow(run, "__d long, __t long, k long, fp long, m array<long>, sketch binary")
+    return texts.mapInArrow(lean(run), "__d long, __t long, k long, fp long, m array<long>, sketch binary")
 
 
 def wide_links(distinct: DataFrame, budget: int, least: int, keys: int = KEYS) -> DataFrame:
@@ -264,7 +264,7 @@ def wide_links(distinct: DataFrame, budget: int, least: int, keys: int = KEYS) -
         child = np.flatnonzero(parent != np.arange(len(key)))
         yield pa.RecordBatch.from_arrays([pa.array(node[child]), pa.array(node[parent[child]])], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
+    return dealt.mapInArrow(lean(run), "a long, b long").filter("a <> b").distinct()
 
 
 def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
@@ -303,7 +303,7 @@ def confirm(docs: DataFrame, roots: DataFrame, classes: DataFrame, *, least: int
 
     texts = docs.select(*keyed(docs, id_col, text_col), docs[text_col].cast("string").cast("binary").alias("text"))
     texts = texts.join(linked, (F.col("__d") == F.col("__cd")) & (F.col("__t") == F.col("__ct"))).select("k", "root", "sketch", "text")
-    sets = materialize(texts.mapInArrow(run, "k long, root long, sketch binary, hashes binary"))
+    sets = materialize(texts.mapInArrow(lean(run), "k long, root long, sketch binary, hashes binary"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,7 +313,7 @@ def confirm(docs: DataFrame, roots: DataFrame, classes: DataFrame, *, least: int
     # written, so that both sides of the join are plain shuffles and a large component can be split
     pivots = materialize(sets.filter("k = root").dropDuplicates(["root"]).select(F.col("root").alias("p"), F.col("hashes").alias("of_root")))
     star = sets.filter("k <> root").join(pivots, F.col("root") == F.col("p")).select("k", "root", "hashes", "of_root")
-    star = materialize(star.mapInArrow(compare, "node long, root long, ok boolean"))
+    star = materialize(star.mapInArrow(lean(compare), "node long, root long, ok boolean"))
     open_ = star.filter("not ok").select(F.col("root").alias("o")).distinct()
 
     def settle(group: pa.Table) -> pa.Table:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import Exchange, blobs_by_kind, bytes_of, keyed, mix, runs, width
+from lexloom.llm.common import Exchange, blobs_by_kind, bytes_of, keyed, lean, mix, runs, width
 
 #: Bytes that the gear hash sees: the width of its 32-bit register.
 WINDOW = 32
@@ -149,7 +149,7 @@ def packed(docs: DataFrame, exchange: Exchange, produce: Callable, keys: tuple[s
             yield from flush()
 
     texts = docs.select(*keyed(docs, id_col, text_col), F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary").alias("b"))
-    return exchange.deal(texts.mapInArrow(run, exchange.schema))
+    return exchange.deal(texts.mapInArrow(lean(run), exchange.schema))
 
 
 def repeated(docs: DataFrame, chunker: Chunker, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,7 +167,7 @@ def repeated(docs: DataFrame, chunker: Chunker, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([pa.array(e["d"]), pa.array(e["t"].astype(np.int64)), pa.array(span)], ["__d", "__t", "span"])
 
     entries = packed(docs, exchange, lambda data, offsets: _chunks(data, offsets, chunker), ("k", "x"), id_col, text_col)
-    return entries.mapInArrow(run, "__d long, __t long, span long").groupBy("__d", "__t").agg(F.collect_list("span").alias("spans"))
+    return entries.mapInArrow(lean(run), "__d long, __t long, span long").groupBy("__d", "__t").agg(F.collect_list("span").alias("spans"))
 
 
 def spans_to_remove(spans: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -223,7 +223,7 @@ def report(texts: DataFrame, spans: DataFrame, least: int) -> DataFrame:
 
     named = spans.select(F.col("__d").alias("__sd"), F.col("__t").alias("__st"), F.col("spans").alias("__spans"))
     joined = texts.join(named, (F.col("__d") == F.col("__sd")) & (F.col("__t") == F.col("__st")), "left").select("doc_id", "b", "__spans")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove(docs: DataFrame, spans: DataFrame, least: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,7 +246,7 @@ def remove(docs: DataFrame, spans: DataFrame, least: int, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays(arrays, columns)
 
     joined = with_spans(docs, spans, id_col, text_col).select(*(F.col(f"`{c}`") for c in columns), "__spans")
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(lean(run), docs.schema)
 
 
 def dedupe(docs: DataFrame, *, chunker: Chunker = Chunker(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import Exchange, blobs_by_kind, bytes_of, keyed, materialize, mix, runs, width
+from lexloom.llm.common import Exchange, blobs_by_kind, bytes_of, keyed, lean, materialize, mix, runs, width
 from lexloom.llm.substring_dedup import GEAR, first_seen, keyed_bytes, report
 
 #: Length of the strings, and of the anchors in them.
@@ -353,7 +353,7 @@ def _asked(docs: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
             yield from flush()
 
     texts = docs.select(*keyed(docs, id_col, text_col), F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary").alias("b"))
-    return exchange.deal(texts.mapInArrow(run, exchange.schema))
+    return exchange.deal(texts.mapInArrow(lean(run), exchange.schema))
 
 
 def _told(asked: DataFrame, buckets: int) -> DataFrame:
@@ -375,7 +375,7 @@ def _told(asked: DataFrame, buckets: int) -> DataFrame:
                 k = p["k"].view(np.int64) if kind == 1 else np.zeros(len(span), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(p["d"]), pa.array(p["t"].astype(np.int64)), pa.array(np.full(len(span), kind, np.int32)), pa.array(span), pa.array(k)], ["__d", "__t", "kind", "span", "k"])
 
-    return asked.mapInArrow(run, "__d long, __t long, kind int, span long, k long")
+    return asked.mapInArrow(lean(run), "__d long, __t long, kind int, span long, k long")
 
 
 def _decided(texts: DataFrame, told: DataFrame, buckets: int, shard: int) -> DataFrame:
@@ -470,8 +470,8 @@ def _decided(texts: DataFrame, told: DataFrame, buckets: int, shard: int) -> Dat
                 span = (p["s"].astype(np.int64) << 32) | p["l"].astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(p["d"]), pa.array(p["t"].astype(np.int64)), pa.array(span)], ["__d", "__t", "span"])
 
-    sent = joined.mapInArrow(send, "bucket int, kind int, entries binary, bytes binary")
-    return sent.repartitionById(buckets, F.col("bucket")).mapInArrow(decide, "__d long, __t long, span long")
+    sent = joined.mapInArrow(lean(send), "bucket int, kind int, entries binary, bytes binary")
+    return sent.repartitionById(buckets, F.col("bucket")).mapInArrow(lean(decide), "__d long, __t long, span long")
 
 
 def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import unicodedata
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import resolve
+from lexloom.llm.common import lean, resolve
 
 #: Characters before a chunk's end whose pre-tokens may still change with what follows (longest special string, contractions).
 GUARD = 32
@@ -59,8 +60,9 @@ def encode_long(text: str, encode: Callable, chunk: int = 1 << 15, overlap: int
     return ids + first.ids[done:]
 
 
+@functools.cache
 def load(path: str, specials: bool = True):
-    """A tokenizer of a .json file. specials: special strings inside texts become their ids, the library's default."""
+    """A tokenizer of a .json file, loaded once a worker. specials: special strings inside texts become their ids, the library's default."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -164,5 +166,5 @@ def token_counts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), n], ["doc_id", "n_bytes", "n_tokens"])
 
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(F.octet_length(docs[text_col]), F.lit(0)).cast("long").alias("n_bytes"), docs[text_col].cast("string").alias("text"))
-    counted = texts.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    counted = texts.mapInArrow(lean(run), "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > F.lit(limit))

@@ -63,6 +63,16 @@ def test_quick_encoder_gives_the_tokenizers_ids(corpus):
         assert list(both[0](text)) == list(both[1](text))
 
 
+def test_long_runs_and_stretches_give_the_tokenizers_ids():
+    path = public_tokenizers.path(BYTE)
+    quick, whole = packing.encoder(path, public_tokenizers.path("byte_bpe_50k.tiktoken")), token_counts.load(path)
+    n = 2_000_000
+    texts = [" " * n, "\n" * n, "a" * n, f"start{' ' * n}<|endoftext|>{'z' * 300_000} end", "many short words, it's 12 of them<|endoftext|> " * 9000, "word \n  word\t" * 20_000, "é naïve " * 40_000, "中文 ab " * 30_000]
+    for text in texts:
+        assert quick(text).tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert "".join(packing.stretches(texts[4], 100)) == texts[4] and max(map(len, packing.stretches(texts[4], 100))) < 200
+
+
 @pytest.mark.parametrize("size", [16, 1024])
 def test_op10_round_trip(clashing, empty, corpus, size):
     path = public_tokenizers.path(BYTE)
