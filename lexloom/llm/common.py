@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lexloom.session import materialize
 
-__all__ = ["NO_ID", "Exchange", "blobs_by_kind", "bytes_of", "keyed", "lean", "materialize", "mix", "resolve", "runs", "sampled", "width"]
+__all__ = ["NO_ID", "Exchange", "blobs_by_kind", "buckets", "bytes_of", "keyed", "lean", "materialize", "mix", "resolve", "runs", "sampled", "width"]
 
 #: Stands for a null doc_id where documents are ordered: after every other document.
 NO_ID = (1 << 63) - 1
@@ -69,6 +69,13 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def buckets(docs: DataFrame, per: int = 64 << 20) -> int:
+    """Into how many parts what is made of docs is dealt: one for every `per` bytes of its input, a shuffle's partitions at least."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return max([width(docs.sparkSession), *(-(-n // per) for n in sizes if n < 1 << 60)])  # beyond: Spark does not know it
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     """Columns __d, __t that name a row: its id (nulls last) and a hash of its text.
 

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.common import keyed, lean, materialize
 
-#: Node pairs that are expanded at once; a pair of nodes of at most LEAF pairs of members is compared directly.
-FRONT, LEAF = 1 << 18, 64
+#: Node pairs that are expanded at once; a pair of nodes of at most LEAF pairs of members is compared directly, COMPARED pairs at once.
+FRONT, LEAF, COMPARED = 1 << 18, 64, 1 << 18
 #: MinHash values of a document that wide_links pairs up: at a similarity of 0.8, two of six are shared but once in 600.
 KEYS = 6
 
@@ -118,15 +118,20 @@ def trie_links(r: np.ndarray, lo: np.ndarray, hi: np.ndarray, top: int, budget:
             continue
         small = ((hi1 - lo1) * (hi2 - lo2) <= LEAF) | (depth >= 64)
         if small.any():
-            a, b, size2 = lo1[small], lo2[small], (hi2 - lo2)[small]
-            count = (hi1 - lo1)[small] * size2
-            which = np.repeat(np.arange(len(a)), count)
-            k = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-            i, j = a[which] + k // size2[which], b[which] + k % size2[which]
-            near = np.flatnonzero((i < j) & (np.bitwise_count(r[i] ^ r[j]) <= budget))
-            if alike is not None and len(near):
-                near = near[alike(i[near], j[near])]
-            parent = _unite(parent, i[near], j[near])
+            first, second, width2 = lo1[small], lo2[small], (hi2 - lo2)[small]
+            pairs = (hi1 - lo1)[small] * width2
+            upto, at = np.cumsum(pairs), 0
+            while at < len(pairs):
+                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + COMPARED, "right")))
+                a, b, size2, count = first[at:end], second[at:end], width2[at:end], pairs[at:end]
+                which = np.repeat(np.arange(len(a)), count)
+                k = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+                i, j = a[which] + k // size2[which], b[which] + k % size2[which]
+                near = np.flatnonzero((i < j) & (parent[i] != parent[j]) & (np.bitwise_count(r[i] ^ r[j]) <= budget))
+                if alike is not None and len(near):
+                    near = near[alike(i[near], j[near])]
+                parent = _unite(parent, i[near], j[near])
+                at = end
         lo1, hi1, lo2, hi2, depth, diff = (x[~small] for x in (lo1, hi1, lo2, hi2, depth, diff))
         if not len(lo1):
             continue
@@ -186,9 +191,10 @@ def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
     before = state(edges)
     for _ in range(rounds if before[0] else 0):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
+        # written, so that both sides of the joins are plain shuffles and a node with very many neighbours can be split
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")))
+        large = materialize(both.filter("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m"))
         small = large.join(least, F.col("u") == F.col("w")).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         edges = materialize(small.filter("u <> v").distinct())
         after = state(edges)
