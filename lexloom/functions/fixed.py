@@ -72,6 +72,26 @@ PERSON_KEPT_KEYS = ["role", "persontype", "legaltype", "nationality", "sex"]
 KINDS = ["قانون", "آیین‌نامه", "رأی", "اساسنامه", "دستورالعمل", "تصویب‌نامه", "مصوبه", "بخشنامه", "سایر"]
 RULING_KIND = "رأی"
 
+# Fixed values: (kind, what its titles start with, in how many first characters one of the words stands); the first that fits.
+KIND_MARKS = [
+    ("قانون", ["قانون"], 0, []),
+    ("آیین‌نامه", ["آيين", "آیین"], 40, ["آيين‌نامه", "آیین‌نامه"]),
+    ("رأی", [], 48, ["دادنامه", "رأي", "رای", "هيأت عمومي", "هیئت عمومی", "هيئت تخصصي", "دیوان عدالت", "ديوان عدالت"]),
+    ("اساسنامه", [], 48, ["اساسنامه"]),
+    ("دستورالعمل", [], 36, ["دستورالعمل"]),
+    ("تصویب‌نامه", ["تصويب", "تصویب"], 40, ["تصويب نامه"]),
+    ("مصوبه", [], 24, ["مصوبه"]),
+    ("بخشنامه", [], 30, ["بخشنامه"]),
+]
+
+# Patterns of a scan's title (in its metadata, at a line's start, near the text's start), of a title among
+# breadcrumbs, of a unified ruling's number and of a date.
+SCAN_NAME, SCAN_START, SCAN_NEAR = "قانون|لایحه|آیین", "قانون|لایحه قانونی|آیین[\\s‌]*نامه", "((?:قانون|لایحه قانونی)[^\\n.]{4,80})"
+CRUMB_NAME, CRUMB_STATUTE, CRUMB_TRAIL = "قانون|رأی|رای|آیین|ماده|وحدت", "^قانون(\\s|$)", "قانون .+> ماده"
+UNIFIED_RULING = "رأ[يی]\\s*وحدت[‌\\s]*رویه\\s*شماره\\s*([۰-۹0-9]+(?:\\s*[–\\-]\\s*[۰-۹0-9]+)?)"
+UNIFIED_RULING_TITLE = ("رأی وحدت رویه شماره ", " هیأت عمومی")
+SOLAR_DATE = "((?:۱۳|۱۴)[۰-۹0-9]{2}(?:[/\\-][۰-۹0-9]{1,2}){0,2})"
+
 # Number words.
 ONES = {
     "صفر": 0, "اول": 1, "یکم": 1, "یک": 1, "دوم": 2, "دو": 2, "سوم": 3, "سه": 3, "چهارم": 4, "چهار": 4, "پنجم": 5, "پنج": 5,

@@ -176,6 +176,24 @@ def test_anonymise():
     assert anonymize.anonymize("[1]") == ("[1]", None) and anonymize.anonymize(None) == (None, None)
 
 
+def test_anonymise_nested_spellings_and_order():
+    case = {"persons": {"fullName": "Zed Who"}, "Full-Name": "n", "notes": [["Zed Who", {"tel": "1", "say": "Zed Who!"}], 5, None]}
+    content, title = anonymize.anonymize(json.dumps(case))
+    assert json.loads(content) == {"persons": [], "notes": [["……", {"say": "……!"}], 5, None]} and title == "پرونده قضایی (هویت حذف‌شده)"
+    deep = {"persons": [{"role": " ", "contact": {"email": "a@b.c"}, "address": {"address": ["Long Street 9", "x"], "city": "Rome"}}], "text": "a@b.c Long Street 9 Rome x"}
+    content, _ = anonymize.anonymize(json.dumps(deep))
+    assert json.loads(content)["text"] == "a@b.c …… Rome x"
+    assert anonymize.named_in([{"fullName": "ab"}, {"fullName": "abc"}, {"fullName": "ab"}, 7, None]) == ["abc", "ab"]
+    assert anonymize.anonymize("") == ("", None) and anonymize.anonymize('{"a":1}') == ('{"a":1,"persons":[]}', "پرونده قضایی (هویت حذف‌شده)")
+
+
+def test_kinds_of_titles(spark):
+    titles = {"قانون کار": "قانون", "آيين دادرسی": "آیین‌نامه", "x" * 20 + " آیین‌نامه": "آیین‌نامه", "شماره ۱ دادنامه": "رأی", "x" * 50 + " دادنامه": "سایر", "متن اساسنامه": "اساسنامه", "یک بخشنامه": "بخشنامه", "": "سایر"}
+    for title, kind in titles.items():
+        assert value(spark, cleaning.document_kind, title) == kind
+    assert value(spark, cleaning.document_kind, None) == "سایر"
+
+
 def test_anonymise_chunks(spark):
     rows = [(1, '{"persons":[{"fullName":"Ali B"}],"x":"Ali B"}', "t", "other"), (2, "plain", "وکیل دادگستری: نام - x", "cases"), (3, "plain", "t", None)]
     found = {r.id: r for r in anonymize.anonymize_chunks(spark.createDataFrame(rows, "id int, content string, source_title string, hf_dataset string"), ["cases"]).collect()}
