@@ -6,20 +6,21 @@ they are (BROADCAST_QUESTIONS); beyond that the joins are left to the optimizer.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from lexloom.functions import fixed as V
 from lexloom.functions.authority import authority_weight
 from lexloom.functions.references import article_refs, article_score, match_values
 from lexloom.functions.text import TOKEN_BREAK, is_official_url, latin_digits, normalize, search_tokens, text, tokens
-from lexloom.functions.vectors import cosine, is_embedded, norm
+from lexloom.functions.vectors import cosine, is_embedded
 
 BROADCAST_QUESTIONS = 2000
 EXACT_LIMIT, FTS_LIMIT, VECTOR_LIMIT, LEXICAL_POOL, POOL, TOP = 80, 30, 30, 1500, 4000, 8
@@ -84,27 +85,67 @@ def fts_all_terms(questions: DataFrame, chunks: DataFrame, content: Column, limi
 
 
 def any_term(questions: DataFrame, chunks: DataFrame, limit: int = FTS_LIMIT, terms: int = 5) -> DataFrame:
-    """The fallback: rows whose content or title contains one of the question's first words of three letters or more."""
+    """The fallback: rows whose content or title contains one of the question's first words of three letters or more.
+
+    The batch's distinct words become one automaton, so a text is read once, however many questions there are; a task
+    passes on the first `limit` ids of each word, as no question takes more.
+    """
     words = F.slice(F.filter(F.split(F.regexp_replace(F.col("question"), r"[^؀-ۿa-zA-Z0-9\s]", " "), r"\s+"), lambda t: F.length(t) >= 3), 1, terms)
-    asked = questions.select("question_id", F.transform(words, F.lower).alias("terms"))
-    found = chunks.withColumns({"__c": F.lower(text("content")), "__t": F.lower(text("source_title"))}).join(small(asked), F.exists("terms", lambda t: F.contains(F.col("__c"), t) | F.contains(F.col("__t"), t)))
-    return top(found, "question_id", [F.col("id")], limit).select("question_id", "id", "rank")
+    asked = questions.select("question_id", F.explode(F.array_distinct(F.transform(words, F.lower))).alias("term"))
+    rows = chunks.select("id", F.lower(text("source_title")).alias("title"), F.lower(text("content")).alias("content"))
+    found = rows.mapInArrow(_holders([r[0] for r in asked.select("term").distinct().collect()], limit), StructType([chunks.schema["id"], StructField("term", StringType())]))
+    least = top(found.distinct(), "term", [F.col("id")], limit).drop("rank")
+    return top(least.join(small(asked), "term").select("question_id", "id").distinct(), "question_id", [F.col("id")], limit).select("question_id", "id", "rank")
+
+
+def _holders(terms: list[str], limit: int) -> Callable:
+    """(id, term) of rows (id, title, content) that contain a term, at most `limit` with the least ids a term and batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        known = ahocorasick.Automaton()
+        for term in terms:
+            known.add_word(term, term)
+        if terms:
+            known.make_automaton()
+        for batch in batches:
+            ids, held = batch.column(0), {}
+            order = pc.sort_indices(ids).to_pylist()
+            titles, contents = (batch.column(i) for i in (1, 2))
+            for row in order if terms else ():
+                # a term that has its rows in this batch already can be found again to no effect
+                for term in {t for column in (titles, contents) for _, t in known.iter(column[row].as_py() or "")}:
+                    at = held.setdefault(term, [])
+                    if len(at) < limit:
+                        at.append(row)
+            taken = pa.array([row for at in held.values() for row in at], pa.int64())
+            yield pa.RecordBatch.from_arrays([ids.take(taken), pa.array([t for t, at in held.items() for _ in at], pa.string())], ["id", "term"])
+
+    return run
 
 
 def nearest_by_cosine(questions: DataFrame, chunks: DataFrame, limit: int = VECTOR_LIMIT, places: int = 6) -> DataFrame:
     """(question_id, id, semantic, rank): exact cosine top-k of each question's vector over all embedded rows.
 
-    A few questions travel to the rows as one matrix: a task multiplies each Arrow batch with it and passes on the best
-    `limit` rows a question, so what is shuffled does not follow the corpus. More than BROADCAST_QUESTIONS are joined.
-    Ranks follow the rounded score, ties the id. Vectors of another length count as -1.
+    Questions travel to the rows as one matrix: a task multiplies each Arrow batch with it and passes on the best `limit`
+    rows a question, so what is shuffled does not follow the corpus. More than BROADCAST_QUESTIONS go in blocks of about
+    that many, one pass each, so that no task holds more. Ranks follow the rounded score, ties the id. Vectors of another
+    length count as -1.
     """
+    n = questions.count()
+    if n <= BROADCAST_QUESTIONS:
+        return _nearest(questions, chunks, limit, places)
+    blocks = -(-n // BROADCAST_QUESTIONS)
+    part = F.pmod(F.xxhash64(F.col("question_id")), F.lit(blocks))
+    return functools.reduce(DataFrame.unionByName, (_nearest(questions.filter(part == i), chunks, limit, places) for i in range(blocks)))
+
+
+def _nearest(questions: DataFrame, chunks: DataFrame, limit: int, places: int) -> DataFrame:
+    """nearest_by_cosine for one block of questions."""
     rows = chunks.filter(is_embedded(F.col("embedding"))).select("id", "embedding")
     asked = questions.select("question_id", F.col("vector").cast("array<double>").alias("__q"))
-    few = asked.limit(BROADCAST_QUESTIONS + 1).collect()
-    if len(few) > BROADCAST_QUESTIONS:
-        scored = rows.join(asked.withColumn("__n", norm(F.col("__q"))))
-        scored = scored.select("question_id", "id", F.round(cosine(F.col("embedding"), F.col("__q"), F.col("__n")), places).alias("semantic"))
-        return top(scored, "question_id", [F.desc("semantic"), F.col("id")], limit)
+    few = asked.collect()
     by_size: dict[int, list[int]] = {}
     for i, r in enumerate(few):
         by_size.setdefault(len(r["__q"] or ()), []).append(i)
@@ -206,21 +247,21 @@ def rank(candidates: DataFrame, limit: int = TOP, places: int | None = None) ->
 def retrieve(questions: DataFrame, chunks: DataFrame, limit: int = TOP, places: int | None = None) -> DataFrame:
     """Hybrid retrieval of a batch: questions (question_id, question and, where vectors are at hand, vector) over chunks.
 
-    Without a vector column the vector branch is left out, as when the model fails.
+    A question that no row answers with all its words gets the rows that hold any of its first ones. Without a vector
+    column, or for a question whose vector is null (a model that failed), the vector branch adds nothing. Candidates are
+    ids; contents are joined to them once.
     """
-    columns = ["question_id", "id", "match_kind", "semantic", "pos"]
     searched = F.concat_ws(" ", text("source_title"), text("article_number"), text("content"))
-    place = lambda branch: F.lit(branch * 1_000_000) + F.col("rank")
+    all_terms = fts_all_terms(questions, chunks, searched)
+    fallback = any_term(questions, chunks).join(all_terms.select("question_id").distinct(), "question_id", "left_anti")
+    hits = {0: ("exact_article", exact_lookup(questions, chunks)), 1: ("fts", all_terms.select("question_id", "id", "rank").unionByName(fallback.select("question_id", "id", "rank")))}
+    if "vector" in questions.columns:
+        hits[2] = ("vector", nearest_by_cosine(questions.filter("vector is not null"), chunks))
     branches = [
-        exact_lookup(questions, chunks).select("question_id", "id", F.lit("exact_article").alias("match_kind"), F.lit(0.0).alias("semantic"), place(0).alias("pos")),
-        fts_all_terms(questions, chunks, searched).select("question_id", "id", F.lit("fts").alias("match_kind"), F.lit(0.0).alias("semantic"), place(1).alias("pos")),
+        rows.select("question_id", "id", F.lit(kind).alias("match_kind"), (F.col("semantic") if kind == "vector" else F.lit(0.0)).alias("semantic"), (F.lit(branch * 1_000_000) + F.col("rank")).alias("pos"))
+        for branch, (kind, rows) in hits.items()
     ]
-    if "vector" in questions.columns:
-        branches.append(nearest_by_cosine(questions, chunks).select("question_id", "id", F.lit("vector").alias("match_kind"), "semantic", place(2).alias("pos")))
-    found = branches[0]
-    for b in branches[1:]:
-        found = found.unionByName(b)
-    found = found.select(*columns)
+    found = functools.reduce(DataFrame.unionByName, branches)
     # a row found for many questions is normalised once
     rows = chunks.drop("embedding").join(found.select("id").distinct(), "id", "left_semi").withColumn("hay", haystack(F.col("source_title"), F.col("content")))
     return rank(rows.join(found, "id").join(small(questions.select("question_id", "question")), "question_id"), limit, places)

@@ -216,11 +216,11 @@ def p5_fts_all_terms(spark, sf):
 
 
 @query(f"""with {CHUNKS}, {QUESTIONS},
-terms as (select question_id, list_transform(list_filter(regexp_split_to_array(regexp_replace(words, '[^\\x{{0600}}-\\x{{06FF}}a-zA-Z0-9]', ' ', 'g'), ' +'), lambda x: length(x) >= 3)[1:5], lambda x: lower(x)) as terms from questions where question_id % 8 = 0)
+terms as (select question_id, list_transform(list_filter(regexp_split_to_array(regexp_replace(words, '[^\\x{{0600}}-\\x{{06FF}}a-zA-Z0-9]', ' ', 'g'), ' +'), lambda x: length(x) >= 3)[1:5], lambda x: lower(x)) as terms from questions)
 select question_id, id, row_number() over (partition by question_id order by id) as rank from terms, chunks
 where len(list_filter(terms, lambda t: contains(lower(content), t) or contains(lower(source_title), t))) > 0 qualify rank <= 30""")
 def p6_any_term(spark, sf):
-    asked = questions(spark, sf).filter("question_id % 8 = 0").select("question_id", F.col("words").alias("question"))
+    asked = questions(spark, sf).select("question_id", F.col("words").alias("question"))
     return retrieval.any_term(asked, chunks(spark, sf)).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -402,12 +402,12 @@ def x54_reset_in(spark, sf):
     return table(spark, sf, "events").select("event_id", T.resets_in(F.col("ts"), 60).alias("reset_in"))
 
 
-@query("""with p as (select doc_id as file_id, doc_id % 20 as user_id, unnest(regexp_split_to_array(text, '\\n')) as para, unnest(range(0, len(regexp_split_to_array(text, '\\n')))) as place from documents where doc_id % 20 < 5),
+@query("""with p as (select doc_id as file_id, doc_id % 20 as user_id, unnest(regexp_split_to_array(text, '\\n')) as para, unnest(range(0, len(regexp_split_to_array(text, '\\n')))) as place from documents),
 h as (select * from p where contains(para, 'worthless') or contains(para, 'inesan')),
 u as (select *, coalesce(sum(length(para)) over (partition by user_id order by file_id, place rows between unbounded preceding and 1 preceding), 0) as used from h)
 select user_id, file_id, place, substr(para, 1, cast(2500 - used as int)) as excerpt from u where used < 2500""")
 def w9_v8_excerpts(spark, sf):
-    files = table(spark, sf, "documents").filter("doc_id % 20 < 5").select((F.col("doc_id") % 20).alias("user_id"), F.col("doc_id").alias("file_id"), F.lit("f").alias("filename"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("content"), F.lit(0).alias("created_at"))
+    files = table(spark, sf, "documents").select((F.col("doc_id") % 20).alias("user_id"), F.col("doc_id").alias("file_id"), F.lit("f").alias("filename"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("content"), F.lit(0).alias("created_at"))
     return retrieval.excerpts(F.lit("worthless inesan"), files).select("user_id", "file_id", F.col("place").cast("long").alias("place"), "excerpt")
 
 
@@ -440,26 +440,24 @@ def v3_nearest(spark, sf):
 
 
 @query(f"""with {CHUNKS}, rows as (select *, contains(lower(content), 'worthless') as hit from chunks where len(embedding) > 10),
-first as (select * from rows where hit order by id limit 15), rest as (select * from rows where id not in (select id from first) order by id limit 40),
-pool as (select * from (select *, 0 as turn from first union all select *, 1 as turn from rest) order by turn, id limit 40),
+first as (select * from rows where hit order by id limit 1500), rest as (select * from rows where id not in (select id from first) order by id limit 4000),
+pool as (select * from (select *, 0 as turn from first union all select *, 1 as turn from rest) order by turn, id limit 4000),
 best as (select id, content, round(list_cosine_similarity(embedding, (select embedding::double[] from embeddings where vec_id = 7)), 6) as semantic from pool order by semantic desc, id limit 30)
 select id, semantic, length(content) as size from best""")
 def v4_bounded_rerank(spark, sf):
     vector = table(spark, sf, "embeddings").filter("vec_id = 7").select(F.col("embedding").cast("array<double>")).first()[0]
-    found = retrieval.bounded_rerank(0, chunks(spark, sf, True), vector, F.contains(F.lower("content"), F.lit("worthless")), 15, 40)
+    found = retrieval.bounded_rerank(0, chunks(spark, sf, True), vector, F.contains(F.lower("content"), F.lit("worthless")))
     return found.select("id", "semantic", F.length("content").alias("size"))
 
 
 _HAY = "lower(source_title || chr(10) || content)"
 
 
-@query(f"""with {CHUNKS}, {QUESTIONS},
-exact as (select question_id, id, 'exact_article' as match_kind, 0.0::double as semantic, row_number() over (partition by question_id order by case source_type when 'statute' then 0 when 'advisory_opinion' then 1 else 2 end, id) as pos
+_EXACT_AND_NEAR = """exact as (select question_id, id, 'exact_article' as match_kind, 0.0::double as semantic, row_number() over (partition by question_id order by case source_type when 'statute' then 0 when 'advisory_opinion' then 1 else 2 end, id) as pos
   from questions join chunks on article_number = cast(question_id % 97 as varchar) qualify pos <= 80),
 vec as (select question_id, id, 'vector' as match_kind, round(list_cosine_similarity(embedding, vector), 6) as semantic, 2000000 + row_number() over (partition by question_id order by round(list_cosine_similarity(embedding, vector), 6) desc, id) as pos
-  from questions, chunks where len(embedding) > 10 qualify pos <= 2000030),
-cand as (select * from exact union all select * from vec),
-toks as (select question_id, list_filter(regexp_split_to_array(question, '[^\\x{{0600}}-\\x{{06FF}}a-zA-Z0-9]+'), lambda t: length(t) >= 3) as toks from questions),
+  from questions, chunks where len(embedding) > 10 qualify pos <= 2000030)"""
+_FUSED = """toks as (select question_id, list_filter(regexp_split_to_array(question, '[^\\x{0600}-\\x{06FF}a-zA-Z0-9]+'), lambda t: length(t) >= 3) as toks from questions),
 scored as (select c.*, article_number = cast(question_id % 97 as varchar) as is_exact,
   round(case when article_number = cast(question_id % 97 as varchar) then 0.72 else 0 end * 1.35 + semantic * 0.55
    + case when len(toks) > 0 then len(list_filter(toks, lambda t: contains(source_title || chr(10) || trim(regexp_replace(content, '[ \\n\\t]+', ' ', 'g')), t))) / len(toks) else 0 end * 0.25
@@ -467,7 +465,10 @@ scored as (select c.*, article_number = cast(question_id % 97 as varchar) as is_
   from cand c join chunks using (id) join toks using (question_id)),
 one as (select *, min(pos) over (partition by question_id, id) as first_pos from scored qualify row_number() over (partition by question_id, id order by score desc, pos) = 1),
 kept as (select *, case when is_exact then 'exact_article' when match_kind = 'exact_article' then 'fts' else match_kind end as kind from one)
-select question_id, id, kind as match_kind, score, row_number() over (partition by question_id order by score desc, first_pos) as rank from kept where kind in ('exact_article', 'fts') or score > 0.18 qualify rank <= 8""")
+select question_id, id, kind as match_kind, score, row_number() over (partition by question_id order by score desc, first_pos) as rank from kept where kind in ('exact_article', 'fts') or score > 0.18 qualify rank <= 8"""
+
+
+@query(f"with {CHUNKS}, {QUESTIONS}, {_EXACT_AND_NEAR}, cand as (select * from exact union all select * from vec), {_FUSED}")
 def v5_hybrid_rank(spark, sf):
     asked, rows = questions(spark, sf), chunks(spark, sf, True)
     exact = retrieval.exact_lookup(asked, rows.drop("embedding")).select("question_id", "id", F.lit("exact_article").alias("match_kind"), F.lit(0.0).alias("semantic"), F.col("rank").alias("pos"))
@@ -478,19 +479,29 @@ def v5_hybrid_rank(spark, sf):
     return retrieval.rank(found, places=6).select("question_id", "id", "match_kind", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+@query(f"""with {CHUNKS}, {QUESTIONS}, {_EXACT_AND_NEAR},
+terms as (select question_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(question), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''))) as token from questions),
+searched as (select id, source_title || ' ' || article_number || ' ' || content as s from chunks),
+held as (select distinct id, length(s) as size, unnest(regexp_split_to_array(lower(s), '[^\\p{{L}}\\p{{N}}]+')) as token from searched),
+whole as (select question_id, id, size, count(*) as hits from held join terms using (token) group by all),
+need as (select question_id, count(*) as n from terms group by 1),
+every as (select question_id, id, row_number() over (partition by question_id order by size, id) as r from whole join need using (question_id) where hits = n qualify r <= 30),
+loose as (select question_id, list_transform(list_filter(regexp_split_to_array(regexp_replace(question, '[^\\x{{0600}}-\\x{{06FF}}a-zA-Z0-9]', ' ', 'g'), ' +'), lambda x: length(x) >= 3)[1:5], lambda x: lower(x)) as terms
+  from questions where question_id not in (select question_id from every)),
+fallback as (select question_id, id, row_number() over (partition by question_id order by id) as r from loose, chunks where len(list_filter(terms, lambda t: contains(lower(content), t) or contains(lower(source_title), t))) > 0 qualify r <= 30),
+cand as (select * from exact union all select question_id, id, 'fts', 0.0::double, 1000000 + r from (select * from every union all select * from fallback) union all select * from vec), {_FUSED}""")
 def v6_retrieve(spark, sf):
-    """All three branches as one plan (the full-text branch included)."""
-    return retrieval.retrieve(questions(spark, sf), chunks(spark, sf, True), places=6).select("question_id", "id", "match_kind", "score", "rank")
+    """All three branches as one plan; questions without a full-text row fall back to any of their words."""
+    return retrieval.retrieve(questions(spark, sf), chunks(spark, sf, True), places=6).select("question_id", "id", "match_kind", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query("""with q as (select vec_id as phrase_id, vec_id // 4 as request_id, embedding::double[] as v from embeddings where vec_id < 20),
+@query("""with q as (select vec_id as phrase_id, vec_id // 4 as request_id, embedding::double[] as v from embeddings),
 near as (select request_id, phrase_id, vec_id as id, 1 - round(list_cosine_similarity(embedding::double[], v), 6) as distance from q, embeddings qualify row_number() over (partition by phrase_id order by round(list_cosine_similarity(embedding::double[], v), 6) desc, vec_id) <= 8),
 best as (select request_id, id, min(distance) as distance from near group by all)
 select request_id, id, round(distance, 6) as distance, row_number() over (partition by request_id order by distance, id) as rank from best qualify rank <= 10""")
 def v7_o7_multi_query(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    asked = e.filter("vec_id < 20").select(F.struct((F.col("vec_id") / 4).cast("long").alias("request_id"), F.col("vec_id").alias("phrase_id")).alias("question_id"), F.col("embedding").alias("vector"))
+    asked = e.select(F.struct((F.col("vec_id") / 4).cast("long").alias("request_id"), F.col("vec_id").alias("phrase_id")).alias("question_id"), F.col("embedding").alias("vector"))
     near = retrieval.nearest_by_cosine(asked, e.withColumnRenamed("vec_id", "id"), 8)
     merged = retrieval.merge_by_distance(near.select("question_id.request_id", "id", (1 - F.col("semantic")).alias("distance")), "request_id", "id")
     return merged.select("request_id", "id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
@@ -651,11 +662,11 @@ def x50_country(spark, sf):
     return table(spark, sf, "nation").select("n_nationkey", T.country(F.col("n_name")).alias("code"), T.country(F.when(F.col("n_nationkey") % 2 == 0, "deu").otherwise("xyz")).alias("iso"))
 
 
-@query("""select conv_id, string_agg('[' || turn || '] ' || role || chr(10) || substr(text, 1, 100), chr(10) || chr(10) order by turn, role, text) as listing from conversations group by conv_id""")
+@query("""select conv_id as question_id, string_agg('[' || (turn + 1) || '] ' || role || ' — ' || (turn + 1) || chr(10) || left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1200), chr(10) || chr(10) order by turn) as sources from conversations group by conv_id""")
 def x53_source_lines(spark, sf):
-    line = F.concat(F.lit("["), F.col("turn").cast("string"), F.lit("] "), "role", F.lit("\n"), F.substring("text", 1, 100))
-    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", line.alias("line")))).alias("l"))
-    return rows.select("conv_id", F.array_join(F.transform("l", lambda s: s["line"]), "\n\n").alias("listing"))
+    """Every turn as a source of its conversation's prompt, as long as a prompt quotes one."""
+    turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("question_id"), (F.col("turn") + 1).alias("rank"), F.col("role").alias("source_title"), (F.col("turn") + 1).cast("string").alias("article_number"), F.col("text").alias("content"))
+    return citations.source_lines(turns).select("question_id", "sources")
 
 
 @query("select doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(source || ' ' || (doc_id % 97) || ' ' || substr(text, 1, 40000)), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))) as tokens from documents")
@@ -700,11 +711,20 @@ def s12_extract_pages(spark, sf):
     return table(spark, sf, "pages").select("page_id", page.alias("p")).select("page_id", "p.title", F.length("p.text").alias("size"), F.size("p.links").alias("links"))
 
 
-@query()
+@query("""with l as (select split_part(split_part(url, '://', 2), '/', 1) as host, page_id from pages),
+n as (select host, unnest([host, host, 'other.invalid', 'sub.' || host]) as to_host, unnest(['/next/' || (page_id + 1), '/same', '/next/' || page_id, '/deep/' || page_id]) as path from l),
+f as (select 'https://' || to_host || path as url, min(host) as source_id from n where to_host <> 'other.invalid' group by 1)
+select url, source_id from f where url not in (select url from pages)""")
 def x12_d7_discover_links(spark, sf):
-    pages = table(spark, sf, "pages").select("url", crawl.host_of(F.col("url")).alias("source_id"), crawl.extracted(F.col("html"))["links"].alias("hrefs"))
+    """Links put into every page: relative, absolute with a fragment, to a foreign host, to a host below, and unusable ones."""
+    host = crawl.host_of(F.col("url"))
+    body = F.concat(
+        F.lit('<a href="/next/'), F.col("page_id") + 1, F.lit('#top">next</a><a href="https://'), host, F.lit('/same#a">same</a><a href="https://other.invalid/next/'), F.col("page_id"), F.lit('">far</a><a href="//sub.'), host,
+        F.lit("/deep/"), F.col("page_id"), F.lit('">below</a><a href="mailto:x@y.z">mail</a><a href="javascript:void(0)">no</a>'),
+    )
+    pages = table(spark, sf, "pages").select(F.regexp_replace("url", "^http:", "https:").alias("url"), host.alias("source_id"), crawl.extracted(F.concat("html", body))["links"].alias("hrefs"))
     found = pages.select("source_id", crawl.absolute(F.col("hrefs"), F.col("url")).alias("links"))
-    sources = table(spark, sf, "pages").select(crawl.host_of(F.col("url")).alias("source_id")).distinct().withColumn("allowed_host", F.col("source_id"))
+    sources = table(spark, sf, "pages").select(host.alias("source_id")).distinct().withColumn("allowed_host", F.col("source_id"))
     return crawl.discovered(found, table(spark, sf, "pages").select("url"), sources)
 
 
@@ -822,11 +842,14 @@ def o13_collated(spark, sf):
     return corpus.collated(table(spark, sf, "nation").select("n_name", "n_nationkey"), "n_name")
 
 
-@query("""with l as (select conv_id, turn, unnest(regexp_split_to_array(text || chr(10), '\\n')) as line from conversations where turn = 0) select conv_id, count(*) as lines from l where trim(line) <> '' group by conv_id""")
+@query("""with l as (select conv_id || '/' || turn as stream, unnest(regexp_split_to_array(text, '\\n')) as line, unnest(range(0, len(regexp_split_to_array(text, '\\n')))) as line_no from conversations)
+select stream, line_no, line from l where trim(line) <> ''""")
 def t7_reassemble_lines(spark, sf):
-    c = table(spark, sf, "conversations").filter("turn = 0")
-    pieces = c.select("conv_id", F.explode(F.array(F.struct(F.lit(0).alias("i"), F.expr("substring(text, 1, cast(length(text) / 2 as int))").alias("p")), F.struct(F.lit(1).alias("i"), F.expr("substring(text, cast(length(text) / 2 as int) + 1, length(text))").alias("p")))).alias("x")).select("conv_id", "x.*")
-    return jobs.reassemble_lines(pieces, "conv_id", "i", "p").groupBy("conv_id").agg(F.count(F.lit(1)).alias("lines"))
+    """Every turn as a stream of pieces of 64 characters that know nothing of lines."""
+    turns = table(spark, sf, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("stream"), "text")
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("text") - 1), F.lit(64))
+    pieces = turns.select("stream", "text", F.explode(starts).alias("at")).select("stream", "at", F.expr("substring(text, at + 1, 64)").alias("piece"))
+    return jobs.reassemble_lines(pieces, "stream", "at", "piece").select("stream", F.col("line_no").cast("long").alias("line_no"), "line")
 
 
 @query("""with w as (select cast(user_id as varchar) as key, time_bucket(interval '3600 seconds', ts, timestamp '1970-01-01') as window_start, count(*) as hits from events group by all)
@@ -842,13 +865,11 @@ def t1_stream_decisions(spark, sf):
     return found.groupBy("key", "window_start").agg(F.count(F.lit(1)).alias("hits"), F.count_if("allowed").alias("allowed"))
 
 
-@query("""with i as (select doc_id, substr(text, 1, 200) as head, doc_id % 3 = 0 as preamble, doc_id % 5 = 0 as old from documents)
-select doc_id, preamble or old or not contains(head, 'the ') or length(head) > 150 as unusable from i""")
+@query("select doc_id, doc_id % 3 = 0 or doc_id % 5 = 0 or not contains(text, 'the ') or length(replace(text, 'the ', 'theماده ')) > 6000 as unusable from documents")
 def p20_usable_article(spark, sf):
-    head = F.substring("text", 1, 200)
-    body = F.replace(head, F.lit("the "), F.lit("theماده "))
-    unusable = corpus.is_unusable_article(body, F.when(F.col("doc_id") % 3 == 0, "مقدمه"), F.when(F.col("doc_id") % 5 == 0, "قدیم"), F.lit("قانون اساسی"), 10_000)
-    return table(spark, sf, "documents").select("doc_id", (unusable | (F.length(head) > 150)).alias("unusable"))
+    body = F.replace("text", F.lit("the "), F.lit("theماده "))
+    unusable = corpus.is_unusable_article(body, F.when(F.col("doc_id") % 3 == 0, "مقدمه"), F.when(F.col("doc_id") % 5 == 0, "قدیم"), F.lit("قانون اساسی"))
+    return table(spark, sf, "documents").select("doc_id", unusable.alias("unusable"))
 
 
 @query("select part.p_partkey, case when regexp_matches(p_type, 'BRASS') then 'statute' when regexp_matches(p_type, 'STEEL') then null when regexp_matches(p_type, 'TIN') then 'opinion' end as class from part")

@@ -56,6 +56,30 @@ def test_ask_from_question_to_audit(spark):
     assert api.ask(questions.drop("vector"), chunks, F.lit(None).cast("timestamp")).sources.count() >= 2
 
 
+def test_any_word_and_the_fallback(spark):
+    rows = [(f"{i:03d}", f"text {i} {'alpha' if i % 2 else 'Beta'} {'gamma' if i == 99 else ''}", None, "statute", "Delta" if i == 98 else "t", None, None) for i in range(100)]
+    chunks = spark.createDataFrame(rows, "id string, content string, embedding array<double>, source_type string, source_title string, article_number string, source_url string").repartition(4)
+    asked = [(1, "ALPHA?"), (2, "bet, gamma"), (3, "delta of xx"), (4, "zz"), (5, None), (6, "one two three four five beta")]
+    questions = spark.createDataFrame(asked, "question_id int, question string")
+    found = retrieval.any_term(questions, chunks).orderBy("question_id", "rank").collect()
+    want = {1: [r[0] for r in rows if "alpha" in r[1]][:30], 2: [r[0] for r in rows if "Beta" in r[1] or "gamma" in r[1]][:30], 3: ["098"]}
+    assert {q: [r.id for r in found if r.question_id == q] for q in {r.question_id for r in found}} == want
+    told = {(r.question_id, r.id) for r in retrieval.retrieve(questions, chunks).collect()}
+    assert {i for q, i in told if q == 2} <= set(want[2]) and {i for q, i in told if q == 3} == {"098"}
+    assert retrieval.any_term(questions.limit(0), chunks).count() == 0
+
+
+def test_nearest_in_blocks_of_questions(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    rows = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(16)]) for i in range(60)], "id int, embedding array<double>")
+    asked = rows.select(F.col("id").alias("question_id"), F.col("embedding").alias("vector"))
+    one = {tuple(r) for r in retrieval.nearest_by_cosine(asked, rows, 5).collect()}
+    monkeypatch.setattr(retrieval, "BROADCAST_QUESTIONS", 7)
+    assert {tuple(r) for r in retrieval.nearest_by_cosine(asked, rows, 5).collect()} == one and len(one) == 300
+
+
 def test_tiers_and_states(spark):
     rows = spark.createDataFrame([(1, None), (2, "DE"), (3, "FR")], "id int, country string")
     ids = lambda df: sorted(r.id for r in df.collect())
