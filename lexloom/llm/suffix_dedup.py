@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import Exchange, blobs_by_kind, bytes_of, keyed, lean, materialize, mix, runs, width
-from lexloom.llm.substring_dedup import GEAR, first_seen, keyed_bytes, report
+from lexloom.llm.common import Exchange, blobs_by_kind, buckets, bytes_of, keyed, lean, materialize, mix, runs
+from lexloom.llm.substring_dedup import GEAR, digests, first_seen, keyed_bytes, report
 
 #: Length of the strings, and of the anchors in them.
 LENGTH, ANCHOR = 100, 32
@@ -24,11 +24,12 @@ LENGTH, ANCHOR = 100, 32
 REACH = LENGTH - ANCHOR
 #: Bytes that are scanned at once, entries that a task holds before it packs them, and bytes of a shard's suffix array.
 RUN, HELD, SHARD = 1 << 20, 1 << 20, 1 << 20
-#: Different contexts in one task beyond which an anchor counts as hot: its windows are then dealt one by one.
-HOT = 256
+#: Different contexts beyond which an anchor is hot, in a task or in all: its windows are then dealt one by one. Up to
+#: that, a few shards hold all its contexts.
+HOT = 1 << 14
 
 PLACE = [("d", "<i8"), ("t", "<u4"), ("s", "<u4"), ("l", "<u4")]
-ASKED = Exchange([("k", "<u8"), ("x", "<u4"), ("h", "u1"), *PLACE], 1).layout
+ASKED = [("k", "<u8"), ("x", "<u8"), ("y", "<u8"), ("h", "u1"), *PLACE]
 WINDOWS = [("k", "<u8"), ("x", "<u8"), *PLACE]
 
 _SEEDED = np.random.default_rng(20240611)
@@ -83,13 +84,14 @@ def anchors(data: np.ndarray, windows: np.ndarray) -> np.ndarray:
 
 
 def contexts(data: np.ndarray, starts: np.ndarray, windows: np.ndarray) -> dict[str, np.ndarray]:
-    """Contexts of the anchors of texts that lie end to end in data: text (number), k, x, start and length in data."""
+    """Contexts of the anchors of texts that lie end to end in data: text (number), k (the anchor's hash, by which they are
+    dealt), x and y (a digest of the bytes, with the anchor's place in them), start and length in data."""
     at = anchors(data, windows)
     text = np.searchsorted(starts, at, "right") - 1
     begin, end = np.maximum(starts[text], at - REACH), np.minimum(starts[text + 1], at + LENGTH)
     hasher = Hasher(data)
-    x = hasher.slices(begin, end) + (at - begin).astype(np.uint64)
-    return {"text": text, "k": hasher.slices(at, at + ANCHOR), "x": (mix(x) >> np.uint64(32)).astype(np.uint32), "start": begin, "l": end - begin}
+    x, y = digests(data, begin, end)
+    return {"text": text, "k": hasher.slices(at, at + ANCHOR), "x": x + (at - begin).astype(np.uint64), "y": y, "start": begin, "l": end - begin}
 
 
 def entries(data: np.ndarray, offsets: np.ndarray, run: int = RUN) -> Iterator[dict[str, np.ndarray]]:
@@ -104,7 +106,7 @@ def entries(data: np.ndarray, offsets: np.ndarray, run: int = RUN) -> Iterator[d
             for e in starts[1:]:
                 whole[max(0, e - LENGTH + 1) : e] = False
             c = contexts(part, starts, whole)
-            yield {"row": c["text"] + i, "k": c["k"], "x": c["x"], "s": c["start"] - starts[c["text"]], "l": c["l"]}
+            yield {"row": c["text"] + i, "k": c["k"], "x": c["x"], "y": c["y"], "s": c["start"] - starts[c["text"]], "l": c["l"]}
             continue
         text = data[offsets[i] : offsets[j]]
         for lo in range(0, size - LENGTH + 1, run):
@@ -113,7 +115,7 @@ def entries(data: np.ndarray, offsets: np.ndarray, run: int = RUN) -> Iterator[d
             chosen = np.zeros(end - begin, bool)
             chosen[lo - begin : hi - begin] = True
             c = contexts(text[begin:end], np.array([0, end - begin]), chosen)
-            yield {"row": np.full(len(c["k"]), i), "k": c["k"], "x": c["x"], "s": c["start"] + begin, "l": c["l"]}
+            yield {"row": np.full(len(c["k"]), i), "k": c["k"], "x": c["x"], "y": c["y"], "s": c["start"] + begin, "l": c["l"]}
 
 
 def covered(e: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -314,17 +316,17 @@ def resolve(data: np.ndarray, e: dict[str, np.ndarray], shard: int = SHARD) -> I
 # ---- the operator
 
 
-def _asked(docs: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
+def _asked(docs: DataFrame, id_col: str, text_col: str, most: int, parts: int) -> DataFrame:
     """Contexts as digests, dealt by anchor. Kinds: 0 asked (h: hot in its task), 1 removed already, 2 hot already."""
-    exchange = Exchange(ASKED, width(docs.sparkSession))
+    exchange = Exchange(ASKED, parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            e = {n: np.concatenate([h[n] for h in held]) for n in ("k", "x", "d", "t", "s", "l")}
+            e = {n: np.concatenate([h[n] for h in held]) for n, _ in ASKED if n != "h"}
             held.clear()
-            order, copy = first_seen(e, ("k", "x"))
+            order, copy = first_seen(e, ("k", "x", "y"))
             contexts_ = several(order, e["k"], ~copy)
             hot = contexts_ > most
             key = e["k"][order]
@@ -334,7 +336,7 @@ def _asked(docs: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
                 part = {n: v[order[chosen]] for n, v in e.items()}
                 if kind == 1:
                     part = covered(part)
-                    part |= {"k": np.zeros(len(part["d"]), np.uint64), "x": np.zeros(len(part["d"]), np.uint32)}
+                    part |= {n: np.zeros(len(part["d"]), np.uint64) for n in ("k", "x", "y")}
                 part["h"] = hot[chosen].astype(np.uint8) if kind != 1 else np.zeros(len(part["d"]), np.uint8)
                 spread = part["k"] >> np.uint64(20) if not kind else mix(part["d"].view(np.uint64))
                 out = exchange.pack(kind, (spread % np.uint64(exchange.buckets)).astype(np.int64), part)
@@ -356,16 +358,19 @@ def _asked(docs: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
     return exchange.deal(texts.mapInArrow(lean(run), exchange.schema))
 
 
-def _told(asked: DataFrame, buckets: int) -> DataFrame:
-    """__d, __t, kind, span, k: 0 removed, 1 to be compared under anchor k, 2 to be compared window by window."""
-    exchange = Exchange(ASKED, buckets)
+def _told(asked: DataFrame, most: int, parts: int) -> DataFrame:
+    """__d, __t, kind, span, k: 0 removed, 1 to be compared under anchor k, 2 to be compared window by window.
+
+    Heat is judged here, by an anchor's contexts in all tasks; a task that had very many itself has said so.
+    """
+    exchange = Exchange(ASKED, parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = blobs_by_kind(batches)
         e, removed, hot = (exchange.unpack(blobs.get(kind, [])) for kind in (0, 1, 2))
-        order, copy = first_seen(e, ("k", "x"))
+        order, copy = first_seen(e, ("k", "x", "y"))
         many = several(order, e["k"], ~copy)
-        heat = several(order, e["k"], e["h"][order] > 0) > 0
+        heat = (many > most) | (several(order, e["k"], e["h"][order] > 0) > 0)
         pick = lambda mask: {n: v[order[mask]] for n, v in e.items()}
         gone = covered(pick(copy))
         parts = [(0, gone), (0, removed), (1, pick(~copy & (many > 1) & ~heat)), (2, pick(~copy & heat)), (2, hot)]
@@ -378,10 +383,10 @@ def _told(asked: DataFrame, buckets: int) -> DataFrame:
     return asked.mapInArrow(lean(run), "__d long, __t long, kind int, span long, k long")
 
 
-def _decided(texts: DataFrame, told: DataFrame, buckets: int, shard: int) -> DataFrame:
+def _decided(texts: DataFrame, told: DataFrame, parts: int, shard: int) -> DataFrame:
     """__d, __t, span of the places that suffix arrays (and, for hot anchors, window digests) find repeated."""
-    windows = Exchange(WINDOWS, buckets)
-    named = Exchange([("k", "<u8"), *PLACE], buckets)
+    windows = Exchange(WINDOWS, parts)
+    named = Exchange([("k", "<u8"), *PLACE], parts)
     compared = told.filter("kind > 0").groupBy("__d", "__t").agg(
         F.collect_list(F.when(F.col("kind") == 1, F.struct("span", "k"))).alias("asks"), F.collect_list(F.when(F.col("kind") == 2, F.col("span"))).alias("hot")
     )
@@ -397,7 +402,7 @@ def _decided(texts: DataFrame, told: DataFrame, buckets: int, shard: int) -> Dat
             nonlocal size
             if asks:
                 d, t, s, n, k, text = (np.concatenate([a[i] for a in asks]) for i in range(6))
-                bucket = (k >> np.uint64(20)) % np.uint64(buckets)
+                bucket = (k >> np.uint64(20)) % np.uint64(parts)
                 order = np.argsort(bucket, kind="stable")
                 at = np.cumsum(n) - n
                 for b in np.unique(bucket):
@@ -415,7 +420,7 @@ def _decided(texts: DataFrame, told: DataFrame, buckets: int, shard: int) -> Dat
                         p = covered(p)
                         p |= {n_: np.zeros(len(p["d"]), np.uint64) for n_ in ("k", "x")}
                     key = p["k"] >> np.uint64(20) if kind == 1 else mix(p["d"].view(np.uint64))
-                    out = windows.pack(kind, (key % np.uint64(buckets)).astype(np.int64), p)
+                    out = windows.pack(kind, (key % np.uint64(parts)).astype(np.int64), p)
                     if out is not None:
                         yield pa.RecordBatch.from_arrays([*out.columns, pa.array([b""] * out.num_rows, pa.binary())], ["bucket", "kind", "entries", "bytes"])
             asks.clear()
@@ -442,9 +447,8 @@ def _decided(texts: DataFrame, told: DataFrame, buckets: int, shard: int) -> Dat
                 if len(hot):
                     span = hot.to_numpy(zero_copy_only=False)
                     places = np.unique(np.concatenate([np.arange(a >> 32, (a >> 32) + (a & 0xFFFFFFFF) - LENGTH + 1) for a in span]))
-                    lo, hi = int(places[0]), int(places[-1]) + LENGTH
-                    hasher, other = Hasher(text[lo:hi]), Hasher(text[lo:hi] ^ np.uint8(0xA5))
-                    hots.append((np.full(len(places), d[row]), np.full(len(places), t[row], np.uint32), places.astype(np.uint32), hasher.slices(places - lo, places - lo + LENGTH), other.slices(places - lo, places - lo + LENGTH)))
+                    k, x = digests(text, places, places + LENGTH)
+                    hots.append((np.full(len(places), d[row]), np.full(len(places), t[row], np.uint32), places.astype(np.uint32), k, x))
                     size += 40 * len(places)
                 if size > 24 << 20:
                     yield from flush()
@@ -471,15 +475,15 @@ def _decided(texts: DataFrame, told: DataFrame, buckets: int, shard: int) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(p["d"]), pa.array(p["t"].astype(np.int64)), pa.array(span)], ["__d", "__t", "span"])
 
     sent = joined.mapInArrow(lean(send), "bucket int, kind int, entries binary, bytes binary")
-    return sent.repartitionById(buckets, F.col("bucket")).mapInArrow(lean(decide), "__d long, __t long, span long")
+    return sent.repartitionById(parts, F.col("bucket")).mapInArrow(lean(decide), "__d long, __t long, span long")
 
 
 def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """(texts, spans): texts with doc_id, b, __d, __t; spans with __d, __t and the repeated places (start << 32 | length)."""
-    buckets = width(docs.sparkSession)
-    told = materialize(_told(_asked(docs, id_col, text_col, hot), buckets))
+    parts = buckets(docs, 32 << 20)
+    told = materialize(_told(_asked(docs, id_col, text_col, hot, parts), hot, parts))
     texts = keyed_bytes(docs, id_col, text_col)
-    more = _decided(texts, told, buckets, shard)
+    more = _decided(texts, told, parts, shard)
     spans = told.filter("kind = 0").select("__d", "__t", "span").unionByName(more).groupBy("__d", "__t").agg(F.collect_list("span").alias("spans"))
     return texts, spans
 
@@ -491,9 +495,10 @@ def removal_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     in the same one further left; overlaps count, and strings are judged on the input. Matches never cross documents.
     Null and empty texts, and texts under 100 bytes, lose nothing. Null ids come after all others. Rows equal in id and
     text are one document (they do not repeat each other and get the same result); of rows that share an id but not
-    the text, the order is that of a hash of the text. hot: different contexts of an anchor in one task beyond which
-    its windows are compared one by one, by 128-bit digests combined in each task, and not in one shard; shard: bytes
-    of a suffix array. Neither changes the result. Other columns are not read. An empty table gives no rows.
+    the text, the order is that of a hash of the text. hot: different contexts of an anchor beyond which its windows
+    are compared one by one, by 128-bit digests combined in each task, and not in suffix arrays; shard: bytes of a suffix
+    array. Neither changes the result. Contexts that are equal as a whole are found by digest too, so that copies do not
+    fill the arrays; digests are BLAKE2b. Other columns are not read. An empty table gives no rows.
     """
     texts, spans = repeated(docs, id_col=id_col, text_col=text_col, hot=hot, shard=shard)
     return report(texts, spans, 1)

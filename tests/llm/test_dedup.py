@@ -48,6 +48,19 @@ def test_op2_equals_brute_force(spark, corpus, docs, hot, shard):
     assert len(found[7]) == 3
 
 
+def test_op2_arrays_decide_anchors_with_many_contexts(spark):
+    """A passage in 300 texts over many tasks: its outer anchors have some 300 contexts each, all sent to the arrays."""
+    rows = [(i, f"{prose(90_000 + i, 12)} {prose(5, 24)} {prose(91_000 + i, 12)}") for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    told = suffix_dedup._told(suffix_dedup._asked(frame, "doc_id", "text", suffix_dedup.HOT, 8), suffix_dedup.HOT, 8).collect()
+    by = defaultdict(int)
+    for r in told:
+        by[r.k] += r.kind == 1
+    assert max(by.values()) >= 290 and not any(r.kind == 2 for r in told)
+    want = brute_op2(rows)
+    assert {(r.doc_id, *r[1:]) for r in suffix_dedup.removal_report(frame, shard=20_000).collect()} == {(d, *want[d, t]) for d, t in rows}
+
+
 def test_op2_long_texts_in_pieces_equal_whole():
     rng = np.random.default_rng(3)
     text = rng.integers(97, 105, 60_000).astype(np.uint8)
