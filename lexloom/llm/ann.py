@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexloom.llm.common import lean, materialize
+
 #: Standard deviations of the estimate that the error bound spans.
 EPSILON = 3.0
 #: Bits of a quantised query component.
@@ -22,25 +24,37 @@ def rotation(dims: int, seed: int = 7) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def encode(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One-bit codes of vectors: packed signs after rotation (words), norm, and the code's inner product with the unit vector.
+
+    Vectors are scaled by their largest component first, so no component is too large or too small to be squared.
+    """
+    n, dims = vectors.shape
+    most = np.abs(vectors).max(axis=1)
+    scaled = vectors / most[:, None]
+    length = np.linalg.norm(scaled, axis=1)
+    unit = np.zeros((n, len(turn)))
+    unit[:, :dims] = scaled / length[:, None]
+    turned = unit @ turn.T
+    return np.packbits(turned > 0, axis=1, bitorder="little").view("<u8"), most * length, np.abs(turned).sum(axis=1) / np.sqrt(len(turn))
+
+
 class Codes:
-    """One-bit codes of vectors: packed signs after rotation, norm, and the code's inner product with the unit vector."""
-
-    def __init__(self, vectors: np.ndarray, turn: np.ndarray):
-        n, dims = vectors.shape
-        self.norm = np.linalg.norm(vectors, axis=1)
-        unit = np.zeros((n, len(turn)))
-        unit[:, :dims] = vectors / self.norm[:, None]
-        turned = unit @ turn.T
-        self.words = np.packbits(turned > 0, axis=1, bitorder="little").view("<u8")
-        self.along = np.abs(turned).sum(axis=1) / np.sqrt(len(turn))
-        self.ones = np.bitwise_count(self.words).sum(axis=1).astype(float)
-        self.spread = np.sqrt(np.maximum(0, 1 - self.along**2)) / self.along / np.sqrt(max(1, len(turn) - 1))
+    """Codes as `encode` made them, and what follows from them."""
+
+    def __init__(self, words: np.ndarray, norm: np.ndarray, along: np.ndarray):
+        size = 64 * words.shape[1]
+        self.words, self.norm, self.along = words, norm, along
+        self.ones = np.bitwise_count(words).sum(axis=1).astype(float)
+        self.spread = np.sqrt(np.maximum(0, 1 - along**2)) / along / np.sqrt(max(1, size - 1))
 
     def estimate(self, query: np.ndarray, turn: np.ndarray, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
         """Estimated inner products of a query with all vectors, and bounds of their errors."""
         size = len(turn)
-        length = np.linalg.norm(query)
-        turned = turn[:, : len(query)] @ (query / length)
+        most = np.abs(query).max()
+        unit = query / most
+        length = np.linalg.norm(unit)
+        turned = turn[:, : len(query)] @ (unit / length)
         low, steps = turned.min(), (1 << QUERY_BITS) - 1
         step = (turned.max() - low) / steps or 1.0
         level = np.rint((turned - low) / step).astype(np.int64)
@@ -49,25 +63,26 @@ class Codes:
         # sum of sign * level = 2 * (levels under set bits) - all levels
         dot = (step * (2 * picked - level.sum()) + low * (2 * self.ones - size)) / np.sqrt(size)
         rounding = np.abs(turned - (low + step * level)).sum() / np.sqrt(size)
-        scale = self.norm * length
+        scale = self.norm * (most * length)
         return scale * dot / self.along, scale * (epsilon * self.spread + rounding / self.along)
 
 
-def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, turn: np.ndarray, epsilon: float = EPSILON) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: Codes, k: int, turn: np.ndarray, epsilon: float = EPSILON) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(query id, ids, exact scores) of each query's k best of one block; a query is never its own candidate.
 
-    The k-th largest lower bound is what a candidate's upper bound must reach to be reranked; there is no other cap.
+    The k-th largest lower bound is what a candidate's upper bound must reach to be reranked; there is no other cap. What
+    has no finite estimate is reranked.
     """
-    codes = Codes(vectors, turn)
-    for q, x in zip(query_ids, queries, strict=True):
-        about, error = codes.estimate(x, turn, epsilon)
-        able = ids != q
-        low = np.where(able, about - error, -np.inf)
-        bar = np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else -np.inf
-        chosen = np.flatnonzero(able & (about + error >= bar))
-        exact = np.einsum("ij,j->i", vectors[chosen], x)
-        best = np.lexsort((ids[chosen], -exact))[:k]
-        yield np.full(len(best), q), ids[chosen][best], exact[best]
+    with np.errstate(over="ignore", invalid="ignore"):
+        for q, x in zip(query_ids, queries, strict=True):
+            about, error = codes.estimate(x, turn, epsilon)
+            able = ids != q
+            low = np.where(able & np.isfinite(about - error), about - error, -np.inf)
+            bar = np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else -np.inf
+            chosen = np.flatnonzero(able & ~(about + error < bar))
+            exact = np.einsum("ij,j->i", vectors[chosen], x)
+            best = np.lexsort((ids[chosen], -np.where(np.isnan(exact), -np.inf, exact)))[:k]
+            yield np.full(len(best), q), ids[chosen][best], exact[best]
 
 
 def nearest(vectors: DataFrame, is_query: Callable[[Column], Column], *, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 1 << 14, query_block: int = 1 << 12, seed: int = 7, epsilon: float = EPSILON) -> DataFrame:
@@ -75,12 +90,13 @@ def nearest(vectors: DataFrame, is_query: Callable[[Column], Column], *, k: int
 
     is_query: from the id column to the condition that a row is a query.
 
-    Queries and candidates are cut into blocks by a hash of the id, each pair of blocks is one task's work, and each
-    task returns k rows a query at most; the best k over all blocks are kept, ties to the smaller id. All rows are
-    indexed. The error bound holds for each candidate with the probability of `epsilon` standard deviations, so recall
+    All rows are encoded once and written, codes and scalars beside the vector. Queries and candidates are cut into blocks
+    by a hash of the id, each pair of blocks is one task's work: it scans the codes, reranks by the vectors what the bounds
+    leave, and returns k rows a query at most. The best k over all blocks are kept, ties to the smaller id. A candidate
+    travels once for every `query_block` queries, whose number is that of the scans. The error bound holds for each candidate with the probability of `epsilon` standard deviations, so recall
     is below 1 only by that. Vectors that are null, zero, or hold null or non-finite components take no part, nor do
     rows with a null id or a length other than the commonest (ties: the longest). Of rows that share an id, the one
-    with the largest array counts. Fewer candidates than k: all are returned. Other columns are ignored.
+    with the largest array counts. A score that is no number (opposite infinities) comes last. Fewer candidates than k: all are returned. Other columns are ignored.
     """
     vector = F.col("__v")
     usable = vectors.select(F.col(id_col).cast("long").alias("__id"), F.col(vector_col).cast("array<double>").alias("__v")).filter(
@@ -93,26 +109,40 @@ def nearest(vectors: DataFrame, is_query: Callable[[Column], Column], *, k: int
         return vectors.sparkSession.createDataFrame([], schema)
     dims, rows = common["d"], common["n"]
     turn = rotation(dims, seed)
-    usable = usable.filter(F.size("__v") == dims)
-    asked = usable.filter(is_query(F.col("__id")))
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                vectors_ = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, dims)
+                words, norm, along = encode(vectors_, turn)
+                rows_ = [pa.array([r.tobytes() for r in x], pa.binary()) for x in (vectors_, words)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *rows_, pa.array(norm), pa.array(along)], ["__id", "vector", "code", "norm", "along"])
+
+    coded = materialize(usable.filter(F.size("__v") == dims).mapInArrow(lean(index), "__id long, vector binary, code binary, norm double, along double"))
+    asked = coded.filter(is_query(F.col("__id")))
     blocks = max(1, -(-rows // block))
-    query_blocks = max(1, -(-asked.count() // query_block)) if rows else 1
+    query_blocks = max(1, -(-asked.count() // query_block))
     if blocks * query_blocks < 12:  # few cells: cut finer, so that all cores have work
         blocks = -(-12 // query_blocks)
     spot = lambda n, salt: F.pmod(F.xxhash64(F.col("__id"), F.lit(salt)), F.lit(n)).cast("int")
-    candidates = usable.select("__id", "__v", spot(blocks, 1).alias("__c"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("__q"), F.lit(0).alias("__asks"))
-    queries = asked.select("__id", "__v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__c"), spot(query_blocks, 2).alias("__q"), F.lit(1).alias("__asks"))
-
-    def cell(frame: pd.DataFrame) -> pd.DataFrame:
-        asks = frame["__asks"].to_numpy() == 1
-        table = np.vstack(frame["__v"].to_numpy())
-        ids = frame["__id"].to_numpy()
-        if asks.all() or not asks.any():
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        found = list(search(ids[asks], table[asks], ids[~asks], table[~asks], k, turn, epsilon))
-        return pd.DataFrame({n: np.concatenate([f[i] for f in found]) for i, n in enumerate(("query_id", "vec_id", "score"))})
-
-    partial = candidates.unionByName(queries).groupBy("__c", "__q").applyInPandas(cell, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    candidates = coded.select("__id", "vector", "code", "norm", "along", spot(blocks, 1).alias("__c"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("__q"))
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in (("code", "binary"), ("norm", "double"), ("along", "double"))]
+    queries = asked.select("__id", "vector", *none, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__c"), spot(query_blocks, 2).alias("__q"))
+
+    def cell(group: pa.Table) -> pa.Table:
+        asks = np.asarray(group.column("code").is_null())
+        ids = group.column("__id").to_numpy()
+        table = np.frombuffer(b"".join(group.column("vector").to_pylist()), "<f8").reshape(len(ids), dims)
+        found: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        if asks.any() and not asks.all():
+            held = group.filter(pa.array(~asks))
+            words = np.frombuffer(b"".join(held.column("code").to_pylist()), "<u8").reshape(held.num_rows, -1)
+            codes = Codes(words, held.column("norm").to_numpy(), held.column("along").to_numpy())
+            found += search(ids[asks], table[asks], ids[~asks], table[~asks], codes, k, turn, epsilon)
+        return pa.table({n: np.concatenate([f[i] for f in found]) for i, n in enumerate(("query_id", "vec_id", "score"))})
+
+    partial = candidates.unionByName(queries).groupBy("__c", "__q").applyInArrow(cell, "query_id long, vec_id long, score double")
+    nearness = F.when(F.isnan("score"), F.lit(float("-inf"))).otherwise(F.col("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(nearness), "vec_id"))
     return partial.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-

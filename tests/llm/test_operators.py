@@ -125,6 +125,16 @@ def test_op4_recall_ties_and_bad_vectors(spark):
     assert hits >= 0.95 * 20 * len(want)
 
 
+def test_op4_any_finite_scale(spark):
+    """Components of 1e200 and 1e-200 beside ordinary ones: each query's nearest are those of brute force."""
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.standard_normal(64) * (1.0 if i % 20 == 0 else 1e200 if i % 7 == 3 else 1e-200 if i % 7 == 5 else 1.0)).tolist()) for i in range(400)]
+    found = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 20 == 0).collect()
+    for q, best in brute_nearest(rows, 20).items():
+        mine = [r.vec_id for r in sorted((r for r in found if r.query_id == q), key=lambda r: r["rank"])]
+        assert len(set(mine) & {i for _, i in best}) >= 18 and mine[0] == best[0][1]
+
+
 def test_op4_few_candidates(spark):
     table = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [0.0, 2.0])], "vec_id long, embedding array<double>")
     found = sorted(tuple(r) for r in ann.nearest(table, lambda i: i % 20 == 0).collect())
@@ -135,7 +145,7 @@ def test_op4_few_candidates(spark):
 def test_one_bit_estimates_lie_within_their_bounds():
     rng = np.random.default_rng(0)
     vectors, turn = rng.standard_normal((2000, 64)), ann.rotation(64)
-    codes = ann.Codes(vectors, turn)
+    codes = ann.Codes(*ann.encode(vectors, turn))
     outside = 0
     for q in rng.standard_normal((20, 64)):
         about, error = codes.estimate(q, turn, 3.0)
