@@ -20,20 +20,16 @@ __all__ = ["NO_ID", "Exchange", "blobs_by_kind", "buckets", "bytes_of", "keyed",
 NO_ID = (1 << 63) - 1
 
 
-def sampled(rows: DataFrame, group: str, key: str, n: int, most_groups: int = 1000) -> DataFrame:
+def sampled(rows: DataFrame, group: str, key: str, n: int) -> DataFrame:
     """At most n rows of each group, those with the least hashes of their key, in column __turn's order.
 
-    The groups are counted first (a few numbers reach the driver), so that each task drops what lies above the share of
-    hashes that n rows can need; then one group's task sorts little more than n rows, however large the group is.
+    The groups are counted first, so that each task drops what lies above the share of hashes that n rows can need; then
+    one group's task sorts little more than n rows, however large the group is.
     """
-    counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).limit(most_groups + 1).collect()
-    if len(counts) > most_groups:
-        raise ValueError(f"more than {most_groups} groups")
-    if not counts:
-        return rows.withColumn("__turn", F.lit(1))
-    bars = F.create_map(*(F.lit(x) for r in counts for x in (r[group], int(min(1.0, (n + 6 * n**0.5 + 40) / r["n"]) * (1 << 40)))))
-    few = rows.filter(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 40)) < F.try_element_at(bars, F.col(group)))
-    turn = F.row_number().over(Window.partitionBy(group).orderBy(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 40)), key))
+    counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).select(F.col(group).alias("__g"), (F.least(F.lit(1.0), (n + 6 * n**0.5 + 40) / F.col("__n")) * (1 << 40)).cast("long").alias("__bar"))
+    hashed = F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 40))
+    few = rows.join(materialize(counts), F.col(group) == F.col("__g")).filter(hashed < F.col("__bar")).drop("__g", "__bar")
+    turn = F.row_number().over(Window.partitionBy(group).orderBy(hashed, key))
     return few.withColumn("__turn", turn).filter(F.col("__turn") <= n)
 
 
@@ -77,13 +73,13 @@ def buckets(docs: DataFrame, per: int = 64 << 20) -> int:
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
-    """Columns __d, __t that name a row: its id (nulls last) and a hash of its text.
+    """Columns __d, __t that name a row: its id (nulls last) and a 64-bit hash of its text.
 
     Rows equal in both are the same document seen again and get the same decision.
     """
     return [
         F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("__d"),
-        F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).bitwiseAND(F.lit(0xFFFFFFFF)).alias("__t"),
+        F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("__t"),
     ]
 
 

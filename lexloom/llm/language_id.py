@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import bytes_of, lean, runs, sampled
+from lexloom.llm.common import bytes_of, lean, materialize, runs, sampled
 
 UNDETERMINED = "und"
 #: Bytes of an n-gram.
 N = 4
+#: Languages a word of a bitmask holds; more languages take more words.
+WIDE = 64
 #: Texts are looked up in runs of so many bytes; a longer text in pieces that overlap by N - 1.
 RUN = 1 << 21
 
@@ -56,26 +58,27 @@ def _rows(grams_: np.ndarray, slices: int) -> list[np.ndarray]:
 
 @dataclass
 class Model:
-    """languages in order; prior: the commonest; table: bit l of row r is set if an n-gram of language l has row r."""
+    """languages in order; prior: the commonest; tables: bit l of row r of table w is set if an n-gram of language WIDE * w + l has row r."""
 
     languages: list[str]
     prior: int
     slices: int
-    table: np.ndarray
+    tables: list[np.ndarray]
     false_rate: np.ndarray
 
-    def masks(self, grams_: np.ndarray) -> np.ndarray:
+    def masks(self, grams_: np.ndarray) -> list[np.ndarray]:
+        """For each n-gram the bitmask of its languages, WIDE of them a word."""
         a, b, c = _rows(grams_, self.slices)
-        return self.table[a] & self.table[b] & self.table[c]
+        return [table[a] & table[b] & table[c] for table in self.tables]
 
     def counts(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Per piece: n-grams, and n-grams whose mask has language l."""
         h, piece = grams(data, starts)
         n = len(starts) - 1
-        masks = self.masks(h)
         found = np.zeros((n, len(self.languages)), np.int64)
-        for i in range(len(self.languages)):
-            found[:, i] = np.bincount(piece[(masks >> np.array(i, masks.dtype) & np.array(1, masks.dtype)).astype(bool)], minlength=n)
+        for w, masks in enumerate(self.masks(h)):
+            for i in range(WIDE * w, min(WIDE * (w + 1), len(self.languages))):
+                found[:, i] = np.bincount(piece[(masks >> np.array(i - WIDE * w, masks.dtype) & np.array(1, masks.dtype)).astype(bool)], minlength=n)
         return np.bincount(piece, minlength=n).astype(np.int64), found
 
     def decide(self, total: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,8 +98,6 @@ def train(texts: list[tuple[str, str]], share: float = 0.05, least: int = 2, com
     languages = sorted({lang for lang, _ in texts})
     if not languages:
         return None
-    if len(languages) > 64:
-        raise ValueError("a bitmask holds 64 languages at most")
     sets, sizes = [], []
     for lang in languages:
         blobs = [text.encode() for x, text in texts if x == lang]
@@ -110,13 +111,15 @@ def train(texts: list[tuple[str, str]], share: float = 0.05, least: int = 2, com
         np.maximum.at(most, np.searchsorted(every, gram), rate)
     own = [gram[(rate >= share * most[np.searchsorted(every, gram)]) & (n >= min(least, max(1, n.max(initial=0))))] for gram, rate, n in sets]
     slices = max(12, int(np.ceil(np.log2(24 * max(1, max(map(len, own)))))))
-    kind = next(k for k, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(languages) <= bits)
-    table = np.zeros(1 << slices, kind)
-    for i, gram in enumerate(own):
-        for rows in _rows(gram, slices):
-            np.bitwise_or.at(table, rows, kind(1 << i))
-    fill = np.array([np.count_nonzero(table >> kind(i) & kind(1)) for i in range(len(languages))]) / len(table)
-    return Model(languages, languages.index(commonest) if commonest in languages else int(np.argmax(sizes)), slices, table, fill**3)
+    tables = []
+    for w in range(0, len(own), WIDE):
+        kind = next(k for k, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(own[w : w + WIDE]) <= bits)
+        tables.append(np.zeros(1 << slices, kind))
+        for i, gram in enumerate(own[w : w + WIDE]):
+            for rows in _rows(gram, slices):
+                np.bitwise_or.at(tables[-1], rows, kind(1 << i))
+    fill = np.array([np.count_nonzero(tables[i // WIDE] >> tables[i // WIDE].dtype.type(i % WIDE) & tables[i // WIDE].dtype.type(1)) for i in range(len(own))]) / (1 << slices)
+    return Model(languages, languages.index(commonest) if commonest in languages else int(np.argmax(sizes)), slices, tables, fill**3)
 
 
 def sample(docs: DataFrame, usable: Column, per_language: int, longest: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
@@ -126,10 +129,8 @@ def sample(docs: DataFrame, usable: Column, per_language: int, longest: int, id_
     """
     size = F.octet_length(text_col)
     able = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (size > 0) & (size <= longest))
-    ids = [r[0] for r in sampled(able.select(id_col, lang_col), lang_col, id_col, per_language).select(id_col).distinct().collect()]
-    if not ids:
-        return []
-    rows = able.filter(F.col(id_col).isin(ids)).select(id_col, lang_col, text_col).collect()
+    ids = materialize(sampled(able.select(id_col, lang_col), lang_col, id_col, per_language).select(F.col(id_col).alias("__drawn")).distinct())
+    rows = able.join(ids, able[id_col] == ids["__drawn"], "left_semi").select(id_col, lang_col, text_col).collect()
     return [(r[1], r[2]) for r in sorted(rows, key=lambda r: (r[1], r[0], r[2]))]
 
 

@@ -22,7 +22,7 @@ GEAR = np.random.default_rng(20240607).integers(0, 1 << 32, 256, dtype=np.uint32
 
 #: k and x: the two halves of a chunk's digest; d, t, s, l: its document, start and length; m: its task has more
 #: of it.
-LAYOUT = [("k", "<u8"), ("x", "<u8"), ("d", "<i8"), ("t", "<u4"), ("s", "<u4"), ("l", "<u4"), ("m", "u1")]
+LAYOUT = [("k", "<u8"), ("x", "<u8"), ("d", "<i8"), ("t", "<i8"), ("s", "<u4"), ("l", "<u4"), ("m", "u1")]
 LEFT, RIGHT = 0, 1
 
 
@@ -154,7 +154,7 @@ def _sent(docs: DataFrame, chunker: Chunker, exchange: Exchange, id_col: str, te
             data, offsets = bytes_of(batch.column(2))
             for e in _chunks(data, offsets, chunker):
                 row = e.pop("row")
-                held.append(e | {"d": d[row], "t": t[row].astype(np.uint32)})
+                held.append(e | {"d": d[row], "t": t[row]})
                 if sum(len(h["k"]) for h in held) > HELD:
                     yield from flush()
         if held:
@@ -179,7 +179,7 @@ def places(docs: DataFrame, chunker: Chunker, id_col: str, text_col: str) -> Dat
             for at in range(0, len(chosen), 1 << 16):
                 part = {n: v[chosen[at : at + (1 << 16)]] for n, v in e.items()}
                 span = (part["s"].astype(np.int64) << 32) | part["l"].astype(np.int64)
-                columns = [part["d"], part["t"].astype(np.int64), span, part["k"].view(np.int64), part["x"].view(np.int64), np.full(len(span), is_first)]
+                columns = [part["d"], part["t"], span, part["k"].view(np.int64), part["x"].view(np.int64), np.full(len(span), is_first)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["__d", "__t", "span", "k", "x", "first"])
 
     return _sent(docs, chunker, exchange, id_col, text_col).mapInArrow(lean(run), "__d long, __t long, span long, k long, x long, first boolean")

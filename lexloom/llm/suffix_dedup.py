@@ -28,7 +28,7 @@ RUN, HELD, SHARD = 1 << 20, 1 << 20, 1 << 20
 #: that, a few shards hold all its contexts.
 HOT = 1 << 14
 
-PLACE = [("d", "<i8"), ("t", "<u4"), ("s", "<u4"), ("l", "<u4")]
+PLACE = [("d", "<i8"), ("t", "<i8"), ("s", "<u4"), ("l", "<u4")]
 ASKED = [("k", "<u8"), ("x", "<u8"), ("y", "<u8"), ("h", "u1"), *PLACE]
 WINDOWS = [("k", "<u8"), ("x", "<u8"), *PLACE]
 
@@ -348,7 +348,7 @@ def _asked(docs: DataFrame, id_col: str, text_col: str, most: int, parts: int) -
             data, offsets = bytes_of(batch.column(2))
             for e in entries(data, offsets):
                 row = e.pop("row")
-                held.append(e | {"d": d[row], "t": t[row].astype(np.uint32)})
+                held.append(e | {"d": d[row], "t": t[row]})
                 if sum(len(h["k"]) for h in held) > HELD:
                     yield from flush()
         if held:
@@ -378,7 +378,7 @@ def _told(asked: DataFrame, most: int, parts: int) -> DataFrame:
             if len(p["d"]):
                 span = (p["s"].astype(np.int64) << 32) | p["l"].astype(np.int64)
                 k = p["k"].view(np.int64) if kind == 1 else np.zeros(len(span), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(p["d"]), pa.array(p["t"].astype(np.int64)), pa.array(np.full(len(span), kind, np.int32)), pa.array(span), pa.array(k)], ["__d", "__t", "kind", "span", "k"])
+                yield pa.RecordBatch.from_arrays([pa.array(p["d"]), pa.array(p["t"]), pa.array(np.full(len(span), kind, np.int32)), pa.array(span), pa.array(k)], ["__d", "__t", "kind", "span", "k"])
 
     return asked.mapInArrow(lean(run), "__d long, __t long, kind int, span long, k long")
 
@@ -441,14 +441,14 @@ def _decided(texts: DataFrame, told: DataFrame, parts: int, shard: int) -> DataF
                     span, k = ask.field(0).to_numpy(zero_copy_only=False), ask.field(1).to_numpy(zero_copy_only=False)
                     s, n = span >> 32, span & 0xFFFFFFFF
                     index = np.repeat(s - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    asks.append((np.full(len(s), d[row]), np.full(len(s), t[row], np.uint32), s.astype(np.uint32), n, k.view(np.uint64), text[index]))
+                    asks.append((np.full(len(s), d[row]), np.full(len(s), t[row]), s.astype(np.uint32), n, k.view(np.uint64), text[index]))
                     size += len(index)
                 hot = batch.column(5)[row].values
                 if len(hot):
                     span = hot.to_numpy(zero_copy_only=False)
                     places = np.unique(np.concatenate([np.arange(a >> 32, (a >> 32) + (a & 0xFFFFFFFF) - LENGTH + 1) for a in span]))
                     k, x = digests(text, places, places + LENGTH)
-                    hots.append((np.full(len(places), d[row]), np.full(len(places), t[row], np.uint32), places.astype(np.uint32), k, x))
+                    hots.append((np.full(len(places), d[row]), np.full(len(places), t[row]), places.astype(np.uint32), k, x))
                     size += 40 * len(places)
                 if size > 24 << 20:
                     yield from flush()
@@ -472,7 +472,7 @@ def _decided(texts: DataFrame, told: DataFrame, parts: int, shard: int) -> DataF
         for p in found:
             if len(p["d"]):
                 span = (p["s"].astype(np.int64) << 32) | p["l"].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(p["d"]), pa.array(p["t"].astype(np.int64)), pa.array(span)], ["__d", "__t", "span"])
+                yield pa.RecordBatch.from_arrays([pa.array(p["d"]), pa.array(p["t"]), pa.array(span)], ["__d", "__t", "span"])
 
     sent = joined.mapInArrow(lean(send), "bucket int, kind int, entries binary, bytes binary")
     return sent.repartitionById(parts, F.col("bucket")).mapInArrow(lean(decide), "__d long, __t long, span long")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import unicodedata
@@ -74,9 +75,12 @@ def load(path: str, specials: bool = True):
     return tokenizer
 
 
-#: Pieces between white space whose counts a task keeps, and characters of unknown pieces that are encoded at once.
-KEPT_PIECES, JOINED = 500_000, 16384
-#: Characters that str.split() takes for white space and the tokenizers' pattern does not.
+#: Characters of the pieces between white space whose counts a task keeps, those of a kept piece at most, and those of
+#: unknown pieces that are encoded at once.
+KEPT, LONGEST, JOINED = 8 << 20, 1024, 16384
+#: All that str.split() takes for white space.
+_SPACES = [chr(i) for i in range(0x3001) if chr(i).isspace()]
+#: Of these, the characters that the tokenizers' pattern does not take for white space.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
@@ -88,7 +92,7 @@ class Pieces:
     """
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.known = tokenizer, {}
+        self.tokenizer, self.known, self.kept = tokenizer, {}, 0
 
     def _learn(self, pieces: list[str]) -> None:
         at = 0
@@ -108,18 +112,31 @@ class Pieces:
     def __call__(self, texts: list[str]) -> list[int]:
         split = [t.split() for t in texts]
         unknown = set().union(*split).difference(self.known)
-        if len(self.known) + len(unknown) > KEPT_PIECES:
+        if self.kept > KEPT:
             self.known.clear()
-            unknown = set().union(*split)
+            unknown, self.kept = set().union(*split), 0
+        self.kept += sum(map(len, unknown))
         self._learn(list(unknown))
         count = self.known.__getitem__
-        return [sum(map(count, pieces)) for pieces in split]
+        found = [sum(map(count, pieces)) for pieces in split]
+        for piece in [x for x in unknown if len(x) > LONGEST]:
+            self.kept -= len(piece)
+            del self.known[piece]
+        return found
 
 
 def drops_space(tokenizer) -> bool:
-    """Whether a tokenizer's tokens never hold white space nor depend on it (byte-level words with end marks)."""
+    """Whether a tokenizer's tokens never hold white space nor depend on it: its rules keep only what a pattern matches, no
+    special string has or strips white space, and no white space character adds a token or changes those beside it."""
+    rules = json.loads(tokenizer.to_str())
+    steps = (rules["pre_tokenizer"] or {}).get("pretokenizers", [rules["pre_tokenizer"] or {}])
+    if not any(x.get("type") == "Split" and x.get("behavior") == "Removed" and x.get("invert") for x in steps):
+        return False
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in rules["added_tokens"]):
+        return False
     encode = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
-    return encode("a b, c1") == encode(" a\n\n b, \t c1 ") == [*encode("a"), *encode("b,"), *encode("c1")] and not encode(" \n")
+    beside = [*encode("a1,"), *encode(".b'")]
+    return all(encode(f"a1,{x}.b'") == encode(f"{x}{x}a1, {x}\n.b'{x}") == beside and not encode(x) for x in _SPACES if not _SEPARATORS.match(x))
 
 
 def counter(path: str, chunk: int, overlap: int) -> Callable[[list[str]], list[int]]:

@@ -161,7 +161,7 @@ def text_key(spark, text, known={}):
     from pyspark.sql import functions as F
 
     if text not in known:
-        known[text] = spark.range(1).select(F.xxhash64(F.lit(text)).bitwiseAND(F.lit(0xFFFFFFFF))).first()[0]
+        known[text] = spark.range(1).select(F.xxhash64(F.lit(text))).first()[0]
     return known[text]
 
 
@@ -190,7 +190,7 @@ def test_op3_removed_bytes_occur_earlier(corpus):
     data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
     parts = list(substring_dedup._chunks(data, offsets, chunker))
     e = {n: np.concatenate([p[n] for p in parts]) for n in parts[0]}
-    e |= {"d": e["row"].astype(np.int64), "t": np.zeros(len(e["k"]), np.uint32)}
+    e |= {"d": e["row"].astype(np.int64), "t": np.zeros(len(e["k"]), np.int64)}
     assert sum(e["l"]) == len(data)
     order, copy = substring_dedup.first_seen(e, ("k", "x"))
     first = {}

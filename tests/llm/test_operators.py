@@ -27,7 +27,8 @@ def test_spliced_encodings_equal_whole_ones(chunk, overlap):
 def test_counts_from_pieces_equal_whole_encodings(corpus, monkeypatch):
     tokenizer = token_counts.load(public_tokenizers.path(WORD))
     assert token_counts.drops_space(tokenizer) and not token_counts.drops_space(token_counts.load(public_tokenizers.path(BYTE)))
-    monkeypatch.setattr(token_counts, "KEPT_PIECES", 500)
+    monkeypatch.setattr(token_counts, "KEPT", 3000)
+    monkeypatch.setattr(token_counts, "LONGEST", 6)
     monkeypatch.setattr(token_counts, "JOINED", 300)
     count = token_counts.counter(public_tokenizers.path(WORD), 1 << 15, 256)
     texts = [*HARD, *(t for _, t, *_ in corpus if t), "a\x1cb\x1d c\x85d\u2028e\u00a0f\u180eg", "x \u0301y \u200bz <|endoftext|>\n<|endoftext|>", "İ \u0130 Σ ς ΑΣ ﬀ"]
@@ -278,7 +279,18 @@ def test_op9_learns_and_handles_edges(spark):
 def test_filters_return_every_language_of_an_ngram():
     model = language_id.train([("aa", "shared only"), ("bb", "shared other")], least=1)
     h, _ = language_id.grams(np.frombuffer(b"shared", np.uint8), np.array([0, 6]))
-    assert set(model.masks(h).tolist()) == {3}
+    assert set(model.masks(h)[0].tolist()) == {3}
+
+
+def test_more_languages_than_a_word_of_a_mask_holds(spark):
+    rng = np.random.default_rng(8)
+    words = {f"l{i:03d}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)] for i in range(70)}
+    rows = [(100 * n + j, " ".join(rng.choice(w, 30)), lang) for n, (lang, w) in enumerate(words.items()) for j in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    model = language_id.fit(docs, F.lit(True))
+    assert len(model.tables) == 2 and len(model.languages) == 70
+    found = language_id.predict(docs, model).collect()
+    assert all(r.lang_pred == r.lang for r in found) and len(found) == 350
 
 
 def test_a_long_text_in_pieces_has_the_counts_of_the_whole(monkeypatch, spark):
@@ -288,3 +300,22 @@ def test_a_long_text_in_pieces_has_the_counts_of_the_whole(monkeypatch, spark):
     t, f = model.counts(whole, np.array([0, len(whole)]))
     parts = [model.counts(whole[a : a + 1000 + 3], np.array([0, len(whole[a : a + 1003])])) for a in range(0, len(whole), 1000)]
     assert abs(sum(p[0] for p in parts) - t).max() <= len(parts) and abs(sum(p[1] for p in parts) - f).max() <= len(parts)
+
+
+def test_op6_and_op9_on_held_out_documents(spark):
+    """The registered queries over a supplied table: texts that nothing was learned from."""
+    import zlib
+
+    from lexloom.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    quality_ = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rest = lambda d, n: zlib.crc32(str(d).encode()) % n
+    scored = queries.op6_quality(spark, sf).collect()
+    assert all(r.held_out == (rest(r.doc_id, 3) == 1) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in scored) and len(scored) == len(lang)
+    tried = [r for r in scored if r.held_out and r.doc_id in quality_]
+    assert np.mean([r.predicted == quality_[r.doc_id] for r in tried]) >= 0.9
+    told = queries.op9_language_id(spark, sf).collect()
+    assert all(r.held_out == (rest(r.doc_id, 4) == 2) and 0 <= r.score <= 1 for r in told) and len(told) == len(lang)
+    assert np.mean([r.lang_pred == lang[r.doc_id] for r in told if r.held_out and lang[r.doc_id]]) >= 0.97
