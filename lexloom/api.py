@@ -55,7 +55,7 @@ def draft(stories: DataFrame, forms: DataFrame, keywords: DataFrame, boosts: Dat
     """Stories (story_id, story, form_id, has_judgment, answers map) with their class and the filled template of its form;
     a refused topic gets none."""
     told = classify.classify(stories, forms, keywords, boosts)
-    joined = told.join(stories.select("story_id", answers), "story_id").join(F.broadcast(forms.select("form_id", "template")), "form_id", "left")
+    joined = told.join(stories.select("story_id", answers), "story_id").join(forms.select("form_id", "template"), "form_id", "left")
     return joined.withColumn("draft", F.when(~F.col("refused"), fill_template(F.col("template"), F.col(answers)))).drop("template", answers)
 
 

@@ -208,3 +208,8 @@ def phrases(c: Column) -> Column:
 def is_official_url(c: Column) -> Column:
     """http and https addresses, spaces and letters of any script included; null is not one."""
     return F.coalesce(c.rlike(r"(?i)^\s*https?:[/\\]*[^/\\?#\s]"), F.lit(False))
+
+
+def request_id() -> Column:
+    """A random id for each row of a batch of requests, for the audit."""
+    return F.uuid()

@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import fixed as V
 from lexloom.functions.text import contains_any, let, normalize, normalize_letters, text
+from lexloom.session import broadcast_if_small
 
-#: Rule tables are short lists that people write; beyond this they are refused rather than broadcast.
+#: Rule tables are short lists that people write; beyond this they are not broadcast.
 MAX_RULES = 20_000
 
 
 def _rules(rules: DataFrame) -> DataFrame:
-    if rules.limit(MAX_RULES + 1).count() > MAX_RULES:
-        raise ValueError("too many rules")
-    return F.broadcast(rules)
+    return broadcast_if_small(rules, MAX_RULES)
 
 
 def scores(stories: DataFrame, keywords: DataFrame, boosts: DataFrame) -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import fixed as V
 from lexloom.functions.text import ratio_of, signature, source_name, text
-from lexloom.session import materialize
+from lexloom.session import broadcast_if_small, materialize
+
+#: Names that are broadcast at most.
+MAX_NAMES = 10_000
 
 
 def first_failing(gates: list[tuple[str, Column]]) -> Column:
@@ -156,8 +157,9 @@ def admit(documents: DataFrame, rank: str, size: str, chunks: str, key: str, tar
 
 
 def nearest_name(requests: DataFrame, titles: DataFrame, name: str = "name", title: str = "title") -> DataFrame:
-    """For each requested name its title: the exact one, else the shortest that contains it. Names are few and broadcast."""
-    found = titles.join(F.broadcast(requests), F.contains(titles[title], requests[name]))
+    """For each requested name its title: the exact one, else the shortest that contains it. Names are broadcast while
+    they are few and short."""
+    found = titles.join(broadcast_if_small(requests, MAX_NAMES), F.contains(titles[title], requests[name]))
     return found.groupBy(name).agg(F.min_by(title, F.struct((F.col(title) != F.col(name)).cast("int"), F.length(title), F.col(title))).alias(title))
 
 
@@ -170,8 +172,8 @@ def best_files(records: DataFrame, sources: DataFrame, file: str = "source_file"
 
 
 def with_keep_list(records: DataFrame, keep: DataFrame, key: str) -> DataFrame:
-    """Records on a short keep-list (a table that people write), with its columns."""
-    return records.join(F.broadcast(keep), key)
+    """Records on a keep-list, with its columns; the optimizer broadcasts the list if it is small."""
+    return records.join(keep, key)
 
 
 def coverage(rows: DataFrame, metadata: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -215,10 +217,3 @@ def reconcile(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
     e, a = expected.groupBy(key).agg(F.count(F.lit(1)).alias("expected")), actual.groupBy(key).agg(F.count(F.lit(1)).alias("actual"))
     both = e.join(a, key, "full_outer").na.fill(0, ["expected", "actual"])
     return both.withColumn("difference", F.col("actual") - F.col("expected"))
-
-
-def in_one_pass(rows: DataFrame, steps: list[Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """A source's steps as one plan."""
-    for step in steps:
-        rows = step(rows)
-    return rows

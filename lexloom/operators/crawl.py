@@ -192,10 +192,10 @@ def take_pending(frontier: DataFrame, limit: int = 15) -> DataFrame:
 def discovered(pages: DataFrame, frontier: DataFrame, sources: DataFrame, per_page: int = 40) -> DataFrame:
     """(url, source_id) of new links: the first `per_page` of each page, on the source's host, not in the frontier yet.
 
-    pages: source_id, links (absolute). sources: source_id, allowed_host (a short registry, broadcast).
+    pages: source_id, links (absolute). sources: source_id, allowed_host (a registry; the optimizer broadcasts it if it is small).
     """
     links = pages.select("source_id", F.explode(F.slice("links", 1, per_page)).alias("url"))
-    kept = links.join(F.broadcast(sources.select("source_id", "allowed_host")), "source_id").filter(host_allowed(host_of(F.col("url")), F.col("allowed_host")))
+    kept = links.join(sources.select("source_id", "allowed_host"), "source_id").filter(host_allowed(host_of(F.col("url")), F.col("allowed_host")))
     return kept.groupBy("url").agg(F.min("source_id").alias("source_id")).join(frontier.select("url"), "url", "left_anti")
 
 

@@ -21,14 +21,15 @@ from lexloom.functions.authority import authority_weight
 from lexloom.functions.references import article_refs, article_score, match_values
 from lexloom.functions.text import TOKEN_BREAK, is_official_url, latin_digits, normalize, search_tokens, text, tokens
 from lexloom.functions.vectors import cosine, is_embedded
+from lexloom.session import broadcast_if_small
 
 BROADCAST_QUESTIONS = 2000
 EXACT_LIMIT, FTS_LIMIT, VECTOR_LIMIT, LEXICAL_POOL, POOL, TOP = 80, 30, 30, 1500, 4000, 8
 
 
 def small(questions: DataFrame, limit: int = BROADCAST_QUESTIONS) -> DataFrame:
-    """The questions, broadcast if there are few."""
-    return F.broadcast(questions) if questions.limit(limit + 1).count() <= limit else questions
+    """The questions, broadcast if there are few and they are short."""
+    return broadcast_if_small(questions, limit)
 
 
 def optional_equal(rows: DataFrame, column: str, value: str | None, every: str = "all") -> DataFrame:

@@ -142,9 +142,13 @@ def a18_page_range(spark, sf):
     return stats.page_range(table(spark, sf, "pages").select((F.col("page_id") % 100).alias("p")), "p")
 
 
-@query("select regexp_extract(lower(url), '^[a-z]+://([^/?#:]*)', 1) as host, count(*) as pages, sum(length(html)) as characters from pages group by 1")
+@query("""with h as (select regexp_extract(lower(url), '^[a-z]+://([^/?#:]*)', 1) as host, regexp_extract(url, '://[^/]*/([a-z]*)', 1) as kind, length(html) as size from pages),
+d as (select 'host' as dimension, host as value, size from h union all select 'domain', regexp_extract(host, '[^.]*\\.[^.]*$'), size from h union all select 'kind', kind, size from h)
+select dimension, value, count(*) as pages, sum(size)::bigint as characters from d group by all""")
 def a19_stats_by_host(spark, sf):
-    return table(spark, sf, "pages").groupBy(crawl.host_of(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("pages"), F.sum(F.length("html")).alias("characters"))
+    host = crawl.host_of(F.col("url"))
+    dimensions = {"host": host, "domain": F.regexp_extract(host, r"[^.]*\.[^.]*$", 0), "kind": F.regexp_extract("url", "://[^/]*/([a-z]*)", 1)}
+    return stats.by_dimension(table(spark, sf, "pages"), dimensions, F.length("html"))
 
 
 @query("""select min(w) as least, max(w) as most, median(w)::double as median, round(avg(w), 6) as mean, count(w) as n from (select len(list_filter(regexp_split_to_array(text, '[ \\n\\t]+'), lambda x: x <> '')) as w from documents)""")
@@ -479,7 +483,7 @@ def v5_hybrid_rank(spark, sf):
     return retrieval.rank(found, places=6).select("question_id", "id", "match_kind", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"""with {CHUNKS}, {QUESTIONS}, {_EXACT_AND_NEAR},
+_RETRIEVED = f"""with {CHUNKS}, {QUESTIONS}, {_EXACT_AND_NEAR},
 terms as (select question_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(question), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''))) as token from questions),
 searched as (select id, source_title || ' ' || article_number || ' ' || content as s from chunks),
 held as (select distinct id, length(s) as size, unnest(regexp_split_to_array(lower(s), '[^\\p{{L}}\\p{{N}}]+')) as token from searched),
@@ -489,7 +493,10 @@ every as (select question_id, id, row_number() over (partition by question_id or
 loose as (select question_id, list_transform(list_filter(regexp_split_to_array(regexp_replace(question, '[^\\x{{0600}}-\\x{{06FF}}a-zA-Z0-9]', ' ', 'g'), ' +'), lambda x: length(x) >= 3)[1:5], lambda x: lower(x)) as terms
   from questions where question_id not in (select question_id from every)),
 fallback as (select question_id, id, row_number() over (partition by question_id order by id) as r from loose, chunks where len(list_filter(terms, lambda t: contains(lower(content), t) or contains(lower(source_title), t))) > 0 qualify r <= 30),
-cand as (select * from exact union all select question_id, id, 'fts', 0.0::double, 1000000 + r from (select * from every union all select * from fallback) union all select * from vec), {_FUSED}""")
+cand as (select * from exact union all select question_id, id, 'fts', 0.0::double, 1000000 + r from (select * from every union all select * from fallback) union all select * from vec), {_FUSED}"""
+
+
+@query(_RETRIEVED)
 def v6_retrieve(spark, sf):
     """All three branches as one plan; questions without a full-text row fall back to any of their words."""
     return retrieval.retrieve(questions(spark, sf), chunks(spark, sf, True), places=6).select("question_id", "id", "match_kind", "score", F.col("rank").cast("long").alias("rank"))
@@ -687,7 +694,9 @@ def x35_j6_verify_citations(spark, sf):
     return citations.verify(answers, rows).select("question_id", "kind", "number", "verified")
 
 
-@query()
+@query(f"""with {CHUNKS}, ranked as ({_RETRIEVED}) select question_id, count(*) as retrieved, count(*) filter (match_kind = 'exact_article') as exact_article_hits, count(*) filter (match_kind = 'fts') as fts_hits,
+ count(*) filter (match_kind = 'vector') as vector_hits, count(*) filter (source_type in ('statute', 'convention')) as binding_sources, count(*) filter (source_type in ('advisory_opinion', 'case_law')) as advisory_sources
+ from ranked join chunks using (id) group by 1""")
 def v10_evaluation(spark, sf):
     ranked = retrieval.retrieve(questions(spark, sf), chunks(spark, sf, True), places=6)
     return citations.evaluate_retrieval(ranked)
@@ -696,7 +705,7 @@ def v10_evaluation(spark, sf):
 # ---- anonymising, pages, crawl
 
 
-@query()
+@query("""select conv_id, turn, '{"persons":[{"role":"' || role || '"}],"description":' || to_json('…… said ' || replace(text, 'Name' || conv_id, '……')) || '}' as content, role as title from conversations""")
 def x39_anonymise(spark, sf):
     """Case files made of conversations: names in persons are redacted in the description."""
     c = table(spark, sf, "conversations")
@@ -899,11 +908,14 @@ def x27_dates(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.labelled_date(raw).alias("date"), T.year(raw).alias("year"))
 
 
-@query()
+@query("""with p as (select source, doc_id, regexp_split_to_array('HEADER' || chr(10) || text || chr(10) || 'FOOTER', '\\n') as l from documents),
+e as (select source, doc_id, trim(unnest(l)) as line, unnest(range(0, len(l))) as i, len(l) as n from p),
+c as (select source, line, count(distinct doc_id) as "on" from e where (i < 3 or i >= n - 3) and line <> '' group by all), s as (select source, count(distinct doc_id) as pages from documents group by 1)
+select source, line, "on", pages from c join s using (source) where pages > 1 and "on" > 0.05 * pages""")
 def x57_page_furniture(spark, sf):
-    """Lines that stand at the edge of most pages of a source."""
+    """Lines that stand at the edge of one in twenty pages of a source."""
     pages = table(spark, sf, "documents").select("source", "doc_id", F.concat(F.lit("HEADER\n"), "text", F.lit("\nFOOTER")).alias("page"))
-    return corpus.repeated_page_lines(pages, "source", "doc_id", "page", edge=1)
+    return corpus.repeated_page_lines(pages, "source", "doc_id", "page", share=0.05)
 
 
 # ---- analytics over the star schema

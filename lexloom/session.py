@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def spread(df: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
@@ -20,14 +22,27 @@ def spread(df: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir).
+
+    Where none is set, a session on one machine gets a temporary one; on a cluster that is an error, as no other machine
+    would see it.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexloom-checkpoint-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
+def broadcast_if_small(df: DataFrame, rows: int, most_bytes: int = 32 << 20) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows and, as text, bytes; both are counted, not estimated."""
+    size = F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))))
+    found = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("size")).first()
+    return F.broadcast(df) if found["n"] <= rows and found["size"] <= most_bytes else df
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df into the shared folder and read it again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

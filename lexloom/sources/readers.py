@@ -151,13 +151,17 @@ def _workbooks(data: bytes) -> list[bytes]:
 
 
 def pdf(spark: SparkSession, path: str, pages_of: Callable[[bytes], tuple[str, list[str | None]]], watermark: str | None = None) -> DataFrame:
-    """(path, pdf_title, text) of PDF files. pages_of gives a file's title and its pages' texts; a page it fails on is ""."""
+    """(path, pdf_title, text) of PDF files. pages_of gives a file's title and its pages' texts; a page it fails on is "",
+    and a file it fails on has no title and an empty text."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for file, data in zip(batch["path"], batch["content"], strict=True):
-                title, pages = pages_of(bytes(data))
+                try:
+                    title, pages = pages_of(bytes(data))
+                except Exception:  # whatever a page extractor raises: one bad file does not end the job
+                    title, pages = None, []
                 rows.append((file, title, "\n".join(p or "" for p in pages)))
             yield pd.DataFrame(rows, columns=["path", "pdf_title", "text"])
 
