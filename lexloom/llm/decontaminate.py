@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.common import keyed, materialize
 
-#: Sketches are broadcast while they have at most so many rows; beyond, they are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: The items' shingles are broadcast while they have at most so many rows and bytes; beyond, they are joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
 def words(text: Column) -> Column:
@@ -49,8 +49,8 @@ def contaminated(docs: DataFrame, items: DataFrame, *, shingle: int = 5, thresho
     """
     sized = items.filter(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), shingles(F.col(item_text_col), shingle, False).alias("s"))
     whole = materialize(sized.select("item_id", F.explode("s").alias("s")).distinct())
-    count = whole.count()
-    small = (lambda x: F.broadcast(x)) if count <= broadcast_rows else (lambda x: x)
+    held = whole.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("s") + 8), F.lit(0)).alias("size")).first()
+    small = (lambda x: F.broadcast(x)) if held["n"] <= broadcast_rows and held["size"] <= BROADCAST_BYTES else (lambda x: x)
     sizes = whole.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_item"))
 
     need = lambda n: F.ceil(n * F.lit(threshold) - 1e-9)

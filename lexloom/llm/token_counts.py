@@ -166,7 +166,7 @@ def counter(path: str, chunk: int, overlap: int) -> Callable[[list[str]], list[i
     return count
 
 
-def token_counts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, chunk: int = 1 << 15, overlap: int = 256) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, chunk: int = 1 << 14, overlap: int = 256) -> DataFrame:
     """Tokens of every whole text: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
     path: a tokenizers .json or a sentencepiece .model file. One narrow pass, no shuffle; any input row gives one row,

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.common import materialize
 
-#: Rules are broadcast while they are at most so many; beyond, they are joined by shuffle.
-BROADCAST_RULES = 100_000
+#: Rules are broadcast while they are at most so many, of so many bytes; beyond, they are joined by shuffle.
+BROADCAST_RULES, BROADCAST_BYTES = 100_000, 32 << 20
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -43,8 +43,8 @@ def judge(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", default:
     separator = "\x00"
     digest = F.sha2(F.concat("__rh", F.lit(separator), "__rp"), 256)
     named = named.withColumn("__rd", digest).withColumn("__rk", F.substring("__rd", 1, prefix))
-    shape = named.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.length("__rp"))).alias("lengths")).first()
-    if shape["n"] <= broadcast_rules:
+    shape = named.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("__rh") + F.octet_length("__rp") + 100), F.lit(0)).alias("size"), F.array_sort(F.collect_set(F.length("__rp"))).alias("lengths")).first()
+    if shape["n"] <= broadcast_rules and shape["size"] <= BROADCAST_BYTES:
         named = F.broadcast(named)
 
     host, path = split_url(F.col("__url"))
