@@ -12,9 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexloom.session import materialize
+from lexloom.session import broadcast_if_small, materialize
 
-__all__ = ["NO_ID", "Exchange", "blobs_by_kind", "buckets", "bytes_of", "keyed", "lean", "materialize", "mix", "resolve", "runs", "sampled", "width"]
+__all__ = ["NO_ID", "Exchange", "blobs_by_kind", "buckets", "bytes_of", "keyed", "lean", "materialize", "mix", "resolve", "runs", "sampled", "split_hot", "width"]
 
 #: Stands for a null doc_id where documents are ordered: after every other document.
 NO_ID = (1 << 63) - 1
@@ -72,6 +72,25 @@ def buckets(docs: DataFrame, per: int = 64 << 20) -> int:
     return max([width(docs.sparkSession), *(-(-n // per) for n in sizes if n < 1 << 60)])  # beyond: Spark does not know it
 
 
+def split_hot(dealt: DataFrame, key: str, node: str, most: int, weight: Column | None = None) -> tuple[DataFrame, int]:
+    """dealt with a column `cell` that deals a hot key's rows on, and how many cells the hot keys make.
+
+    A key whose rows weigh more than `most` (a row weighs 1, or `weight`) has its nodes hashed into blocks of about half of
+    that, and each of its rows goes to one cell for every other block: any two rows of the key meet in a cell, and no cell
+    holds much more than `most`. The rows of any other key have cell 0. Weights are summed in each task before the shuffle.
+    """
+    weighed = dealt.groupBy(key).agg(F.sum(F.lit(1) if weight is None else weight).alias("__w")).filter(F.col("__w") > most)
+    hot = materialize(weighed.select(F.col(key).alias("__hot"), F.ceil(F.col("__w") * 2 / most).cast("long").alias("__m")))
+    cells = hot.agg(F.sum(F.col("__m") * (F.col("__m") - 1) / 2)).first()[0]
+    if not cells:
+        return dealt.withColumn("cell", F.lit(0).cast("long")), 0
+    mine = F.pmod(F.xxhash64(node, F.lit(29)), F.col("__m"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("__m") - 1), lambda x: x != mine)
+    cell = F.when(F.col("__m").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(others, lambda x: F.least(x, mine) * F.col("__m") + F.greatest(x, mine)))
+    known = dealt.join(broadcast_if_small(hot, 100_000), F.col(key) == F.col("__hot"), "left")
+    return known.withColumn("cell", F.explode(cell)).drop("__hot", "__m"), int(cells)
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     """Columns __d, __t that name a row: its id (nulls last) and a 64-bit hash of its text.
 

@@ -9,12 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import keyed, lean, materialize
+from lexloom.llm.common import buckets, keyed, lean, materialize, split_hot
 
 #: Node pairs that are expanded at once; a pair of nodes of at most LEAF pairs of members is compared directly, COMPARED pairs at once.
 FRONT, LEAF, COMPARED = 1 << 18, 64, 1 << 18
 #: MinHash values of a document that wide_links pairs up: at a similarity of 0.8, two of six are shared but once in 600.
 KEYS = 6
+#: A task's share of one key: rows of a block of bits, rows of a pair of MinHash values, bytes of a candidate component (a node counts
+#: NODE at least). What exceeds it is split into cells, in which any two of its rows meet.
+BLOCK_ROWS, PAIR_ROWS, SET_BYTES, NODE = 1 << 20, 1 << 17, 32 << 20, 4096
 
 
 def shingle_hashes(text: bytes, shingle: int = 3, seed: int = 42) -> Iterator[np.ndarray]:
@@ -149,35 +152,40 @@ def trie_links(r: np.ndarray, lo: np.ndarray, hi: np.ndarray, top: int, budget:
     return parent
 
 
-def links(distinct: DataFrame, budget: int = 3) -> DataFrame:
+def links(distinct: DataFrame, budget: int = 3, partitions: int = 1, most: int = BLOCK_ROWS) -> DataFrame:
     """(a, b) pairs that span every group of distinct fingerprints (column fp) within budget bits of each other.
 
     Of budget + 1 blocks of bits, two fingerprints within the budget share one: so each fingerprint goes to budget + 1
     tries, rotated to start with one of its blocks, and is met there by all that share the block. Work is dealt by
-    (block, its value); a task emits at most one link for each fingerprint it holds, however many are close.
+    (block, its value) over `partitions` tasks or more; a value that more than `most` fingerprints share is split into
+    cells. A cell emits at most one link for each fingerprint it holds, however many are close.
     """
     blocks = budget + 1
     spans = [(64 * b // blocks, 64 * (b + 1) // blocks - 64 * b // blocks) for b in range(blocks)]
     turned = F.array(*(F.struct(F.lit(b).alias("b"), (F.shiftleft("fp", at).bitwiseOR(F.shiftrightunsigned("fp", 64 - at)) if at else F.col("fp")).alias("r"), F.shiftrightunsigned(F.shiftleft("fp", at), 64 - bits).alias("v")) for b, (at, bits) in enumerate(spans)))
-    dealt = distinct.select(F.explode(turned).alias("x")).select("x.b", "x.r", "x.v")
-    partitions = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = distinct.select("fp", F.explode(turned).alias("x")).select("fp", "x.b", "x.r", F.xxhash64("x.b", "x.v").alias("key"))
+    dealt, cells = split_hot(dealt, "key", "fp", most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
+        held = [tuple(x.column(i).to_numpy() for i in range(3)) for x in batches]
         if not held:
             return
-        block, value = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]).view(np.uint64)
+        block, value, cell = (np.concatenate([x[i] for x in held]) for i in range(3))
+        held.clear()
+        value = value.view(np.uint64)
         for b, (at, bits) in enumerate(spans):
-            r = np.unique(value[block == b])
+            r, c = value[block == b], cell[block == b]
             if not len(r):
                 continue
-            cuts = np.flatnonzero(np.diff(r >> np.uint64(64 - bits))) + 1
+            order = np.lexsort((r, c))
+            r, c = r[order], c[order]
+            cuts = np.flatnonzero((np.diff(c) != 0) | (np.diff(r >> np.uint64(64 - bits)) != 0)) + 1
             parent = trie_links(r, np.r_[0, cuts], np.r_[cuts, len(r)], bits, budget)
             child = np.flatnonzero(parent != np.arange(len(r)))
             back = (lambda x: x) if not at else (lambda x, at=np.uint64(at): x >> at | x << np.uint64(64 - int(at)))
             yield pa.RecordBatch.from_arrays([pa.array(back(r[child]).view(np.int64)), pa.array(back(r[parent[child]]).view(np.int64))], ["a", "b"])
 
-    return dealt.repartition(partitions, "b", "v").select("b", "r").mapInArrow(lean(run), "a long, b long")
+    return dealt.repartition(partitions + cells, "key", "cell").select("b", "r", "cell").mapInArrow(lean(run), "a long, b long")
 
 
 def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
@@ -218,7 +226,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, budget: int = 3, seed:
     """
     found = materialize(fingerprints(docs, shingle=shingle, seed=seed, id_col=id_col, text_col=text_col))
     classes = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(classes.select("fp"), budget))
+    roots = components(links(classes.select("fp"), budget, buckets(docs)))
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     # written, so that both sides of the join are plain shuffles and a large component can be split
     smallest = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
@@ -242,29 +250,30 @@ def sketches(docs: DataFrame, *, shingle: int, keys: int, sketch: int, seed: int
     return texts.mapInArrow(lean(run), "__d long, __t long, k long, fp long, m array<long>, sketch binary")
 
 
-def wide_links(distinct: DataFrame, budget: int, least: int, keys: int = KEYS) -> DataFrame:
+def wide_links(distinct: DataFrame, budget: int, least: int, keys: int = KEYS, partitions: int = 1, most: int = PAIR_ROWS) -> DataFrame:
     """(a, b) pairs of nodes that span the groups of fingerprints within a budget too wide for shared blocks of bits.
 
     distinct: k (the node), fp, m, sketch. Two documents alike enough share two MinHash values or more; so each node
     goes to one trie for every pair of its values, and meets there only what shares that pair. There the tries are joined
-    within the Hamming budget, and a pair counts if `least` bytes of its sketches agree. Dealt by value pair; a task emits
-    at most one link for each node it holds.
+    within the Hamming budget, and a pair counts if `least` bytes of its sketches agree. Dealt by value pair over
+    `partitions` tasks or more; a pair that more than `most` nodes share is split into cells. A cell emits at most one
+    link for each node it holds.
     """
     pairs = [(i, j) for j in range(keys) for i in range(j)]
-    partitions = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = F.explode(F.array(*(F.xxhash64(F.lit(i), F.lit(j), F.col("m")[i], F.col("m")[j]) for i, j in pairs))).alias("key")
-    dealt = distinct.select("k", "fp", "sketch", spread).repartition(partitions, "key").select("key", "fp", "k", "sketch")
+    dealt, cells = split_hot(distinct.select("k", "fp", "sketch", spread), "key", "k", most)
+    dealt = dealt.repartition(partitions + cells, "key", "cell").select("key", "cell", "fp", "k", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(*(x.column(i).to_numpy() for i in range(3)), np.frombuffer(b"".join(x.column(3).to_pylist()), np.uint8).reshape(x.num_rows, -1)) for x in batches if x.num_rows]
+        held = [(*(x.column(i).to_numpy() for i in range(4)), np.frombuffer(b"".join(x.column(4).to_pylist()), np.uint8).reshape(x.num_rows, -1)) for x in batches if x.num_rows]
         if not held:
             return
-        key, value, node, sketch = (np.concatenate([h[i] for h in held]) for i in range(4))
+        key, cell, value, node, sketch = (np.concatenate([h[i] for h in held]) for i in range(5))
         held.clear()
         value = value.view(np.uint64)
-        order = np.lexsort((value, key))
-        key, value, node, sketch = key[order], value[order], node[order], sketch[order]
-        cuts = np.flatnonzero(np.diff(key)) + 1
+        order = np.lexsort((value, cell, key))
+        key, cell, value, node, sketch = (x[order] for x in (key, cell, value, node, sketch))
+        cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(cell) != 0)) + 1
         alike = lambda i, j: np.concatenate([(sketch[i[a : a + 65536]] == sketch[j[a : a + 65536]]).sum(axis=1) >= least for a in range(0, len(i), 65536)])
         parent = trie_links(value, np.r_[0, cuts], np.r_[cuts, len(key)], 0, budget, alike)
         child = np.flatnonzero(parent != np.arange(len(key)))
@@ -293,12 +302,13 @@ def confirmed_roots(nodes: list[int], sketch: np.ndarray, sets: list[np.ndarray]
     return parent
 
 
-def confirm(docs: DataFrame, roots: DataFrame, classes: DataFrame, *, least: int, similarity: float, shingle: int, seed: int, id_col: str, text_col: str) -> DataFrame:
+def confirm(docs: DataFrame, roots: DataFrame, classes: DataFrame, *, least: int, similarity: float, shingle: int, seed: int, id_col: str, text_col: str, most: int = SET_BYTES) -> DataFrame:
     """(node, root) of the components that stay when each link is an exact Jaccard index of `similarity` or more.
 
     roots: components of the candidate links; an exact component lies within one of them. Every node's set is compared
-    with its root's first; a component that this confirms as a whole is done, however large. The others go, each to one
-    task, to confirmed_roots.
+    with its root's first; a component that this confirms as a whole is done, however large. The others go to
+    confirmed_roots: in one task up to `most` bytes of sets, beyond that in cells in which any two of its nodes meet and
+    whose links are joined to components again.
     """
     linked = classes.join(roots.select("node", "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), F.col("k") == F.col("node")).select("k", "root", "sketch", F.col("least.__d").alias("__cd"), F.col("least.__t").alias("__ct"))
 
@@ -329,11 +339,16 @@ def confirm(docs: DataFrame, roots: DataFrame, classes: DataFrame, *, least: int
         sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(nodes), -1)
         parent = confirmed_roots(nodes, sketch, [np.frombuffer(x.as_buffer(), "<u8") for x in rows.column("hashes")], least, similarity)
         child = np.flatnonzero(parent != np.arange(len(nodes)))
-        return pa.table({"node": nodes[child], "root": nodes[parent[child]]})
-
-    settled = sets.join(open_, F.col("root") == F.col("o"), "left_semi").groupBy("root").applyInArrow(settle, "node long, root long")
+        return pa.table({"node": nodes[child], "root": nodes[parent[child]], "cell": np.full(len(child), group.column("cell")[0].as_py())})
+
+    doubtful, cells = split_hot(sets.join(open_, F.col("root") == F.col("o"), "left_semi"), "root", "k", most, F.length("hashes") + NODE)
+    settled = doubtful.groupBy("root", "cell").applyInArrow(settle, "node long, root long, cell long")
+    if cells:
+        settled = materialize(settled)
+        split = components(settled.filter("cell > 0").select(F.col("node").alias("a"), F.col("root").alias("b")))
+        settled = settled.filter("cell = 0").select("node", "root").unionByName(split)
     whole = star.join(open_, F.col("root") == F.col("o"), "left_anti").select("node", "root").distinct()
-    return materialize(whole.unionByName(settled))
+    return materialize(whole.unionByName(settled.select("node", "root")))
 
 
 def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, budget: int = 18, keys: int = KEYS, sketch: int = 128, slack: float = 0.09, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -349,7 +364,7 @@ def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float
     found = materialize(sketches(docs, shingle=shingle, keys=keys, sketch=sketch, seed=seed, id_col=id_col, text_col=text_col))
     classes = found.groupBy("k").agg(F.min(F.struct("__d", "__t")).alias("least"), F.min(F.struct("fp", "m", "sketch")).alias("one")).select("k", "least", "one.*")
     agreed = int(np.ceil((similarity - slack) * sketch))
-    roots = components(wide_links(classes.select("k", "fp", "m", "sketch"), budget, agreed, keys))
+    roots = components(wide_links(classes.select("k", "fp", "m", "sketch"), budget, agreed, keys, buckets(docs)))
     roots = confirm(docs, roots, classes, least=agreed, similarity=similarity, shingle=shingle, seed=seed, id_col=id_col, text_col=text_col)
     rooted = classes.join(roots, classes["k"] == roots["node"], "left").select("k", "least", F.coalesce("root", "k").alias("root"))
     # written, so that both sides of the join are plain shuffles and a large component can be split

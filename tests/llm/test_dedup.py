@@ -373,6 +373,42 @@ def test_confirmed_roots_join_over_a_chain():
     assert simhash.confirmed_roots([1, 2, 3, 4], same, chain, 8, 0.8).tolist() == [0, 0, 0, 3]
 
 
+def test_hot_keys_split_into_cells_lose_no_link(spark, corpus, docs, monkeypatch):
+    from functools import partial
+
+    from tests.llm.conftest import prose
+
+    # one component of candidates that is no star around its root: 60 versions of a text, each edited after the one before
+    rows, words = [], prose(1, 300).split()
+    for g in range(60):
+        words = list(words)
+        words[5 * g % 290 + 3] = f"edit{g}"
+        rows.append((g, " ".join(words)))
+    rows += [(100 + g, prose(100 + g, 80)) for g in range(20)]
+    versions = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want_prints = sorted(simhash.near_duplicates(docs).collect(), key=str)
+    want_kept = {r.doc_id for r in simhash.drop_near_duplicates(versions).collect()}
+    assert want_kept == {0} | {100 + g for g in range(20)} and jaccard(rows[0][1], rows[59][1]) < 0.8
+    for name, most in (("links", 4), ("wide_links", 8), ("confirm", 40_000)):
+        monkeypatch.setattr(simhash, name, partial(getattr(simhash, name), most=most))
+    assert sorted(simhash.near_duplicates(docs).collect(), key=str) == want_prints
+    assert {r.doc_id for r in simhash.drop_near_duplicates(versions).collect()} == want_kept
+
+
+def test_cells_of_a_hot_key_hold_every_two_of_its_rows(spark):
+    from itertools import combinations
+
+    from lexloom.llm.common import split_hot
+
+    rows = [(7, n) for n in range(50)] + [(8, n) for n in range(3)]
+    dealt, cells = split_hot(spark.createDataFrame(rows, "key long, k long"), "key", "k", 10)
+    held = defaultdict(set)
+    for r in dealt.collect():
+        held[r.key, r.cell].add(r.k)
+    assert cells == 45 and held[8, 0] == {0, 1, 2} and max(len(x) for x in held.values()) < 30
+    assert {p for (key, _), x in held.items() if key == 7 for p in combinations(sorted(x), 2)} == set(combinations(range(50), 2))
+
+
 def test_op7_edges(clashing, empty, corpus):
     assert simhash.near_duplicates(empty).count() == 0
     kept = simhash.drop_near_duplicates(clashing)
