@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import ann, common, decontaminate, language_id, packing, quality, simhash, substring_dedup, suffix_dedup, token_counts, url_filter
+from lexloom.llm import ann, common, decontaminate, heap_lloyd, language_id, packing, quality, simhash, substring_dedup, suffix_dedup, token_counts, topk, url_filter
 from lexloom.session import spread
 
 
@@ -108,6 +108,54 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 largest integer inner products of every hundredth embedding with all others."""
+    return topk.top_inner_products(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
+
+
+#: Usable vectors as lists of whole numbers, which doubles hold exactly.
+_FLOORS = """select vec_id, label, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as e from embeddings
+  where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"""
+
+OP11_SQL = f"""
+with v as ({_FLOORS}),
+scored as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.e, c.e) as bigint) as score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
+ranked as (select query_id, row_number() over (partition by query_id order by score desc, vec_id) as rank, vec_id, score from scored)
+select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 10
+"""
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all embeddings: 4 parts, 256 entries each, 4 rounds of Lloyd."""
+    return heap_lloyd.compress(_table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def _op12_sql(rounds: int = 4) -> str:
+    steps = [f"""
+with v as materialized ({_FLOORS}),
+x as materialized (select vec_id, label, p, e[1 + p * (len(e) // 4):(p + 1) * (len(e) // 4)] as e from v, range(4) r(p)),
+c0 as materialized (select p, cast(row_number() over (partition by p order by vec_id) - 1 as bigint) as i, e from x where vec_id in (select vec_id from v order by vec_id limit 256))"""]
+    for n in range(rounds + 1):
+        # an entry's squared distance and its index in one number, so that the least is the nearest of the lowest index
+        steps.append(f"""
+a{n} as materialized (select vec_id, any_value(label) as label, x.p, any_value(x.e) as e,
+  min(cast(list_dot_product(x.e, x.e) - 2 * list_dot_product(x.e, c.e) + list_dot_product(c.e, c.e) as bigint) * 256 + c.i) as near from x join c{n} c on x.p = c.p group by vec_id, x.p)""")
+        if n < rounds:
+            steps.append(f"""
+c{n + 1} as materialized (select c.p, c.i, coalesce(m.e, c.e) as e from c{n} c left join (
+  select p, i, list(floor(s / n) order by pos) as e from (
+    select p, near % 256 as i, pos, sum(e[pos]) as s, count(*) as n from a{n}, range(1, (select len(e) // 4 from v limit 1) + 1) d(pos) group by p, near % 256, pos) group by p, i) m on c.p = m.p and c.i = m.i)""")
+    steps.append(f"""
+coded as materialized (select vec_id, any_value(label) as label, string_agg(lower(format('{{:02x}}', near % 256)), '' order by p) as code, cast(sum(near // 256) as bigint) as error from a{rounds} group by vec_id)""")
+    return ",".join(steps) + f"""
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+  (select sha256(string_agg(array_to_string(list_transform(e, lambda y: cast(cast(y as bigint) as varchar)), ','), ',' order by p, i)) from c{rounds}) as codebooks_sha256 from coded
+"""
+
+
+OP12_SQL = _op12_sql()
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -115,6 +163,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_substring_dedup, op4_nearest, op5_decontaminate, op6_quality, op7_simhash, op8_url_filter, op9_language_id, op10_packing, pipeline)
+    f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_substring_dedup, op4_nearest, op5_decontaminate, op6_quality, op7_simhash, op8_url_filter, op9_language_id, op10_packing, op11_topk, op12_codes, pipeline)
 }
-ORACLE_SQL: dict[str, str] = {"op5_decontaminate": OP5_SQL, "op8_url_filter": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_decontaminate": OP5_SQL, "op8_url_filter": OP8_SQL, "op11_topk": OP11_SQL, "op12_codes": OP12_SQL}
