@@ -114,3 +114,8 @@ COUNTRY_NAMES = {
     "slovakia": "SK", "slovenia": "SI", "lithuania": "LT", "latvia": "LV", "estonia": "EE", "luxembourg": "LU", "malta": "MT", "cyprus": "CY", "ireland": "IE",
     "switzerland": "CH", "norway": "NO", "united kingdom": "GB", "turkey": "TR", "türkiye": "TR", "russia": "RU", "serbia": "RS", "albania": "AL", "armenia": "AM", "azerbaijan": "AZ",
 }
+
+# Elements of a page that hold no text of their own, elements that end a line, entities in order of replacement.
+SILENT_TAGS = ["head", "script", "style", "nav", "header", "footer", "noscript", "iframe", "svg"]
+BLOCK_TAGS = ["p", "div", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "table", "ul", "ol", "section", "article"]
+ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
