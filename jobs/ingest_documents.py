@@ -15,6 +15,7 @@ import logging
 import re
 from pathlib import Path
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,10 +52,14 @@ def ingest_batch(rows: DataFrame, batch: int, target: str, least_chars: int, chu
     spark = rows.sparkSession
     judged = rows.select("doc_id", "text", "source", F.coalesce(F.nullif(F.trim("lang"), F.lit("")), F.lit("unknown")).alias("lang"), gates(least_chars).alias("reason"))
     passed = judged.filter("reason is null").drop("reason").withColumn("digest", normalized_hash(text("text")))
-    unique = corpus.first_per_key(corpus.first_per_key(passed, F.col("doc_id"), "digest").drop("__key"), F.col("digest"), "doc_id")
+    unique = corpus.first_per_key(corpus.first_per_key(passed, F.col("doc_id"), "digest").drop("__key"), F.col("digest"), "doc_id").persist(StorageLevel.DISK_ONLY)
     earlier = existing(spark, f"{target}/documents", DOCUMENTS).filter(F.col("batch") < batch)
-    fresh = corpus.without_existing(corpus.without_existing(unique, earlier, "doc_id"), earlier, "digest")
+    fresh = unique
+    for key in ("doc_id", "digest"):
+        # what earlier batches share with this one: the large side meets the small one's keys and passes on hits only
+        fresh = corpus.without_existing(fresh, earlier.select(key).join(unique.select(key), key, "left_semi"), key)
     overwrite_partitions(fresh.select("doc_id", "text", "digest", "source", "lang", F.lit(batch).cast("long").alias("batch")), f"{target}/documents", "batch")
+    unique.unpersist()
 
     accepted = existing(spark, f"{target}/documents", DOCUMENTS).filter(F.col("batch") == batch)
     pieces = accepted.select("doc_id", F.posexplode(sliding_chunks(F.col("text"), chunk_chars, overlap_chars)).alias("place", "content"), "batch", "lang")

@@ -31,16 +31,26 @@ RESULTS = "processed long, updated long, unchanged long, skipped long, failed lo
 PARTS, SLICES = 64, 16
 
 
-def _bucket(c: Column, n: int) -> Column:
-    return F.pmod(F.crc32(c.cast("binary")), F.lit(n)).cast("int")
+def _address() -> Column:
+    """The url without its fragment."""
+    return F.regexp_replace("url", "#.*$", "")
+
+
+def _site() -> Column:
+    return crawl.bare_host(crawl.host_of(F.col("url")))
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """rows with part and slice, the partition that an address belongs to."""
+    bucket = lambda c, n: F.coalesce(F.pmod(F.crc32(F.col(c).cast("binary")), F.lit(n)), F.lit(0)).cast("int")
+    return rows.withColumns({"part": bucket("site", PARTS), "slice": bucket("url", SLICES)})
 
 
 def last_versions(pages: DataFrame) -> DataFrame:
     """url (without fragment), site, title, text, text_hash of each address: its page with the largest id (ties: the largest
     hash). max_by keeps one row an address and task before the shuffle, so an address with very many versions is no hot key."""
-    address = F.regexp_replace("url", "#.*$", "")
-    body = pages.select("page_id", address.alias("url"), page_title(F.col("html")).alias("title"), page_text(F.col("html")).alias("text"))
-    named = body.withColumns({"site": crawl.bare_host(crawl.host_of(F.col("url"))), "text_hash": content_hash(F.concat_ws("\n", "title", "text"))})
+    body = pages.select("page_id", _address().alias("url"), page_title(F.col("html")).alias("title"), page_text(F.col("html")).alias("text"))
+    named = body.withColumns({"site": _site(), "text_hash": content_hash(F.concat_ws("\n", "title", "text"))})
     return named.groupBy("url").agg(F.max_by(F.struct("site", "title", "text", "text_hash"), F.struct("page_id", "text_hash")).alias("__page")).select("url", "__page.*")
 
 
@@ -59,14 +69,15 @@ def refresh(spark: SparkSession, source: str, target: str, least_chars: int = 20
     if high is not None:
         new = new.filter(F.col("page_id") <= high)
         stored = existing(spark, f"{target}/pages", PAGES)
-        old = stored.filter("place = 0").select("url", F.col("text_hash").alias("old_hash"))
+        places = _placed(new.select(_address().alias("url")).withColumn("site", _site())).select("part", "slice").distinct()  # PARTS * SLICES rows at most
+        old = stored.filter("place = 0").join(F.broadcast(places), ["part", "slice"], "left_semi").select("url", F.col("text_hash").alias("old_hash"))
         able = F.col("url").isNotNull() & F.col("html").isNotNull()
         latest = last_versions(new.filter(able & (F.length(page_text(F.col("html"))) >= least_chars)))
         compared = latest.join(old, "url", "left").withColumn("result", F.when(F.col("text_hash") == F.col("old_hash"), "unchanged").otherwise("updated"))
         # written, as two passes read it and the second one changes what it was compared with
-        changes = materialize(compared.select("url", "site", "title", "text_hash", F.when(F.col("result") == "updated", F.col("text")).alias("text"), "result", _bucket(F.col("site"), PARTS).alias("part"), _bucket(F.col("url"), SLICES).alias("slice")))
+        changes = materialize(_placed(compared).select("url", "site", "title", "text_hash", F.when(F.col("result") == "updated", F.col("text")).alias("text"), "result", "part", "slice"))
         changed = changes.filter("result = 'updated'")
-        touched = changed.select("part", "slice").distinct()  # PARTS * SLICES rows at most
+        touched = changed.select("part", "slice").distinct()
         kept = stored.join(F.broadcast(touched), ["part", "slice"], "left_semi").join(changed.select("url"), "url", "left_anti")
         fresh = crawl.page_chunks(changed, chunk_chars, overlap_chars).join(changed.drop("text", "result"), "url")
         columns = [f.split()[0] for f in PAGES.split(", ")]

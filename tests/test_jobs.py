@@ -102,8 +102,22 @@ def test_refresh_killed_before_its_mark_gives_the_same(spark, crawl, monkeypatch
     assert split == whole and len(split) == 4
 
 
+HERE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def test_command_line_runs_the_job(spark, tmp_path):
+    write(spark, [(1, LONG, "en", "a"), (2, "short", "en", "a")], ingest_documents.RAW, str(tmp_path / "raw"))
+    config = tmp_path / "job.toml"
+    config.write_text(f'source = "{tmp_path}/raw"\ntarget = "{tmp_path}/corpus"\ncheckpoint = "{tmp_path}/checkpoint"\nleast_chars = 10000\n')
+    for _ in range(2):  # with a value of the config overruled; the second run takes nothing
+        said = subprocess.run([sys.executable, "-m", "jobs.ingest_documents", "--config", str(config), "--least-chars", "100"], cwd=HERE, capture_output=True, text=True, timeout=300)
+        assert said.returncode == 0, said.stderr[-2000:]
+        assert taken(spark.read.schema(ingest_documents.CHUNKS).parquet(f"{tmp_path}/corpus/chunks")) == [(1, 0, "en", LONG)]
+    assert "0 batches in this run" in said.stderr
+
+
 def test_command_lines_read_their_config(tmp_path):
-    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    here = HERE
     for job, told in (("ingest_documents", "--checkpoint"), ("refresh_pages", "--target")):
         said = subprocess.run([sys.executable, "-m", f"jobs.{job}", "--help"], cwd=here, capture_output=True, text=True, timeout=120)
         assert said.returncode == 0 and told in said.stdout and "--least-chars" in said.stdout
