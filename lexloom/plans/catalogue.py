@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import anonymize, authority, chunking, cleaning, references, vectors
 from lexloom.functions import text as T
-from lexloom.operators import citations, classify, corpus, crawl, retrieval, state, stats
+from lexloom.operators import citations, classify, corpus, crawl, retrieval, state, stats, vector_index
 from lexloom.session import shared_dir, spread
 from lexloom.sources import sinks
 from lexloom.streaming import jobs
@@ -443,6 +443,33 @@ def v3_nearest(spark, sf):
     return retrieval.nearest_by_cosine(questions(spark, sf), chunks(spark, sf, True)).select("question_id", "id", "semantic")
 
 
+def _vector_index(spark, sf) -> str:
+    """An index of all embedded chunks in a new folder: built on the even ids, the odd ones appended."""
+    path = f"{shared_dir(spark)}/lexloom/vectors-{uuid.uuid4().hex}"
+    rows = chunks(spark, sf, True).select("id", "embedding")
+    dims = rows.filter(vectors.is_embedded(F.col("embedding"))).agg(F.max(F.size("embedding"))).first()[0]
+    vector_index.build(rows.filter("id % 2 = 0"), path, dims)
+    vector_index.append(rows.filter("id % 2 = 1"), path, 1)
+    return path
+
+
+@query(f"""with {CHUNKS}, {QUESTIONS} select question_id, id, round(list_cosine_similarity(embedding, vector), 6) as semantic from questions, chunks where len(embedding) > 10
+qualify row_number() over (partition by question_id order by semantic desc, id) <= 30""")
+def v3_vector_index(spark, sf):
+    """The nearest rows through the stored index, in the mode that proves that no nearer one was missed."""
+    return vector_index.search(questions(spark, sf), _vector_index(spark, sf), exact=True).select("question_id", "id", "semantic")
+
+
+@query()
+def o3_index_recall(spark, sf):
+    """How many of each question's 30 nearest rows the index finds with as many probes as a sample of it asks for."""
+    asked, path = questions(spark, sf), _vector_index(spark, sf)
+    found = vector_index.search(asked, path, probes=vector_index.probes_for(spark, path)).select("question_id", "id")
+    wanted = retrieval.nearest_by_cosine(asked, chunks(spark, sf, True)).select("question_id", "id", F.lit(1).alias("wanted"))
+    both = wanted.join(found.withColumn("found", F.lit(1)), ["question_id", "id"], "left")
+    return both.groupBy("question_id").agg(F.count("wanted").alias("wanted"), F.count("found").alias("found"))
+
+
 @query(f"""with {CHUNKS}, rows as (select *, contains(lower(content), 'worthless') as hit from chunks where len(embedding) > 10),
 first as (select * from rows where hit order by id limit 1500), rest as (select * from rows where id not in (select id from first) order by id limit 4000),
 pool as (select * from (select *, 0 as turn from first union all select *, 1 as turn from rest) order by turn, id limit 4000),
