@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from lexloom.functions.authority import authority_weight
 from lexloom.functions.references import article_refs, article_score, match_values
 from lexloom.functions.text import TOKEN_BREAK, is_official_url, latin_digits, normalize, search_tokens, text, tokens
 from lexloom.functions.vectors import cosine, is_embedded
-from lexloom.session import broadcast_if_small
+from lexloom.session import broadcast_if_small, materialize
 
 BROADCAST_QUESTIONS = 2000
 EXACT_LIMIT, FTS_LIMIT, VECTOR_LIMIT, LEXICAL_POOL, POOL, TOP = 80, 30, 30, 1500, 4000, 8
@@ -66,11 +67,6 @@ def exact_lookup(questions: DataFrame, chunks: DataFrame, limit: int = EXACT_LIM
     return top(tier, "question_id", [kind, F.col("id")], limit).drop("value", "hints", "tier", "best")
 
 
-def inverted_index(chunks: DataFrame, content: Column, key: str = "id") -> DataFrame:
-    """(token, id): the table that full-text search joins."""
-    return chunks.select(F.col(key), F.explode(search_tokens(content)).alias("token"))
-
-
 def fts_all_terms(questions: DataFrame, chunks: DataFrame, content: Column, limit: int = FTS_LIMIT) -> DataFrame:
     """(question_id, id, hits): rows that hold every word of the question, those with the most distinct words in few first.
 
@@ -85,14 +81,19 @@ def fts_all_terms(questions: DataFrame, chunks: DataFrame, content: Column, limi
     return top(sized, "question_id", [F.col("size"), F.col("id")], limit).select("question_id", "id", "hits", "rank")
 
 
+def first_words(question: Column, terms: int = 5) -> Column:
+    """The distinct first words of three letters or more, in lower case: what the fallback looks for."""
+    words = F.slice(F.filter(F.split(F.regexp_replace(question, r"[^؀-ۿa-zA-Z0-9\s]", " "), r"\s+"), lambda t: F.length(t) >= 3), 1, terms)
+    return F.array_distinct(F.transform(words, F.lower))
+
+
 def any_term(questions: DataFrame, chunks: DataFrame, limit: int = FTS_LIMIT, terms: int = 5) -> DataFrame:
     """The fallback: rows whose content or title contains one of the question's first words of three letters or more.
 
     The batch's distinct words become one automaton, so a text is read once, however many questions there are; a task
     passes on the first `limit` ids of each word, as no question takes more.
     """
-    words = F.slice(F.filter(F.split(F.regexp_replace(F.col("question"), r"[^؀-ۿa-zA-Z0-9\s]", " "), r"\s+"), lambda t: F.length(t) >= 3), 1, terms)
-    asked = questions.select("question_id", F.explode(F.array_distinct(F.transform(words, F.lower))).alias("term"))
+    asked = questions.select("question_id", F.explode(first_words(F.col("question"), terms)).alias("term"))
     rows = chunks.select("id", F.lower(text("source_title")).alias("title"), F.lower(text("content")).alias("content"))
     found = rows.mapInArrow(_holders([r[0] for r in asked.select("term").distinct().collect()], limit), StructType([chunks.schema["id"], StructField("term", StringType())]))
     least = top(found.distinct(), "term", [F.col("id")], limit).drop("rank")
@@ -245,24 +246,40 @@ def rank(candidates: DataFrame, limit: int = TOP, places: int | None = None) ->
     return top(kept, "question_id", [F.desc("score"), F.col("first_pos")], limit).drop("refs", "words", "hay", "first_pos", "turn", "named")
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, limit: int = TOP, places: int | None = None) -> DataFrame:
+@dataclass
+class Branches:
+    """How candidates are found, each from the questions alone: (question_id, id, rank), the vector branch also semantic."""
+
+    exact: Callable[[DataFrame], DataFrame]
+    all_terms: Callable[[DataFrame], DataFrame]
+    any_term: Callable[[DataFrame], DataFrame]
+    nearest: Callable[[DataFrame], DataFrame]
+
+
+def scans(chunks: DataFrame) -> Branches:
+    """Branches that read the chunks themselves."""
+    searched = F.concat_ws(" ", text("source_title"), text("article_number"), text("content"))
+    return Branches(lambda q: exact_lookup(q, chunks), lambda q: fts_all_terms(q, chunks, searched), lambda q: any_term(q, chunks), lambda q: nearest_by_cosine(q, chunks))
+
+
+def retrieve(questions: DataFrame, chunks: DataFrame, limit: int = TOP, places: int | None = None, branches: Branches | None = None) -> DataFrame:
     """Hybrid retrieval of a batch: questions (question_id, question and, where vectors are at hand, vector) over chunks.
 
     A question that no row answers with all its words gets the rows that hold any of its first ones. Without a vector
     column, or for a question whose vector is null (a model that failed), the vector branch adds nothing. Candidates are
-    ids; contents are joined to them once.
+    ids; contents are joined to them once. branches: stored indexes in place of scans (`indexed`).
     """
-    searched = F.concat_ws(" ", text("source_title"), text("article_number"), text("content"))
-    all_terms = fts_all_terms(questions, chunks, searched)
-    fallback = any_term(questions, chunks).join(all_terms.select("question_id").distinct(), "question_id", "left_anti")
-    hits = {0: ("exact_article", exact_lookup(questions, chunks)), 1: ("fts", all_terms.select("question_id", "id", "rank").unionByName(fallback.select("question_id", "id", "rank")))}
+    by, kept = branches or scans(chunks), materialize if branches else (lambda rows: rows)  # what indexes give is small and has a long lineage
+    all_terms = kept(by.all_terms(questions))
+    answered = all_terms.select("question_id").distinct()
+    fallback = by.any_term(questions.join(answered, "question_id", "left_anti") if branches else questions).join(answered, "question_id", "left_anti")
+    hits = {0: ("exact_article", by.exact(questions)), 1: ("fts", all_terms.select("question_id", "id", "rank").unionByName(fallback.select("question_id", "id", "rank")))}
     if "vector" in questions.columns:
-        hits[2] = ("vector", nearest_by_cosine(questions.filter("vector is not null"), chunks))
-    branches = [
-        rows.select("question_id", "id", F.lit(kind).alias("match_kind"), (F.col("semantic") if kind == "vector" else F.lit(0.0)).alias("semantic"), (F.lit(branch * 1_000_000) + F.col("rank")).alias("pos"))
-        for branch, (kind, rows) in hits.items()
-    ]
-    found = functools.reduce(DataFrame.unionByName, branches)
+        hits[2] = ("vector", by.nearest(questions.filter("vector is not null")))
+    found = kept(functools.reduce(
+        DataFrame.unionByName,
+        (rows.select("question_id", "id", F.lit(kind).alias("match_kind"), (F.col("semantic") if kind == "vector" else F.lit(0.0)).alias("semantic"), (F.lit(branch * 1_000_000) + F.col("rank")).alias("pos")) for branch, (kind, rows) in hits.items()),
+    ))
     # a row found for many questions is normalised once
     rows = chunks.drop("embedding").join(found.select("id").distinct(), "id", "left_semi").withColumn("hay", haystack(F.col("source_title"), F.col("content")))
     return rank(rows.join(found, "id").join(small(questions.select("question_id", "question")), "question_id"), limit, places)

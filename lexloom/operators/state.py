@@ -15,8 +15,13 @@ def insert_ignore(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: str, updated: list[str]) -> DataFrame:
-    """The table with the rows: known keys get only the `updated` columns, new ones all. A null in a row updates too."""
-    fresh = rows.select(F.col(key).alias("__key"), F.struct(*rows.columns).alias("__new"))
+    """The table with the rows: known keys get only the `updated` columns, new ones all. A null in a row updates too.
+
+    Of rows with one key the one with the largest values, compared column by column, counts.
+    """
+    others = [c for c in rows.columns if c != key]
+    one = rows.groupBy(key).agg(F.max(F.struct(*others)).alias("__row")).select(key, *(F.col("__row")[c].alias(c) for c in others)) if others else rows.distinct()
+    fresh = one.select(F.col(key).alias("__key"), F.struct(*rows.columns).alias("__new"))
     joined = table.withColumn("__old", F.lit(True)).join(fresh, F.col(key) == F.col("__key"), "full_outer")
     old, new = F.coalesce("__old", F.lit(False)), F.col("__new").isNotNull()
     pick = lambda c: F.when(new & (~old | F.lit(c in updated)), F.col("__new")[c]).otherwise(F.col(c)) if c in rows.columns else F.col(c)

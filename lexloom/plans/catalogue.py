@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import anonymize, authority, chunking, cleaning, references, vectors
 from lexloom.functions import text as T
-from lexloom.operators import citations, classify, corpus, crawl, retrieval, state, stats, vector_index
+from lexloom.operators import citations, classify, corpus, crawl, retrieval, state, stats, text_index, vector_index
 from lexloom.session import shared_dir, spread
 from lexloom.sources import sinks
 from lexloom.streaming import jobs
@@ -228,6 +228,28 @@ def p6_any_term(spark, sf):
     return retrieval.any_term(asked, chunks(spark, sf)).withColumn("rank", F.col("rank").cast("long"))
 
 
+def _folder(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/lexloom/{name}-{uuid.uuid4().hex}"
+
+
+@query(ORACLE_SQL["p5_fts_all_terms"])
+def p5_text_index(spark, sf):
+    """p5 through the stored index, in two generations."""
+    asked, path, rows = questions(spark, sf).select("question_id", F.col("words").alias("question")), _folder(spark, "texts"), chunks(spark, sf)
+    for generation in (0, 1):
+        text_index.index_texts(rows.filter(F.col("id") % 2 == generation), path, F.col("content"), generation)
+    return text_index.all_terms(asked, path).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(ORACLE_SQL["p6_any_term"])
+def p6_word_index(spark, sf):
+    """p6 through the stored index of words and their trigrams, in two generations."""
+    asked, path, rows = questions(spark, sf).select("question_id", F.col("words").alias("question")), _folder(spark, "words"), chunks(spark, sf)
+    for generation in (0, 1):
+        text_index.index_words(rows.filter(F.col("id") % 2 == generation), path, generation)
+    return text_index.any_term(asked, path).withColumn("rank", F.col("rank").cast("long"))
+
+
 @query(f"with {CHUNKS} select coalesce(len(embedding) > 10, false) as embedded, coalesce(embedding is null or len(embedding) < 10, true) as missing, count(*) as n from chunks group by all")
 def p7_p8_embedding_state(spark, sf):
     rows = chunks(spark, sf, True).select(vectors.is_embedded(F.col("embedding")).alias("embedded"), vectors.lacks_embedding(F.col("embedding")).alias("missing"))
@@ -445,7 +467,7 @@ def v3_nearest(spark, sf):
 
 def _vector_index(spark, sf) -> str:
     """An index of all embedded chunks in a new folder: built on the even ids, the odd ones appended."""
-    path = f"{shared_dir(spark)}/lexloom/vectors-{uuid.uuid4().hex}"
+    path = _folder(spark, "vectors")
     rows = chunks(spark, sf, True).select("id", "embedding")
     dims = rows.filter(vectors.is_embedded(F.col("embedding"))).agg(F.max(F.size("embedding"))).first()[0]
     vector_index.build(rows.filter("id % 2 = 0"), path, dims)
@@ -529,6 +551,15 @@ def v6_retrieve(spark, sf):
     return retrieval.retrieve(questions(spark, sf), chunks(spark, sf, True), places=6).select("question_id", "id", "match_kind", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query(ORACLE_SQL["v6_retrieve"])
+def v6_indexed(spark, sf):
+    """v6 over stored indexes of texts, words and vectors: no branch scans the texts."""
+    path, rows = _folder(spark, "indexes"), chunks(spark, sf, True)
+    text_index.build_indexes(rows, path, rows.agg(F.max(F.size("embedding"))).first()[0])
+    ranked = retrieval.retrieve(questions(spark, sf), rows, places=6, branches=text_index.indexed(rows, path))
+    return ranked.select("question_id", "id", "match_kind", "score", F.col("rank").cast("long").alias("rank"))
+
+
 @query("""with q as (select vec_id as phrase_id, vec_id // 4 as request_id, embedding::double[] as v from embeddings),
 near as (select request_id, phrase_id, vec_id as id, 1 - round(list_cosine_similarity(embedding::double[], v), 6) as distance from q, embeddings qualify row_number() over (partition by phrase_id order by round(list_cosine_similarity(embedding::double[], v), 6) desc, vec_id) <= 8),
 best as (select request_id, id, min(distance) as distance from near group by all)

@@ -16,16 +16,36 @@ def append(rows: DataFrame, path: str, *partition_by: str) -> None:
 
 
 def swap(rows: DataFrame, path: str, *partition_by: str) -> None:
-    """Replace a table whose old rows may be read by the new ones: write beside, then rename."""
+    """Replace a table whose old rows may be read by the new ones: write beside, rename, and delete the old one last.
+
+    A rename that fails is an error that leaves the old table in its place. A reader between the two renames finds none.
+    """
     spark = rows.sparkSession
-    jvm, fresh, old = spark.sparkContext._jvm, f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    swap_in(place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), spark, rows, path, *partition_by)
+
+
+def swap_in(fs, spark: SparkSession, rows: DataFrame, path: str, *partition_by: str) -> None:
+    """swap on a given Hadoop file system."""
+    fresh, old = f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
     rows.write.partitionBy(*partition_by).parquet(fresh)
-    place = jvm.org.apache.hadoop.fs.Path
-    fs = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(place(path)):
-        fs.rename(place(path), place(old))
-    fs.rename(place(fresh), place(path))
-    fs.delete(place(old), True)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+
+    def move(a: str, b: str) -> None:
+        if not fs.rename(place(a), place(b)):
+            raise OSError(f"{a} could not be renamed to {b}")
+
+    there = fs.exists(place(path))
+    if there:
+        move(path, old)
+    try:
+        move(fresh, path)
+    except Exception:
+        if there:
+            move(old, path)
+        raise
+    if there:
+        fs.delete(place(old), True)
 
 
 def insert_ignore(rows: DataFrame, path: str, key: str) -> None:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.operators import retrieval, vector_index
+from lexloom.operators import retrieval, text_index, vector_index
 
 EMBEDDED = "id long, embedding array<double>"
 
@@ -81,3 +81,67 @@ def test_index_of_bad_vectors_and_of_none(spark, asked, tmp_path):
     vector_index.build(spark.createDataFrame([*bad, (6, [1.0] * 32), (7, [1e-200] * 31 + [2e-200])], EMBEDDED), str(tmp_path / "few"), 32)
     found = vector_index.search(spark.createDataFrame([(1, [2.0] * 32), (2, None), (3, [1.0]), (4, [0.0] * 32)], "question_id int, vector array<double>"), str(tmp_path / "few"), exact=True)
     assert [(r.question_id, r.id, r.rank) for r in found.orderBy("rank").collect()][0] == (1, 6, 1)
+
+
+TEXT = "id long, source_title string, article_number string, content string"
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    rng = np.random.default_rng(4)
+    words = [f"{a}{b}{c}" for a in "kmr" for b in ("ona", "İz", "éta", "ul") for c in ("", "se", "ndo", "12")] + ["قانون", "قانون‌گذار", "ماده", "Straße"]
+    rows = []
+    for i in range(900):
+        picked = rng.choice(words, size=int(rng.integers(1, 60)))
+        rows.append((i, f"Law {i % 7}" if i % 3 else None, str(i), " ".join(["common", *picked]) if i % 2 else f"{'-'.join(picked)} Common."))
+    rows += [(900, None, None, None), (901, "", "1", ""), (902, "t", "1", "..."), (903, "t", "2", "x" * 30_000 + " konase"), (904, "konase", "3", "title only")]
+    return spark.createDataFrame(rows, TEXT).repartition(3).persist()
+
+
+@pytest.fixture(scope="module")
+def questions(spark):
+    asked = ["common", "kona law", "konase mulndo common", "قانون ماده", "kona, retase & mul12", "no such word here", "", "ona", "se 12", "Common COMMON", "İz", "straße", "ndo abc common", "konase title", "xxx"]
+    return spark.createDataFrame(list(enumerate(asked)), "question_id long, question string")
+
+
+@pytest.fixture(scope="module")
+def stored(spark, texts, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("texts"))
+    for generation, part in enumerate(("id < 500", "id >= 500")):
+        text_index.index_texts(texts.filter(part), f"{path}/texts", F.col("content"), generation)
+        text_index.index_words(texts.filter(part), f"{path}/words", generation)
+    return path
+
+
+def listed(found):
+    return sorted((r.question_id, r.rank, r.id) for r in found.collect())
+
+
+@pytest.mark.parametrize("limit", [3, 30])
+def test_index_gives_the_rows_of_the_scan(texts, questions, stored, limit, monkeypatch):
+    monkeypatch.setattr(text_index, "HEAD", 2)
+    want = listed(retrieval.fts_all_terms(questions, texts, F.col("content"), limit))
+    assert listed(text_index.all_terms(questions, f"{stored}/texts", limit)) == want and {q for q, _, _ in want} >= {0, 2, 3, 9, 11}
+    want = listed(retrieval.any_term(questions, texts, limit))
+    assert listed(text_index.any_term(questions, f"{stored}/words", limit)) == want and {q for q, _, _ in want} >= {0, 1, 7, 13}
+
+
+def test_blocks_are_in_order_and_a_common_token_lies_in_many(spark, stored):
+    blocks = spark.read.parquet(f"{stored}/texts/blocks").filter("token = 'common'").collect()
+    assert sum(b.n for b in blocks) == 900 and len(blocks) >= 900 / text_index.BLOCK
+    for b in blocks:
+        assert [tuple(p) for p in b.postings] == sorted(tuple(p) for p in b.postings) and tuple(b.low) == tuple(b.postings[0]) and tuple(b.high) == tuple(b.postings[-1])
+
+
+def test_a_question_reads_the_buckets_of_its_words(spark, questions, stored):
+    blocks = spark.read.parquet(f"{stored}/texts/blocks")
+    terms = text_index.materialize(questions.filter("question_id = 1").selectExpr("question_id", "explode(split(question, ' ')) as token"))
+    plan = text_index._asked(blocks, terms)._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+
+
+def test_index_of_no_rows(spark, texts, questions, tmp_path):
+    text_index.index_texts(texts.limit(0), f"{tmp_path}/t", F.col("content"))
+    text_index.index_words(texts.filter("id = 902").withColumn("source_title", F.lit(None).cast("string")), f"{tmp_path}/w")
+    assert text_index.all_terms(questions, f"{tmp_path}/t").count() == 0 and text_index.any_term(questions, f"{tmp_path}/w").count() == 0
+    assert text_index.all_terms(questions, f"{tmp_path}/nowhere").count() == 0

@@ -4,6 +4,7 @@ import io
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexloom import api, schemas
@@ -280,6 +281,8 @@ def test_models_and_sinks(spark, tmp_path):
     sinks.insert_ignore(spark.createDataFrame([("b", "no"), ("c", "z")], rows.schema), path, "id")
     sinks.upsert(spark.createDataFrame([("a", "new")], rows.schema), path, "id", ["content"])
     assert {tuple(r) for r in spark.read.parquet(path).collect()} == {("a", "new"), ("b", "y"), ("c", "z")}
+    twice = state.upsert(spark.read.parquet(path), spark.createDataFrame([("a", "1"), ("a", "2"), ("d", "3"), ("d", None)], rows.schema), "id", ["content"])
+    assert {tuple(r) for r in twice.collect()} == {("a", "2"), ("b", "y"), ("c", "z"), ("d", "3")} and twice.count() == 4
     sinks.scoped_replace(spark.createDataFrame([("a", "again")], rows.schema), path, ["id"])
     assert spark.read.parquet(path).filter("content = 'again'").count() == 1
     sinks.json_files(rows, str(tmp_path / "j"), "gzip")
@@ -292,6 +295,28 @@ def test_models_and_sinks(spark, tmp_path):
     assert set(tokens) == {"t", "5", "a", "b"}
 
 
+def test_a_swap_whose_rename_fails_keeps_the_table(spark, tmp_path):
+    path = tmp_path / "t"
+    spark.range(3).write.parquet(str(path))
+    fresh = spark.range(5)
+    moved = []
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(str(path)).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    class Failing:  # the second rename, of the new table to its place, is refused
+        def rename(self, a, b):
+            moved.append((a.getName(), b.getName()))
+            return False if a.getName().endswith(".new") else hadoop.rename(a, b)
+
+        def __getattr__(self, name):
+            return getattr(hadoop, name)
+
+    with pytest.raises(OSError, match="could not be renamed"):
+        sinks.swap_in(Failing(), spark, fresh, str(path))
+    assert spark.read.parquet(str(path)).count() == 3 and len(moved) == 3
+    sinks.swap(fresh, str(path))
+    assert spark.read.parquet(str(path)).count() == 5 and [p.name for p in tmp_path.iterdir() if p.name.endswith(".old")] == []
+
+
 def test_migrations(spark):
     spark.sql("create database if not exists lex")
     made = schemas.create_tables(spark, "lex")
