@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.text import fill_template, text
 from lexloom.operators import citations, classify, retrieval, stats
+from lexloom.session import materialize
 
 #: Bounds of what users send.
 QUESTION_LENGTH, STORY_LENGTH = (4, 2000), (8, 8000)
@@ -39,12 +40,12 @@ def fallback_answer(ranked: DataFrame) -> DataFrame:
 def ask(questions: DataFrame, chunks: DataFrame, as_of: Column, generate: Callable[[DataFrame], DataFrame] | None = None, source_type: str = "all", limit: int = retrieval.TOP) -> Answers:
     """Grounded answers for a batch: questions (question_id, question, optional vector) over chunks.
 
-    generate: from the ranked rows to (question_id, answer); without it the fallback answers. All parts are lazy plans
-    over the same ranking.
+    generate: from the ranked rows to (question_id, answer); without it the fallback answers. The ranking, a few rows a
+    question, is written once; all parts read it.
     """
     if source_type not in SOURCE_TYPES:
         raise ValueError(f"unknown source type {source_type}")
-    ranked = retrieval.retrieve(questions, retrieval.optional_equal(chunks, "source_type", source_type), limit)
+    ranked = materialize(retrieval.retrieve(questions, retrieval.optional_equal(chunks, "source_type", source_type), limit))
     answers = (generate or fallback_answer)(ranked)
     verified = citations.verify(answers, ranked)
     evaluation = citations.evaluate_retrieval(ranked).join(citations.evaluate_answers(verified), "question_id", "left").na.fill(0)

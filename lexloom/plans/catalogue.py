@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom import api
 from lexloom.functions import anonymize, authority, chunking, cleaning, references, vectors
 from lexloom.functions import text as T
 from lexloom.operators import citations, classify, corpus, crawl, retrieval, state, stats, text_index, vector_index
@@ -551,6 +552,74 @@ def v6_retrieve(spark, sf):
     return retrieval.retrieve(questions(spark, sf), chunks(spark, sf, True), places=6).select("question_id", "id", "match_kind", "score", F.col("rank").cast("long").alias("rank"))
 
 
+# Mixed questions: plain words, an article of a law named in the question (two laws), an article without a vector.
+_LAWS = ("قانون مدنی", "قانون تجارت")
+_HINTS = ("قانون مدنی", "تجارت")  # what titles of these laws are told by
+
+
+def law_chunks(spark, sf) -> DataFrame:
+    """chunks of which two thirds belong to one of two laws."""
+    third = F.col("id") % 3
+    return chunks(spark, sf, True).withColumn("source_title", F.when(third == 0, _LAWS[0]).when(third == 1, _LAWS[1]).otherwise(F.col("source_title")))
+
+
+def mixed_questions(spark, sf) -> DataFrame:
+    kind, number = F.col("question_id") % 4, (F.col("question_id") % 97).cast("string")
+    asked = F.when(kind == 0, F.col("words")).otherwise(F.concat(F.lit("ماده "), number, F.when(kind == 1, f" {_LAWS[0]} ").when(kind == 3, f" {_LAWS[1]} ").otherwise(" "), "words"))
+    return questions(spark, sf).select("question_id", asked.alias("question"), F.when(kind != 2, F.col("vector")).alias("vector"))
+
+
+_MIXED = f"""with {CHUNKS.replace("chunks as (", "plain_chunks as (", 1)}, {QUESTIONS.replace("questions as (", "plain_questions as (", 1)},
+chunks as (select * replace (case id % 3 when 0 then '{_LAWS[0]}' when 1 then '{_LAWS[1]}' else source_title end as source_title) from plain_chunks),
+questions as (select question_id, case when question_id % 4 > 0 then cast(question_id % 97 as varchar) end as number, case question_id % 4 when 1 then '{_HINTS[0]}' when 3 then '{_HINTS[1]}' else '' end as hint,
+  case when question_id % 4 = 0 then words else 'ماده ' || (question_id % 97) || case question_id % 4 when 1 then ' {_LAWS[0]} ' when 3 then ' {_LAWS[1]} ' else ' ' end || words end as question,
+  case when question_id % 4 <> 2 then vector end as vector from plain_questions),
+exact as (select question_id, id, 'exact_article' as match_kind, 0.0::double as semantic, row_number() over (partition by question_id order by case source_type when 'statute' then 0 when 'advisory_opinion' then 1 else 2 end, id) as pos
+  from (select *, case when hint <> '' and contains(source_title, hint) then 0 else 1 end as tier from questions join chunks on article_number = number qualify tier = min(tier) over (partition by question_id)) qualify pos <= 80),
+vec as (select question_id, id, 'vector' as match_kind, round(list_cosine_similarity(embedding, vector), 6) as semantic, 2000000 + row_number() over (partition by question_id order by round(list_cosine_similarity(embedding, vector), 6) desc, id) as pos
+  from questions, chunks where len(embedding) > 10 and vector is not null qualify pos <= 2000030),
+{_RETRIEVED[_RETRIEVED.index("terms as ("):_RETRIEVED.index("toks as (")]}toks as (select question_id, list_filter(regexp_split_to_array(question, '[^\\x{{0600}}-\\x{{06FF}}a-zA-Z0-9]+'), lambda t: length(t) >= 3) as toks, number, hint from questions),
+scored as (select c.*, source_title, article_number, number, hint, coalesce(article_number = number, false) as asked_for, contains(source_title, hint) as of_law,
+  case when article_number = number then case when hint = '' then 0.72 when contains(source_title, hint) then 1.0 else 0.35 end else 0 end as exact,
+  round(case when article_number = number then case when hint = '' then 0.72 when contains(source_title, hint) then 1.0 else 0.35 end else 0 end * 1.35::double + semantic * 0.55
+   + case when len(toks) > 0 then len(list_filter(toks, lambda t: contains(source_title || chr(10) || trim(regexp_replace(content, '[ \\n\\t]+', ' ', 'g')), t))) / len(toks) else 0 end * 0.25
+   + case source_type when 'statute' then 90 when 'advisory_opinion' then 40 when 'case_law' then 35 else 88 end / 100 * 0.12 + case when source_url like 'http%' then 0.08 else 0 end, 6) as score
+  from cand c join chunks using (id) join toks using (question_id)),
+one as (select *, min(pos) over (partition by question_id, id) as first_pos from scored qualify row_number() over (partition by question_id, id order by score desc, pos) = 1),
+kept as (select *, case when exact >= 0.72 then 'exact_article' when match_kind = 'exact_article' then 'fts' else match_kind end as kind from one),
+wanted as (select *, coalesce(bool_or(kind = 'exact_article' and hint <> '' and of_law) over (partition by question_id), false) as named from kept where kind in ('exact_article', 'fts') or score > 0.18),
+ranked as (select question_id, id, kind as match_kind, score, row_number() over (partition by question_id order by score desc, first_pos) as rank from wanted where not (named and hint <> '' and asked_for and not of_law) qualify rank <= 8)"""
+
+
+@query(f"{_MIXED} select * from ranked")
+def v6_mixed(spark, sf):
+    """Questions that some row answers with all its words, that name a law whose rows suppress the same article of others, and
+    that have no vector."""
+    ranked = retrieval.retrieve(mixed_questions(spark, sf), law_chunks(spark, sf), places=6)
+    return ranked.select("question_id", "id", "match_kind", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""{_MIXED}, first as (select question_id, article_number from ranked join chunks using (id) where rank = 1)
+select question_id, list(id order by rank) as retrieved_ids, list(match_kind order by rank) as kinds, any_value([f.article_number]) as cited, ['999'] as unverified, 2::bigint as n_cited, 1::bigint as n_unverified,
+  count(*) as retrieved, count(*) filter (match_kind = 'exact_article') as exact_article_hits, count(*) filter (match_kind = 'fts') as fts_hits, count(*) filter (match_kind = 'vector') as vector_hits,
+  count(*) filter (source_url like 'http%') as public_urls, count(*) filter (c.article_number = '999') as unbacked_rows
+from ranked join chunks c using (id) join first f using (question_id) group by question_id""")
+def v10_ask(spark, sf):
+    """Questions asked from end to end: retrieval, an answer that cites its first source and one that nobody retrieved, the
+    verification of both, the evaluation, the audit row and the citations that users see."""
+
+    def cite(ranked: DataFrame) -> DataFrame:
+        first = ranked.filter("rank = 1")
+        return first.select("question_id", F.concat(F.lit("به موجب ماده "), "article_number", F.lit(" و ماده 999")).alias("answer"))
+
+    rows = law_chunks(spark, sf)
+    told = api.ask(mixed_questions(spark, sf), rows, F.lit("2026-01-01").cast("timestamp"), cite)
+    shown = told.citations.groupBy("question_id").agg(F.count("source_url").alias("public_urls"), F.count_if(~F.col("verified")).alias("unbacked_rows"))
+    audit = told.audit.select("question_id", "retrieved_ids", F.transform("match_kinds", lambda m: m["kind"]).alias("kinds"), F.transform("cited", lambda c: c["number"]).alias("cited"), F.transform("unverified", lambda c: c["number"]).alias("unverified"))
+    measured = told.evaluation.select("question_id", F.col("cited").alias("n_cited"), F.col("unverified").alias("n_unverified"), "retrieved", "exact_article_hits", "fts_hits", "vector_hits")
+    return audit.join(measured, "question_id").join(shown, "question_id")
+
+
 @query(ORACLE_SQL["v6_retrieve"])
 def v6_indexed(spark, sf):
     """v6 over stored indexes of texts, words and vectors: no branch scans the texts."""
