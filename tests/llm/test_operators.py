@@ -136,6 +136,33 @@ def test_op4_any_finite_scale(spark):
         assert len(set(mine) & {i for _, i in best}) >= 18 and mine[0] == best[0][1]
 
 
+def test_op4_rows_that_share_an_id_count_one_by_one(spark):
+    """Every row but the query's own is a candidate: the other row of its id too, and each of the two asks."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(16).tolist()) for i in range(60)]
+    rows += [(20, rng.standard_normal(16).tolist()), (21, rows[21][1]), (40, rows[40][1])]
+    found = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 20 == 0, epsilon=9.0).collect()
+    want = []
+    for n, (q, x) in enumerate(rows):
+        if q % 20 == 0:
+            scored = sorted((-float(np.dot(x, y)), i) for m, (i, y) in enumerate(rows) if m != n)[:20]
+            want += [(q, at + 1, i, round(-s, 9)) for at, (s, i) in enumerate(scored)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in found) == sorted(want)
+
+
+def test_op4_reranks_a_part_of_the_candidates_only(spark):
+    rng = np.random.default_rng(6)
+    vectors, turn = rng.standard_normal((6000, 64)) / 8, ann.rotation(64)
+    codes, rows = ann.Codes(*ann.encode(vectors, turn)), np.arange(6000)
+    hits = reranked = 0
+    for q, ids, _, scored in ann.search(rows[:60], vectors[:60], rows, rows, vectors, codes, 20, turn):
+        exact = vectors @ vectors[q[0]]
+        exact[q[0]] = -np.inf
+        hits += len(set(ids.tolist()) & set(np.argsort(-exact)[:20].tolist()))
+        reranked += scored
+    assert hits >= 0.97 * 20 * 60 and reranked <= 0.5 * 6000 * 60
+
+
 def test_op4_few_candidates(spark):
     table = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [0.0, 2.0])], "vec_id long, embedding array<double>")
     found = sorted(tuple(r) for r in ann.nearest(table, lambda i: i % 20 == 0).collect())
