@@ -71,6 +71,13 @@ def search_tokens(c: Column) -> Column:
     return F.array_distinct(F.array_remove(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), ""))
 
 
+def trigrams(c: Column) -> Column:
+    """The distinct runs of three characters of a text, cut in one pass; a shorter text has none."""
+    letters = F.split(c, "")
+    places = F.sequence(F.lit(0), F.size(letters) - 3)
+    return F.when(F.length(c) >= 3, F.array_distinct(F.transform(places, lambda i: F.concat(letters[i], letters[i + 1], letters[i + 2])))).otherwise(F.array().cast("array<string>"))
+
+
 def search_text(title: Column, article: Column, content: Column, longest: int = 40_000) -> Column:
     """What full-text search sees: title, article number and the first characters of the content."""
     return F.concat_ws(" ", text(title), text(article), F.substring(text(content), 1, longest))

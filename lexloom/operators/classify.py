@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from lexloom.functions import fixed as V
 from lexloom.functions.text import contains_any, let, normalize, normalize_letters, text
@@ -17,17 +21,81 @@ def _rules(rules: DataFrame) -> DataFrame:
     return broadcast_if_small(rules, MAX_RULES)
 
 
+def required(pattern: str) -> list[str] | None:
+    """Strings of two characters or more of which every match of a pattern holds one; None where that cannot be told.
+
+    Only alternatives without groups, classes and escapes are read to the end, others up to the first of these.
+    """
+    if "(" in pattern and "|" in pattern:
+        return None
+    found = []
+    for alternative in pattern.split("|"):
+        runs, run, i = [], "", 0
+        while i < len(alternative) and alternative[i] not in "([\\{":
+            c, behind = alternative[i], alternative[i + 1 : i + 2]
+            if c in ".^$*+?":
+                runs.append(run)
+                run = ""
+            elif behind in ("?", "*", "{"):  # may be missing
+                runs.append(run)
+                run = ""
+            else:
+                run += c
+            i += 1
+        best = max([*runs, run], key=len)
+        if len(best) < 2:
+            return None
+        found.append(best)
+    return found
+
+
+def _found(literals: dict[str, list[int]], always: list[int]) -> Callable:
+    """(story_id, __s, rules) of stories (story_id, __s): the rules whose literals a story holds, in one pass over its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        known = ahocorasick.Automaton()
+        for literal, rules in literals.items():
+            known.add_word(literal, rules)
+        if literals:
+            known.make_automaton()
+        for batch in batches:
+            hits = [sorted({r for _, rules in known.iter(s) for r in rules} | set(always)) if literals else always for s in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, pa.list_(pa.int32()))], ["story_id", "__s", "rules"])
+
+    return run
+
+
 def scores(stories: DataFrame, keywords: DataFrame, boosts: DataFrame) -> DataFrame:
     """(story_id, form_id, score): keyword hits weigh min(4, max(1, length / 4)), pattern hits their weight.
 
-    stories: story_id, story. keywords: form_id, keyword. boosts: form_id, pattern, weight. The rules go to the stories.
+    stories: story_id, story. keywords: form_id, keyword. boosts: form_id, pattern, weight. The keywords and a string that
+    each pattern requires become one automaton, which every task runs once over its texts, however many rules there are;
+    patterns are then matched where their string was found. Rule tables beyond MAX_RULES are joined instead.
     """
     told = stories.select("story_id", normalize_letters(text("story")).alias("__s") if "__s" not in stories.columns else "__s")
     words = keywords.select("form_id", normalize_letters(F.col("keyword")).alias("k")).filter(F.length("k") >= 2)
     weight = F.least(F.lit(4), F.greatest(F.lit(1), F.floor(F.length("k") / 4))).cast("int")
-    hits = told.join(_rules(words), F.contains("__s", F.col("k"))).select("story_id", "form_id", weight.alias("w"))
-    more = told.join(_rules(boosts), F.regexp_like("__s", F.col("pattern"))).select("story_id", "form_id", F.col("weight").cast("int").alias("w"))
-    return hits.unionByName(more).groupBy("story_id", "form_id").agg(F.sum("w").alias("score"))
+    rules = words.select("form_id", "k", F.lit(None).cast("string").alias("pattern"), weight.alias("w")).unionByName(boosts.filter("pattern is not null").select("form_id", F.lit(None).cast("string").alias("k"), "pattern", F.col("weight").cast("int").alias("w")))
+    few = rules.limit(MAX_RULES + 1).collect()
+    if len(few) > MAX_RULES:
+        hits = told.join(words, F.contains("__s", F.col("k"))).select("story_id", "form_id", weight.alias("w"))
+        more = told.join(boosts, F.regexp_like("__s", F.col("pattern"))).select("story_id", "form_id", F.col("weight").cast("int").alias("w"))
+        return hits.unionByName(more).groupBy("story_id", "form_id").agg(F.sum("w").alias("score"))
+    literals: dict[str, list[int]] = {}
+    always = []
+    for i, rule in enumerate(few):
+        needed = [rule["k"]] if rule["k"] is not None else required(rule["pattern"])
+        if needed is None:
+            always.append(i)
+        for literal in set(needed or ()):
+            literals.setdefault(literal, []).append(i)
+    schema = StructType([told.schema["story_id"], told.schema["__s"], StructField("rules", ArrayType(IntegerType()))])
+    table = told.sparkSession.createDataFrame([(i, r["form_id"], r["pattern"], r["w"]) for i, r in enumerate(few)], "rule int, form_id string, pattern string, w int")
+    each = told.mapInArrow(_found(literals, always), schema).select("story_id", "__s", F.explode("rules").alias("rule")).join(F.broadcast(table), "rule")
+    matched = each.filter(F.col("pattern").isNull() | F.regexp_like("__s", F.col("pattern")))
+    return matched.groupBy("story_id", "form_id").agg(F.sum("w").alias("score"))
 
 
 def top_forms(scored: DataFrame, forms: DataFrame, n: int = 4) -> DataFrame:

@@ -6,12 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import fixed as V
-from lexloom.functions.text import ratio_of, signature, source_name, text
-from lexloom.session import broadcast_if_small, materialize
-
-#: Names that are broadcast at most.
-MAX_NAMES = 10_000
-
+from lexloom.functions.text import ratio_of, signature, source_name, text, trigrams
+from lexloom.session import materialize
 
 def first_failing(gates: list[tuple[str, Column]]) -> Column:
     """The name of the first gate that a row fails, else null. A gate's condition is true for rows that fail."""
@@ -110,10 +106,11 @@ def interleave(rows: DataFrame, group: str, seq: str, limit: int) -> DataFrame:
 
 
 def systematic_sample(rows: DataFrame, section: str, seq: str, quota: int) -> DataFrame:
-    """Evenly spaced rows of each section: quota / number of sections, 1 at least."""
+    """Evenly spaced rows of each section: quota / number of sections, 1 at least. A row's place in its section comes from
+    running counts over ranges, so a section that holds most rows is many tasks' work."""
     sections = rows.groupBy(section).agg(F.count(F.lit(1)).alias("__n"))
     shares = sections.crossJoin(F.broadcast(sections.agg(F.greatest(F.lit(1), F.floor(F.lit(quota) / F.count(F.lit(1)))).alias("__want"))))
-    placed = rows.withColumn("__i", F.row_number().over(Window.partitionBy(section).orderBy(seq)) - 1).join(shares, section)
+    placed = running_before(rows, [F.col(seq)], F.lit(1), "__i", section).join(shares, section)
     want = F.least("__n", "__want")
     # row i is taken if some k has floor(k * n / want) = i
     k = F.ceil(F.col("__i") * want / F.col("__n"))
@@ -129,25 +126,39 @@ def with_pins(sample: DataFrame, pool: DataFrame, pinned: Column, key: Column) -
 
 
 def first_and_last(rows: DataFrame, document: str, order: str, ruling: Column, n: int = 6, ruling_n: int = 3) -> DataFrame:
-    """A document's first n chunks; a ruling's first one and its last ruling_n - 1."""
-    w = Window.partitionBy(document)
-    placed = rows.withColumns({"__rn": F.row_number().over(w.orderBy(order)), "__n": F.count(F.lit(1)).over(w)})
-    kept = F.when(ruling, (F.col("__n") <= ruling_n) | (F.col("__rn") == 1) | (F.col("__rn") > F.col("__n") - (ruling_n - 1))).otherwise(F.col("__rn") <= n)
-    return placed.filter(kept).drop("__rn", "__n")
-
+    """A document's first n chunks; a ruling's first one and its last ruling_n - 1, or all if there are ruling_n at most.
 
-def running_before(rows: DataFrame, order: list[Column], value: str, name: str = "before") -> DataFrame:
-    """The sum of value over all rows before this one in `order`.
-
-    Two passes: rows are range-partitioned by `order`; each range's total (one row) is summed, and within a range a
-    window runs. So no task gets all rows. The ranges are written, as both passes must see the same ones. `order` must be
-    unique for a defined result.
+    Window group limits from either end pass on a few chunks a document and task, so a document of very many chunks is no
+    task's whole. Ties in `order` fall by the row's hash.
+    """
+    row = rows.select(F.struct("*").alias("__row"), F.col(document).alias("__d"), F.col(order).alias("__o"), F.xxhash64("*").alias("__h"), F.coalesce(ruling, F.lit(False)).alias("__ruling"))
+    ahead, behind = Window.partitionBy("__d").orderBy("__o", "__h"), Window.partitionBy("__d").orderBy(F.desc("__o"), F.desc("__h"))
+    head = row.withColumn("__rn", F.row_number().over(ahead)).filter(F.col("__rn") <= max(n, ruling_n + 1))
+    head = head.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("__d")))
+    firsts = head.filter(F.when(F.col("__ruling"), (F.col("__rn") == 1) | (F.col("__n") <= ruling_n)).otherwise(F.col("__rn") <= n))
+    long = head.filter((F.col("__rn") == 1) & (F.col("__n") > ruling_n)).select(F.col("__d").alias("__long"))
+    lasts = row.filter("__ruling").withColumn("__rn", F.row_number().over(behind)).filter(F.col("__rn") <= ruling_n - 1)
+    lasts = lasts.join(long, F.col("__d").eqNullSafe(F.col("__long")), "left_semi")
+    return firsts.select("__row.*").unionByName(lasts.select("__row.*"))
+
+
+def running_before(rows: DataFrame, order: list[Column], value: str | Column, name: str = "before", group: str | None = None) -> DataFrame:
+    """The sum of value over all rows (of the group) before this one in `order`.
+
+    Two passes: rows are range-partitioned by group and `order`; each range's totals are summed, and within a range a
+    window runs. So neither all rows nor a large group are one task's work. The ranges are written, as both passes must
+    see the same ones. Only a group that goes on from the range before has a base: one a range at most, which is what is
+    broadcast. `order` must be unique (within the group) for a defined result.
     """
-    dealt = materialize(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
-    totals = dealt.groupBy("__range").agg(F.sum(value).alias("__sum"))
-    bases = totals.withColumn("__base", F.coalesce(F.sum("__sum").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__sum")
-    within = F.coalesce(F.sum(value).over(Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return dealt.withColumn("__within", within).join(F.broadcast(bases), "__range").withColumn(name, F.col("__within") + F.col("__base")).drop("__range", "__within", "__base")
+    keys = [group] if group else []
+    dealt = materialize(rows.withColumn("__value", F.col(value) if isinstance(value, str) else value).repartitionByRange(*keys, *order).withColumn("__range", F.spark_partition_id()))
+    totals = dealt.groupBy("__range", *keys).agg(F.sum("__value").alias("__sum"))
+    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.withColumn("__base", F.sum("__sum").over(before)).filter("__base is not null").select(F.col("__range").alias("__r"), *(F.col(k).alias("__group") for k in keys), "__base")
+    within = F.coalesce(F.sum("__value").over(Window.partitionBy("__range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    same = F.col("__range") == F.col("__r")
+    joined = dealt.withColumn("__within", within).join(F.broadcast(bases), same & F.col(group).eqNullSafe(F.col("__group")) if group else same, "left")
+    return joined.withColumn(name, F.col("__within") + F.coalesce("__base", F.lit(0))).select(*rows.columns, name)
 
 
 def admit(documents: DataFrame, rank: str, size: str, chunks: str, key: str, target: int = 4200, optional_from: int = 5) -> DataFrame:
@@ -156,11 +167,28 @@ def admit(documents: DataFrame, rank: str, size: str, chunks: str, key: str, tar
     return placed.filter((F.col(rank) < optional_from) | (F.col("before") < target)).drop("before")
 
 
+def containing(texts: DataFrame, text_col: str, patterns: DataFrame, pattern_col: str) -> DataFrame:
+    """(text, pattern): the distinct texts (titles, names) with the distinct patterns that they contain; empty patterns are none.
+
+    A pattern meets the texts that hold its rarest trigram, by an equi-join, and is looked for in these; one under three
+    characters meets those that hold its first character.
+    """
+    rows = texts.select(F.col(text_col).alias("text")).filter("text is not null").distinct()
+    asked = patterns.select(F.col(pattern_col).alias("pattern")).filter(F.length("pattern") > 0).distinct()
+    held = rows.select("text", F.explode(trigrams(F.col("text"))).alias("gram"))
+    counts = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    grams = asked.filter(F.length("pattern") >= 3).select("pattern", F.explode(trigrams(F.col("pattern"))).alias("gram"))
+    rarest = grams.join(counts, "gram", "left").groupBy("pattern").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("gram"))
+    letters = rows.select("text", F.explode(F.array_distinct(F.split("text", ""))).alias("gram"))
+    short = asked.filter(F.length("pattern") < 3).select("pattern", F.substring("pattern", 1, 1).alias("gram"))
+    met = held.join(rarest, "gram").unionByName(letters.join(short, "gram"))
+    return met.filter(F.contains("text", F.col("pattern"))).select("text", "pattern")
+
+
 def nearest_name(requests: DataFrame, titles: DataFrame, name: str = "name", title: str = "title") -> DataFrame:
-    """For each requested name its title: the exact one, else the shortest that contains it. Names are broadcast while
-    they are few and short."""
-    found = titles.join(broadcast_if_small(requests, MAX_NAMES), F.contains(titles[title], requests[name]))
-    return found.groupBy(name).agg(F.min_by(title, F.struct((F.col(title) != F.col(name)).cast("int"), F.length(title), F.col(title))).alias(title))
+    """For each requested name its title: the exact one, else the shortest that contains it (ties: the first by letters)."""
+    found = containing(titles, title, requests, name)
+    return found.groupBy(F.col("pattern").alias(name)).agg(F.min_by("text", F.struct((F.col("text") != F.col("pattern")).cast("int"), F.length("text"), F.col("text"))).alias(title))
 
 
 def best_files(records: DataFrame, sources: DataFrame, file: str = "source_file", count: str = "chunks") -> DataFrame:

@@ -22,6 +22,7 @@ from lexloom.functions.authority import authority_weight
 from lexloom.functions.references import article_refs, article_score, match_values
 from lexloom.functions.text import TOKEN_BREAK, is_official_url, latin_digits, normalize, search_tokens, text, tokens
 from lexloom.functions.vectors import cosine, is_embedded
+from lexloom.operators.corpus import running_before
 from lexloom.session import broadcast_if_small, materialize
 
 BROADCAST_QUESTIONS = 2000
@@ -296,7 +297,6 @@ def excerpts(question: Column, files: DataFrame, budget: int = 2500) -> DataFram
     the question, until `budget` characters are used; the last one is cut."""
     words = F.filter(F.split(normalize(question), TOKEN_BREAK), lambda t: F.length(t) >= 3)
     each = files.withColumn("__words", words).select("user_id", "file_id", "filename", "created_at", "__words", F.posexplode(F.split("content", r"\n{2,}")).alias("place", "para"))
-    hits = each.filter(F.exists("__words", lambda t: F.contains(normalize(F.col("para")), t)))
-    before = Window.partitionBy("user_id").orderBy(F.desc("created_at"), "file_id", "place").rowsBetween(Window.unboundedPreceding, -1)
-    used = F.coalesce(F.sum(F.length("para")).over(before), F.lit(0))
-    return hits.withColumn("used", used).filter(F.col("used") < budget).select("user_id", "file_id", "filename", "place", F.expr(f"substring(para, 1, cast({budget} - used as int))").alias("excerpt"))
+    hits = each.filter(F.exists("__words", lambda t: F.contains(normalize(F.col("para")), t))).drop("__words")
+    used = running_before(hits, [F.desc("created_at"), F.col("file_id"), F.col("place")], F.length("para"), "used", "user_id")
+    return used.filter(F.col("used") < budget).select("user_id", "file_id", "filename", "place", F.expr(f"substring(para, 1, cast({budget} - used as int))").alias("excerpt"))

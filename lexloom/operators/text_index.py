@@ -15,7 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import search_tokens, text
+from lexloom.functions.text import search_tokens, text, trigrams
 from lexloom.operators import vector_index
 from lexloom.operators.retrieval import FTS_LIMIT, Branches, exact_lookup, first_words, small, top
 from lexloom.session import broadcast_if_small, materialize
@@ -31,13 +31,6 @@ def runs(c: Column) -> Column:
     return F.array_distinct(F.array_remove(F.split(F.lower(c), r"[^؀-ۿa-z0-9]+"), ""))
 
 
-def trigrams(word: Column) -> Column:
-    """The distinct trigrams of a word of three letters or more, cut in one pass."""
-    letters = F.split(word, "")
-    places = F.sequence(F.lit(0), F.size(letters) - 3)
-    return F.when(F.size(letters) >= 3, F.array_distinct(F.transform(places, lambda i: F.concat(letters[i], letters[i + 1], letters[i + 2])))).otherwise(F.array().cast("array<string>"))
-
-
 def _bucket(token: str) -> Column:
     return F.pmod(F.crc32(F.col(token).cast("binary")), F.lit(BUCKETS)).cast("int")
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lexloom.functions.text import window_start
+from lexloom.operators.corpus import running_before
 
 DECISION = "key string, ts timestamp, window_start timestamp, hits int, allowed boolean"
 
@@ -71,11 +72,10 @@ def reassemble_lines(pieces: DataFrame, stream: str, place: str, piece: str) ->
     """(stream, line_no, line): text pieces of a stream joined in order and cut at newlines; what follows the last is a line too.
 
     Each piece is cut by itself; a part's line is the number of newlines before it, so only the parts of one line are ever
-    joined, however long its stream is.
+    joined, and newlines are counted by ranges of a stream, however long it is.
     """
-    parts = F.split(piece, "\n")
-    before = Window.partitionBy(stream).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
-    placed = pieces.select(stream, place, parts.alias("__parts"), F.coalesce(F.sum(F.size(parts) - 1).over(before), F.lit(0)).alias("__before"))
+    cut = pieces.select(stream, place, F.split(piece, "\n").alias("__parts"))
+    placed = running_before(cut, [F.col(place)], F.size("__parts") - 1, "__before", stream)
     each = placed.select(stream, place, "__before", F.posexplode("__parts").alias("__i", "__part")).select(stream, place, (F.col("__before") + F.col("__i")).cast("int").alias("line_no"), "__part")
     lines = each.groupBy(stream, "line_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place, "__part"))), lambda s: s["__part"]), "").alias("line"))
     return lines.filter(F.trim("line") != "")

@@ -362,3 +362,81 @@ def test_x39_anonymises_whole_texts_of_all_turns(spark, tmp_path):
     for r in found:
         text = json.loads(r.content)["description"]
         assert text.count("word") == 40 and text.endswith("left") and f"Name{r.conv_id}" not in text
+
+
+def test_rules_in_one_pass_equal_rules_one_by_one(spark):
+    import random
+
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdeکلم") for _ in range(rng.randint(1, 5)))
+    stories = [(i, " ".join(word() for _ in range(rng.randint(0, 80))) if i else None) for i in range(200)]
+    keywords = [(f"f{i % 5}", word()) for i in range(60)] + [("f1", None), ("f1", "a b")]
+    boosts = [("f0", "ab|cd", 2), ("f1", "a.?b+c", 3), ("f2", "(ab|ce)d", 4), ("f3", "^b", 5), ("f4", r"\bab\b", 6), ("f0", "[ab]c", 7), ("f1", "(?i)AB", 8), ("f2", "abc?d", 9), ("f3", "ab{0,2}e", 10), ("f4", "کل*م", 11), ("f0", "ab(", 0)][:-1]
+    rows = spark.createDataFrame(stories, "story_id int, story string")
+    k, b = spark.createDataFrame(keywords, "form_id string, keyword string"), spark.createDataFrame(boosts, "form_id string, pattern string, weight int")
+    one_pass = {tuple(r) for r in classify.scores(rows, k, b).collect()}
+    kept, classify.MAX_RULES = classify.MAX_RULES, 1
+    try:
+        assert one_pass == {tuple(r) for r in classify.scores(rows, k, b).collect()}
+    finally:
+        classify.MAX_RULES = kept
+    plan = classify.scores(rows, k, b)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize(("pattern", "strings"), [("abc", ["abc"]), ("ab|cde", ["ab", "cde"]), ("tra.?sh", ["tra"]), ("abc?d", ["ab"]), ("a|bc", None), ("x*", None), ("ab(c|d)", None), ("abc[de]fgh", ["abc"]), (r"\bab", None), ("ab{0}cd", None), ("", None)])
+def test_required_strings(pattern, strings):
+    assert classify.required(pattern) == strings
+
+
+def test_time_does_not_follow_the_number_of_rules(spark):
+    import time
+
+    rows = spark.range(300).select(F.col("id").alias("story_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(400)), lambda i: F.substring(F.md5((F.col("id") * 1000 + i).cast("string")), 1, 6))).alias("story"))
+    none = spark.createDataFrame([], "form_id string, pattern string, weight int")
+    took = {}
+    for n in (10, 10, 10_000):
+        keywords = spark.range(n).select(F.lit("f").alias("form_id"), F.substring(F.md5((F.col("id") + 7).cast("string")), 1, 8).alias("keyword"))
+        start = time.perf_counter()
+        classify.scores(rows, keywords, none).collect()
+        took[n] = time.perf_counter() - start
+    assert took[10_000] < 10 * took[10] + 5
+
+
+def test_containing_names(spark):
+    titles = ["law of x", "a law", "law", "Straße", "ab", "b", "", None, "قانون مدنی", "law"]
+    names = ["law", "a", "ab", "aw o", "ße", "مدنی", "zz", "zzz", "", None, "law of x"]
+    found = corpus.containing(spark.createDataFrame([(t,) for t in titles], "t string"), "t", spark.createDataFrame([(n,) for n in names], "n string"), "n")
+    assert {tuple(r) for r in found.collect()} == {(t, n) for t in titles for n in names if t is not None and n and n in t} and found.count() == found.distinct().count()
+    plan = corpus.nearest_name(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(t,) for t in titles], "title string"))._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_running_sums_of_a_hot_group_are_many_tasks_work(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 10 == 0, F.col("id") % 7).when(F.col("id") % 97 == 1, F.lit(None)).otherwise(F.lit(99)).alias("g"), ((F.col("id") * 7919) % 20_011).alias("o"), (F.col("id") % 5).alias("v"))
+    found = corpus.running_before(rows, [F.col("o")], "v", "before", "g")
+    sums, want = {}, set()
+    for r in sorted(rows.collect(), key=lambda r: r.o):
+        want.add((r.g, r.o, sums.get(r.g, 0)))
+        sums[r.g] = sums.get(r.g, 0) + r.v
+    assert {(r.g, r.o, r.before) for r in found.collect()} == want
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be put together again
+    try:
+        assert {(r.g, r.o, r.before) for r in corpus.running_before(rows, [F.col("o")], "v", "before", "g").collect()} == want
+        hot = rows.filter("g = 99").repartitionByRange("g", "o").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(hot) > 1 and max(r["count"] for r in hot) < 0.6 * rows.filter("g = 99").count()
+
+
+def test_first_and_last_of_short_and_long_documents(spark):
+    rows = [(d, i, d % 2 == 0) for d in range(12) for i in range(d)] + [(100, i, True) for i in range(500)] + [(101, i, None) for i in range(500)]
+    table = spark.createDataFrame(rows, "doc int, place int, ruling boolean")
+    found = {(r.doc, r.place) for r in corpus.first_and_last(table, "doc", "place", F.col("ruling"), 4, 3).collect()}
+    want = set()
+    for d in {r[0] for r in rows}:
+        places = sorted(i for e, i, _ in rows if e == d)
+        ruling = next(r for e, _, r in rows if e == d)
+        want |= {(d, p) for p in ((places if len(places) <= 3 else [places[0], *places[-2:]]) if ruling else places[:4])}
+    assert corpus.first_and_last(table.withColumn("place", F.lit(1)), "doc", "place", F.col("ruling"), 4, 3).count() == len(want)  # nothing but ties
+    assert found == want and corpus.first_and_last(table, "doc", "place", F.col("ruling"), 4, 3).count() == len(want)
