@@ -125,12 +125,14 @@ def train(texts: list[tuple[str, str]], share: float = 0.05, least: int = 2, com
 def sample(docs: DataFrame, usable: Column, per_language: int, longest: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
     """(language, text) of at most per_language usable documents a language, of at most `longest` bytes each.
 
-    The ids are drawn by hash without reading texts; then only their texts are read.
+    The ids are drawn by hash without reading texts; then only their texts are read, of rows that share id and language
+    one (the least by hash), so that the bound holds whatever is repeated.
     """
     size = F.octet_length(text_col)
     able = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (size > 0) & (size <= longest))
-    ids = materialize(sampled(able.select(id_col, lang_col), lang_col, id_col, per_language).select(F.col(id_col).alias("__drawn")).distinct())
-    rows = able.join(ids, able[id_col] == ids["__drawn"], "left_semi").select(id_col, lang_col, text_col).collect()
+    ids = materialize(sampled(able.select(id_col, lang_col).distinct(), lang_col, id_col, per_language).select(F.col(id_col).alias("__drawn")).distinct())
+    drawn = able.join(ids, able[id_col] == ids["__drawn"], "left_semi")
+    rows = drawn.groupBy(id_col, lang_col).agg(F.min_by(text_col, F.struct(F.xxhash64(text_col), F.col(text_col)))).collect()
     return [(r[1], r[2]) for r in sorted(rows, key=lambda r: (r[1], r[0], r[2]))]
 
 

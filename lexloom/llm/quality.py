@@ -108,14 +108,15 @@ def sample(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int, l
     """(label, text) of at most per_class labelled documents of either class that are usable and at most `longest` bytes.
 
     A document with several labels counts by the lowest, a row with a null or other label not at all. Ids are drawn by
-    hash from the labels and document sizes; then only their texts are read.
+    hash from the labels and document sizes; then only their texts are read, of rows that share an id one (the least by
+    hash), so that the bound holds whatever is repeated.
     """
     marks = marked(labels, id_col, label_col)
     texts = docs.filter(usable & (F.octet_length(text_col) <= longest)).select(F.col(id_col).cast("long").alias("__d"), F.col(text_col).alias("__text"))
     ids = {r[0]: int(r[1]) for r in sampled(texts.select("__d").join(marks, "__d").distinct(), "__y", "__d", per_class).select("__d", "__y").collect()}
     if not ids:
         return []
-    rows = texts.filter(F.col("__d").isin(list(ids))).collect()
+    rows = texts.filter(F.col("__d").isin(list(ids))).groupBy("__d").agg(F.min_by("__text", F.struct(F.xxhash64("__text"), "__text"))).collect()
     return [(ids[d], text.encode()) for d, text in sorted((r[0], r[1]) for r in rows)]
 
 

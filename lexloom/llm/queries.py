@@ -22,23 +22,28 @@ def _remainder(n: int):
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text."""
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What goes of every document because 100 bytes of it started earlier."""
     return suffix_dedup.removal_report(_table(spark, sf_dir, "documents"))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What goes of every document because a chunk of it stood earlier, runs of 100 bytes or more."""
     docs, chunker = _table(spark, sf_dir, "documents"), substring_dedup.Chunker()
     return substring_dedup.report(substring_dedup.keyed_bytes(docs), substring_dedup.repeated(docs, chunker), chunker.least)
 
 
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every twentieth embedding among all others."""
     return ann.nearest(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold 0.8 or more of a benchmark item's shingles, with the counts."""
     found = decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     doc_id = F.when(F.col("__d") == common.NO_ID, None).otherwise(F.col("__d")).alias("doc_id")
     return found.select(doc_id, "item_id", "n_shared", "n_item", "containment")
@@ -61,6 +66,7 @@ where n_shared >= ceil(n_item * 0.8 - 1e-9)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned from labelled rows outside the held-out third."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(_remainder(3) == 1, F.lit(False))
     model = quality.fit(docs, _table(spark, sf_dir, "labels"), ~held_out)
@@ -69,6 +75,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -78,6 +85,7 @@ RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule that decides each page's address."""
     rules = spark.sql("SELECT * FROM VALUES " + ", ".join(str(rule) for rule in RULES) + " AS rules(host, path, verdict)")
     return url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
@@ -98,6 +106,7 @@ from split
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from rows outside the held-out quarter."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(_remainder(4) == 2, F.lit(False))
     model = language_id.fit(docs, ~held_out)
@@ -105,6 +114,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document in sequences of 1,024 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
@@ -157,6 +167,7 @@ OP12_SQL = _op12_sql()
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents through the five stages of corpus_pipeline."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)

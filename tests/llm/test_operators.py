@@ -240,6 +240,39 @@ def test_op6_learns_and_handles_edges(spark):
     assert {r.score for r in quality.score(docs, blank).collect()} == {0.5}
 
 
+def test_op6_scores_equal_their_definition(spark):
+    """Sizes under either dictionary, block by block, and the logistic of their difference, worked out here."""
+    import math
+
+    import zstandard
+
+    rng = np.random.default_rng(14)
+    text = lambda letters, n: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(n))
+    rows = [(i, text("abcdef" if i % 2 else "uvwxyz", 150), i % 2) for i in range(240)] + [(500, None, 1), (501, "", 0), (502, text("abcxyz", 9000), 1), (7, "another text under a known id", 1)]
+    docs = spark.createDataFrame([r[:2] for r in rows] * 2, "doc_id long, text string")  # every row twice
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows[:240]], "doc_id long, quality int")
+    model = quality.fit(docs, labels, F.lit(True))
+    assert model.slope > 0
+
+    def size(data, block):
+        return len(zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, write_dict_id=False, dict_data=zstandard.ZstdCompressionDict(data)).compress(block))
+
+    for r in quality.score(docs, model).collect():
+        raw = (r.text or "").encode()
+        blocks = [raw[a : a + 4096] for a in range(0, len(raw), 4096)]
+        x = sum(size(model.bad, b) - size(model.good, b) for b in blocks) / max(1, len(raw))
+        assert abs(r.score - 1 / (1 + math.exp(-(model.slope * x + model.intercept)))) < 1e-12
+
+
+def test_samples_are_bounded_whatever_is_repeated(spark):
+    """A drawn id that thousands of rows carry gives one text."""
+    rows = [(i, f"text of {i} and more", "en") for i in range(20)] + [(3, f"text {n} under one id", "en") for n in range(5000)] + [(3, f"texte {n}", "fr") for n in range(5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    assert len(quality.sample(docs, labels, F.lit(True), 2000, 1 << 15, "doc_id", "text", "quality")) == 20
+    assert len(language_id.sample(docs, F.lit(True), 500, 1 << 16, "doc_id", "text", "lang")) == 21
+
+
 def test_op6_scores_keep_the_class_shares_beyond_the_cap(spark):
     rng = np.random.default_rng(6)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
@@ -303,6 +336,33 @@ def test_op9_learns_and_handles_edges(spark):
     assert language_id.predict(docs.limit(0), model).count() == 0
 
 
+def test_op9_scores_equal_their_definition(spark):
+    """The share of the winner's n-grams, less its false positives, with n-grams, filters and counts worked out here."""
+    rng = np.random.default_rng(16)
+    sounds = {"aa": "ba be bi bo", "bb": "xu xo zi ba", "cc": "тра ла на zi"}
+    say = lambda lang, n: " ".join("".join(rng.choice(sounds[lang].split(), 3)) for _ in range(n))
+    rows = [(i, say(lang, 50), lang) for i in range(90) for lang in [list(sounds)[i % 3]]]
+    rows += [(200, "ba--BA  xu\nтра, zi!", None), (201, "ж", None), (202, say("aa", 30) + say("bb", 31), None), (203, "q w e", None)]
+    docs = spark.createDataFrame(rows * 2, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, F.lit(True))
+
+    def held(gram, lang):
+        slots = language_id._rows(np.array([int.from_bytes(gram, "little")], np.uint32), model.slices)
+        return all(int(model.tables[0][int(row[0])]) >> lang & 1 for row in slots)
+
+    for r in language_id.predict(docs, model).collect():
+        folded = bytearray()
+        for b in r.text.encode():
+            c = b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20
+            if not (c == 0x20 and folded and folded[-1] == 0x20):
+                folded.append(c)
+        grams = [bytes(folded[i : i + 4]) for i in range(len(folded) - 3)]
+        true = [max(0.0, (sum(held(g, k) for g in grams) - len(grams) * f) / (1 - f)) for k, f in enumerate(model.false_rate)]
+        best = max(range(3), key=lambda k: (true[k], -k))
+        want = (model.languages[best], true[best] / sum(true)) if sum(true) > 0 else (model.languages[model.prior], 0.0)
+        assert r.lang_pred == want[0] and abs(r.score - want[1]) < 1e-9
+
+
 def test_filters_return_every_language_of_an_ngram():
     model = language_id.train([("aa", "shared only"), ("bb", "shared other")], least=1)
     h, _ = language_id.grams(np.frombuffer(b"shared", np.uint8), np.array([0, 6]))
