@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexloom.functions import fixed as V
-from lexloom.functions.text import latin_digits, ratio_of, text, trim_space
+from lexloom.functions.text import latin_digits, let, ratio_of, text, trim_space
 
 _EDGE = r"^[ \n\t|]+|[ \n\t|]+$"
 
@@ -18,19 +18,32 @@ def sliding_chunks(c: Column, size: int = 1100, overlap: int = 150) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(c, i * step + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
 
+def _packed(paragraphs: Column, longest: int, lead: int = 0) -> Column:
+    """Paragraphs joined by blank lines, greedily up to `longest` characters; lead: what the first counts above its length.
+
+    The fold runs over lengths and keeps places only; each text is joined once, so long documents take linear time.
+    """
+    start = F.struct(F.array().cast("array<int>").alias("cuts"), F.lit(0).alias("held"), F.lit(0).alias("i"))
+
+    def add(s: Column, n: Column) -> Column:
+        first = s["i"] == 0
+        cut = first | (s["held"] + n + 2 > longest)
+        held = F.when(first, n + lead).when(cut, n).otherwise(s["held"] + n + 2)
+        return F.struct(F.when(cut, F.concat(s["cuts"], F.array(s["i"]))).otherwise(s["cuts"]).alias("cuts"), held.alias("held"), (s["i"] + 1).alias("i"))
+
+    cuts = F.aggregate(F.transform(paragraphs, F.length), start, add, lambda s: F.concat(s["cuts"], F.array(s["i"])))
+    joined = lambda c: F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda at, k: F.array_join(F.slice(paragraphs, at + 1, c[k + 1] - at), "\n\n"))
+    return let(cuts, joined)
+
+
 def pack_paragraphs(c: Column, longest: int = 1400, least: int = 180) -> Column:
     """Paragraphs joined greedily up to `longest` characters; a text that short passes whole, else pieces under `least` go."""
-    whole = trim_space(F.replace(text(c), F.lit("\r\n"), F.lit("\n")))
-    gap = F.lit("\n\n")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("held"))
 
-    def add(s: Column, p: Column) -> Column:
-        full = (F.length(F.concat(s["held"], gap, p)) > longest) & (s["held"] != "")
-        done = F.when(full, F.concat(s["done"], F.array(trim_space(s["held"])))).otherwise(s["done"])
-        return F.struct(done.alias("done"), F.when(full | (s["held"] == ""), p).otherwise(F.concat(s["held"], gap, p)).alias("held"))
+    def pieces(whole: Column) -> Column:
+        packed = let(F.split(whole, r"\n{2,}"), lambda p: F.transform(_packed(p, longest), trim_space))
+        return F.when(whole == "", F.array().cast("array<string>")).when(F.length(whole) <= longest, F.array(whole)).otherwise(F.filter(packed, lambda x: (x != "") & (F.length(x) >= least)))
 
-    packed = F.aggregate(F.split(whole, r"\n{2,}"), start, add, lambda s: F.when(trim_space(s["held"]) != "", F.concat(s["done"], F.array(trim_space(s["held"])))).otherwise(s["done"]))
-    return F.when(whole == "", F.array().cast("array<string>")).when(F.length(whole) <= longest, F.array(whole)).otherwise(F.filter(packed, lambda x: F.length(x) >= least))
+    return let(trim_space(F.replace(text(c), F.lit("\r\n"), F.lit("\n"))), pieces)
 
 
 def split_articles(c: Column, escaped: bool = True) -> Column:
@@ -59,29 +72,18 @@ def pack_articles(pieces: Column, title: Column, kind: Column, longest: int = 16
     """Articles as chunks array<struct<number, body>>: long ones packed by paragraph and labelled number/part, short ones
     dropped, the title put in front where the first 160 characters lack it, and a document's chunks capped: rulings keep
     the first and the last ones, others the first."""
-    empty = F.array().cast("array<struct<number:string,body:string>>")
     pair = lambda n, b: F.struct(n.alias("number"), b.alias("body"))
     gap = F.lit("\n\n")
 
     def pack(a: Column) -> Column:
-        body = F.regexp_replace(a["body"], _EDGE, "")
-        start = F.struct(empty.alias("done"), F.lit(None).cast("string").alias("held"), F.lit(0).alias("n"), F.lit(0).alias("part"))
-
-        def add(s: Column, p: Column) -> Column:
-            full = (s["n"] + F.length(p) + 2 > longest) & s["held"].isNotNull()
-            label = F.when(a["number"].isNotNull(), F.concat(a["number"], F.lit("/"), s["part"].cast("string")))
-            return F.struct(
-                F.when(full, F.concat(s["done"], F.array(pair(label, s["held"])))).otherwise(s["done"]).alias("done"),
-                F.when(full | s["held"].isNull(), p).otherwise(F.concat(s["held"], gap, p)).alias("held"),
-                F.when(full, F.length(p)).otherwise(s["n"] + F.length(p) + 2).alias("n"),
-                F.when(full, s["part"] + 1).otherwise(s["part"]).alias("part"),
-            )
-
-        def finish(s: Column) -> Column:
-            label = F.when(a["number"].isNotNull() & (s["part"] > 0), F.concat(a["number"], F.lit("/"), s["part"].cast("string"))).otherwise(a["number"])
-            return F.when(s["held"].isNotNull(), F.concat(s["done"], F.array(pair(label, s["held"])))).otherwise(s["done"])
-
-        return F.when(F.length(body) <= longest, F.array(pair(a["number"], body))).otherwise(F.aggregate(F.split(body, r"\n{2,}"), start, add, finish))
+        def parts(bodies: Column) -> Column:
+            label = lambda k: F.when(F.size(bodies) > 1, F.concat(a["number"], F.lit("/"), k.cast("string"))).otherwise(a["number"])
+            return F.transform(bodies, lambda b, k: pair(label(k), b))
+
+        def cut(body: Column) -> Column:
+            return F.when(F.length(body) <= longest, F.array(pair(a["number"], body))).otherwise(let(let(F.split(body, r"\n{2,}"), lambda p: _packed(p, longest, 2)), parts))
+
+        return let(F.regexp_replace(a["body"], _EDGE, ""), cut)
 
     trimmed = F.transform(F.flatten(F.transform(pieces, pack)), lambda c: pair(c["number"], F.regexp_replace(c["body"], _EDGE, "")))
     name = text(title)

@@ -119,3 +119,6 @@ COUNTRY_NAMES = {
 SILENT_TAGS = ["head", "script", "style", "nav", "header", "footer", "noscript", "iframe", "svg"]
 BLOCK_TAGS = ["p", "div", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "table", "ul", "ol", "section", "article"]
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+
+# Words of a site's name, which go from a title with the dash before them.
+SITE_WORDS = ["سایت", "اختبار"]

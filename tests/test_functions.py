@@ -198,3 +198,50 @@ def test_anonymise_chunks(spark):
     rows = [(1, '{"persons":[{"fullName":"Ali B"}],"x":"Ali B"}', "t", "other"), (2, "plain", "وکیل دادگستری: نام - x", "cases"), (3, "plain", "t", None)]
     found = {r.id: r for r in anonymize.anonymize_chunks(spark.createDataFrame(rows, "id int, content string, source_title string, hf_dataset string"), ["cases"]).collect()}
     assert "Ali" not in found[1].content and found[2].source_title == "وکیل دادگستری- x" and found[3].source_title == "t"
+
+
+def brute_pack(paragraphs, longest, lead):
+    """(text, part) of greedy packing, and how the lengths count."""
+    done, held, n = [], None, 0
+    for p in paragraphs:
+        if held is not None and n + len(p) + 2 > longest:
+            done.append(held)
+            held, n = p, len(p)
+        else:
+            n = len(p) + lead if held is None else n + len(p) + 2
+            held = p if held is None else f"{held}\n\n{p}"
+    return done + [held]
+
+
+def test_packing_equals_brute_force_on_long_and_short_texts(spark):
+    import random
+
+    rng = random.Random(3)
+    texts = ["\n\n".join("w" * rng.randint(1, 400) for _ in range(rng.randint(1, 60))) for _ in range(80)] + ["x" * 2000, "a\n\nb", "", "y" * 1399 + "\n\nz" * 900]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in rows.select("t", chunking.pack_paragraphs(F.col("t")).alias("p")).collect():
+        want = [] if not r.t else [r.t] if len(r.t) <= 1400 else [x for x in brute_pack(r.t.split("\n\n"), 1400, 0) if len(x) >= 180]
+        assert r.p == want
+    pieces = F.array(F.struct(F.lit("7").alias("number"), F.col("t").alias("body")))
+    for r in rows.select("t", chunking.pack_articles(pieces, F.lit(""), F.lit(""), cap=1000).alias("p")).collect():
+        parts = [r.t] if len(r.t) <= 1650 else brute_pack(r.t.split("\n\n"), 1650, 2)
+        assert [(c.number, c.body) for c in r.p] == [(f"7/{k}" if len(parts) > 1 else "7", x) for k, x in enumerate(parts) if len(x) >= 220]
+
+
+def test_a_hundred_thousand_paragraphs_are_packed_in_linear_time(spark):
+    import time
+
+    took = {}
+    for n in (10_000, 10_000, 100_000):
+        row = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("paragraph number "), i.cast("string"))), "\n\n").alias("t"))
+        start = time.perf_counter()
+        made = row.select(F.explode(chunking.pack_paragraphs(F.col("t"))).alias("p")).agg(F.count(F.lit(1)), F.sum(F.length("p"))).first()
+        took[n] = time.perf_counter() - start
+        assert made[0] > n / 70 and made[1] > 18 * n
+    assert took[100_000] < 25 * took[10_000] + 5
+
+
+@pytest.mark.parametrize(("metadata", "title"), [("قانون مدنی - سایت حقوقی", "قانون مدنی"), ("قانون تجارت | پایگاه اختبار 2", "قانون تجارت"), ("قانون کار - متن کامل", "قانون کار - متن کامل"), ("قانون - سایت", "file")])
+def test_site_names_go_from_titles(spark, metadata, title):
+    found = one(spark, cleaning.title_of_scan(F.col("b"), F.col("m"), F.col("f")), b="no law here", m=metadata, f="file")
+    assert found == title
