@@ -207,6 +207,24 @@ def bounded_rerank(question_id: int, chunks: DataFrame, vector: list[float], lex
     return chunks.drop("embedding").join(F.broadcast(best), "id")
 
 
+def bounded_rerank_all(questions: DataFrame, chunks: DataFrame, pool: int = LEXICAL_POOL, total: int = POOL, limit: int = VECTOR_LIMIT, places: int = 6) -> DataFrame:
+    """(question_id, id, semantic, rank): bounded rerank for a batch of questions (question_id, question, vector).
+
+    A question's candidates are the first `pool` rows that hold one of its first words, filled up to `total` by id; the
+    first `total` ids of all hold whatever the fill can take. So a question has `total` candidates at most, whatever the
+    corpus; only ids meet, and vectors are joined to them.
+    """
+    rows = chunks.filter(is_embedded(F.col("embedding")))
+    hits = materialize(any_term(questions, rows, pool).select("question_id", "id"))
+    fill = rows.select("id").orderBy("id").limit(total)
+    rest = questions.select("question_id").join(F.broadcast(fill)).join(hits, ["question_id", "id"], "left_anti")
+    both = hits.withColumn("turn", F.lit(0)).unionByName(rest.withColumn("turn", F.lit(1)))
+    chosen = top(both, "question_id", [F.col("turn"), F.col("id")], total).select("question_id", "id")
+    scored = chosen.join(rows.select("id", "embedding"), "id").join(small(questions.select("question_id", "vector")), "question_id")
+    near = scored.select("question_id", "id", F.round(cosine(F.col("embedding"), F.col("vector")), places).alias("semantic"))
+    return top(near, "question_id", [F.desc("semantic"), F.col("id")], limit)
+
+
 def haystack(title: Column, content: Column) -> Column:
     """What lexical overlap looks into."""
     return F.concat_ws("\n", normalize(text(title)), normalize(text(content)))

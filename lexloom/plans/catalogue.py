@@ -504,6 +504,18 @@ def v4_bounded_rerank(spark, sf):
     return found.select("id", "semantic", F.length("content").alias("size"))
 
 
+@query(f"""with {CHUNKS}, {QUESTIONS}, rows as (select * from chunks where len(embedding) > 10),
+terms as (select question_id, list_transform(list_filter(regexp_split_to_array(regexp_replace(words, '[^\\x{{0600}}-\\x{{06FF}}a-zA-Z0-9]', ' ', 'g'), ' +'), lambda x: length(x) >= 3)[1:5], lambda x: lower(x)) as terms from questions),
+hits as (select question_id, id from terms, rows where len(list_filter(terms, lambda t: contains(lower(content), t) or contains(lower(source_title), t))) > 0 qualify row_number() over (partition by question_id order by id) <= 1500),
+pool as (select q.question_id, r.id, r.embedding, q.vector from questions q cross join rows r left join hits h on h.question_id = q.question_id and h.id = r.id
+  qualify row_number() over (partition by q.question_id order by case when h.id is null then 1 else 0 end, r.id) <= 4000)
+select question_id, id, round(list_cosine_similarity(embedding, vector), 6) as semantic from pool qualify row_number() over (partition by question_id order by round(list_cosine_similarity(embedding, vector), 6) desc, id) <= 30""")
+def v4_bounded_rerank_all(spark, sf):
+    """Every question's bounded rerank in one plan."""
+    asked = questions(spark, sf).select("question_id", F.col("words").alias("question"), "vector")
+    return retrieval.bounded_rerank_all(asked, chunks(spark, sf, True)).select("question_id", "id", "semantic")
+
+
 _HAY = "lower(source_title || chr(10) || content)"
 
 

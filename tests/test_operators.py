@@ -440,3 +440,16 @@ def test_first_and_last_of_short_and_long_documents(spark):
         want |= {(d, p) for p in ((places if len(places) <= 3 else [places[0], *places[-2:]]) if ruling else places[:4])}
     assert corpus.first_and_last(table.withColumn("place", F.lit(1)), "doc", "place", F.col("ruling"), 4, 3).count() == len(want)  # nothing but ties
     assert found == want and corpus.first_and_last(table, "doc", "place", F.col("ruling"), 4, 3).count() == len(want)
+
+
+def test_bounded_rerank_of_a_batch(spark):
+    rows = [(i, [float((i * 7 + j) % 11 - 5) for j in range(12)], "t", "holds needle" if i % 3 == 0 else "hay") for i in range(90)]
+    chunks = spark.createDataFrame([*rows, (500, None, "t", "needle")], "id long, embedding array<double>, source_title string, content string")
+    asked = [(1, "needle", rows[4][1]), (2, "nothing here", rows[9][1]), (3, "", rows[2][1])]
+    found = retrieval.bounded_rerank_all(spark.createDataFrame(asked, "question_id long, question string, vector array<double>"), chunks, pool=10, total=25, limit=5)
+    cos = lambda a, b: round(sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5, 6)
+    for q, words, v in asked:
+        hits = [r for r in rows if words == "needle" and "needle" in r[3]][:10]
+        pool = (hits + [r for r in rows if r not in hits])[:25]
+        want = sorted((-cos(r[1], v), r[0]) for r in pool)[:5]
+        assert sorted((-r.semantic, r.id) for r in found.filter(f"question_id = {q}").collect()) == want
