@@ -6,7 +6,7 @@ from lexloom.llm import queries
 
 def test_every_operator_is_registered():
     names = list(queries.QUERIES)
-    assert [int(n[2:].split("_")[0]) for n in names if n.startswith("op")] == list(range(1, 11)) and "pipeline" in names
+    assert [int(n[2:].split("_")[0]) for n in names if n.startswith("op")] == list(range(1, 13)) and "pipeline" in names
     assert set(queries.ORACLE_SQL) <= set(names)
     entry = importlib.import_module("__spark_entry__")
     assert set(names) <= set(entry.queries())
