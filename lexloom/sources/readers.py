@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import io
 import re
 import xml.etree.ElementTree as ET
@@ -9,9 +10,10 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from lexloom import schemas
@@ -180,7 +182,8 @@ class _Page(InputPartition):
 class PagedRows(DataSource):
     """A dataset behind fetch(dataset, offset, length) -> rows; one partition per offset.
 
-    Options: dataset, offsets (comma-separated), length, module and function of fetch.
+    Options: dataset, length, module and function of fetch, schema; offsets (comma-separated) in a batch, until (the row
+    that a run reads up to) in a stream.
     """
 
     @classmethod
@@ -193,6 +196,14 @@ class PagedRows(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return _PagedReader(dict(self.options))
 
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
+        return _PagedStreamReader(dict(self.options))
+
+
+def _fetched(options: dict[str, str], page: _Page) -> Iterator[tuple]:
+    fetch = getattr(importlib.import_module(options["module"]), options["function"])
+    yield from (tuple(r) for r in fetch(options["dataset"], page.offset, page.length))
+
 
 class _PagedReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
@@ -202,10 +213,27 @@ class _PagedReader(DataSourceReader):
         return [_Page(int(o), int(self.options.get("length", "100"))) for o in self.options["offsets"].split(",")]
 
     def read(self, page: _Page) -> Iterator[tuple]:
-        import importlib
+        return _fetched(self.options, page)
+
+
+class _PagedStreamReader(DataSourceStreamReader):
+    """Offsets are row numbers; a batch has one partition per page of its rows, so pages are fetched by the executors."""
+
+    def __init__(self, options: dict[str, str]):
+        self.options = options
+
+    def initialOffset(self) -> dict:
+        return {"row": 0}
 
-        fetch = getattr(importlib.import_module(self.options["module"]), self.options["function"])
-        yield from (tuple(r) for r in fetch(self.options["dataset"], page.offset, page.length))
+    def latestOffset(self) -> dict:
+        return {"row": int(self.options["until"])}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        length = int(self.options.get("length", "100"))
+        return [_Page(o, min(length, end["row"] - o)) for o in range(start["row"], end["row"], length)]
+
+    def read(self, page: _Page) -> Iterator[tuple]:
+        return _fetched(self.options, page)
 
 
 def paged(spark: SparkSession, dataset: str, offsets: list[int], length: int, module: str, function: str, schema: str) -> DataFrame:
@@ -214,6 +242,18 @@ def paged(spark: SparkSession, dataset: str, offsets: list[int], length: int, mo
     return spark.read.format("paged_rows").options(**options).load()
 
 
+def paged_stream(spark: SparkSession, dataset: str, until: int, length: int, module: str, function: str, schema: str) -> DataFrame:
+    """The rows before `until` that a stream's checkpoint has not taken yet."""
+    spark.dataSource.register(PagedRows)
+    return spark.readStream.format("paged_rows").options(dataset=dataset, until=until, length=length, module=module, function=function, schema=schema).load()
+
+
+def parquet_page(dataset: str, offset: int, length: int) -> Iterator[tuple]:
+    """Rows of one page of a dataset that lies as Parquet in folders page=N, each of `length` rows or fewer; a fetch for PagedRows."""
+    found = pq.read_table(f"{dataset}/page={offset // length}", partitioning=None)
+    return zip(*(c.to_pylist() for c in found.columns), strict=True)
+
+
 def jdbc(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:
     """Rows of a query against a relational database; a second database is a second url."""
     return spark.read.format("jdbc").options(url=url, query=query, **options).load()

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lexloom.functions.text import window_start
 from lexloom.operators.corpus import running_before
+from lexloom.sources import readers
 
 DECISION = "key string, ts timestamp, window_start timestamp, hits int, allowed boolean"
 
@@ -68,6 +71,37 @@ def load_once(files: DataFrame, path: str, key: str, checkpoint: str) -> Streami
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def load_pages(spark: SparkSession, path: str, checkpoint: str, total: int, length: int, pages: int = 64, seconds: float = 12.0, **source: str) -> int:
+    """Load a paged dataset of `total` rows (readers.paged_stream's options) into path/batch=N, `pages` pages a micro-batch.
+
+    Starts no further batch after `seconds`; the next call goes on where this one stopped. A batch whose page failed is
+    taken again as it was planned and overwrites its own folder, so every row is there once. Returns the rows taken so far.
+    """
+
+    def batch(rows: DataFrame, n: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    end, taken = time.monotonic() + seconds, planned_rows(spark, checkpoint)
+    while True:
+        until = min(total, taken + pages * length)
+        stream = readers.paged_stream(spark, until=until, length=length, **source)
+        stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        taken = until
+        if taken >= total or time.monotonic() >= end:
+            return taken
+
+
+def planned_rows(spark: SparkSession, checkpoint: str) -> int:
+    """The row up to which a paged stream's batches are planned, from its checkpoint; 0 before the first."""
+    try:
+        lines = spark.read.text(f"{checkpoint}/offsets")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0
+    return lines.agg(F.max(F.get_json_object("value", "$.row").try_cast("long"))).first()[0] or 0
+
+
 def reassemble_lines(pieces: DataFrame, stream: str, place: str, piece: str) -> DataFrame:
     """(stream, line_no, line): text pieces of a stream joined in order and cut at newlines; what follows the last is a line too.
 
