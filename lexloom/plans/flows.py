@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexloom.operators import ligatures, rollups
 from lexloom.operators.corpus import running_before
 from lexloom.plans.catalogue import _folder, query, table
 from lexloom.streaming import frontier, jobs
@@ -54,3 +55,39 @@ def s8_paged_stream(spark, sf):
     for seconds in (0, float("inf")):
         jobs.load_pages(spark, f"{path}/rows", f"{path}/checkpoint", total, length, 8 if seconds == 0 else 1024, seconds, **source)
     return spark.read.parquet(f"{path}/rows").select("doc_id", "content")
+
+
+@query(r"""with recursive written as (select doc_id, translate(text, 'la', 'لا') as text from documents), broken as (select doc_id, replace(text, 'لا', 'ال') as text from written where doc_id % 2 = 1),
+lexicon as (select word, count(*) as n from (select unnest(regexp_extract_all(text, '\p{L}+')) as word from written where doc_id % 2 = 0) group by 1),
+pieces as (select doc_id, unnest(regexp_extract_all(text, '\p{L}+|\P{L}+')) as word, generate_subscripts(regexp_extract_all(text, '\p{L}+|\P{L}+'), 1) as i from broken),
+doubtful as (select distinct word from pieces where contains(word, 'ال') and word not in (select word from lexicon)),
+readings as (select word, string_split(word, 'ال') as parts, 1 as i, string_split(word, 'ال')[1] as reading from doubtful
+  union all select word, parts, i + 1, reading || joint || parts[i + 1] from readings, (values ('ال'), ('لا')) j(joint) where i < len(parts) and len(parts) <= 7),
+hits as (select r.word, r.reading, l.n from readings r join lexicon l on l.word = r.reading where r.i = len(r.parts)),
+best as (select word, case when count(*) = 1 then min(reading) end as fixed from (select *, max(n) over (partition by word) as most from hits) where n = most group by word),
+done as (select doc_id, sha256(string_agg(coalesce(fixed, word), '' order by i)) as hash, count(fixed) as repaired, count(d.word) - count(fixed) as doubtful from pieces left join doubtful d using (word) left join best using (word) group by doc_id)
+select b.doc_id, coalesce(hash, sha256(b.text)) as hash, coalesce(repaired, 0) as repaired, coalesce(doubtful, 0) as doubtful from broken b left join done using (doc_id)""")
+def x56_lam_alef(spark, sf):
+    """Half of the documents with l and a as lam and alef, turned around as a broken text layer has them; the others are the lexicon."""
+    written = table(spark, sf, "documents").select("doc_id", F.translate("text", "la", "لا").alias("text"))
+    words = written.filter("doc_id % 2 = 0").select(F.explode(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"))).alias("word"))
+    broken = written.filter("doc_id % 2 = 1").withColumn("text", F.replace("text", F.lit("لا"), F.lit("ال")))
+    found = ligatures.repaired(broken, words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "text")
+    return found.select("doc_id", F.sha2("text", 256).alias("hash"), "repaired", "doubtful")
+
+
+@query("""select event_type as source, count(*) as n, min(floor(value * 1000))::bigint as least, max(floor(value * 1000))::bigint as most, sum(floor(value * 1000)::bigint)::bigint as total, true as median_close, true as members_close
+from events group by 1""")
+def a20_merged_statistics(spark, sf):
+    """Events by kind and day, the days after the tenth added by a second run; estimates are held against the exact ones."""
+    path, size = _folder(spark, "statistics"), F.floor(F.col("value") * 1000).cast("long")
+    rows = table(spark, sf, "events")
+    kind, day = F.col("event_type"), F.to_date("ts")
+    early = F.coalesce(F.dayofmonth("ts") <= 10, F.lit(True))
+    for part in (early, ~early):
+        rollups.refresh(rollups.by_day(rows.filter(part), kind, day, size, F.col("user_id")), path)
+    found = rollups.merged(rollups.stored(spark, path), "source")
+    held = rows.select(kind.alias("source"), size.alias("s"), "user_id").join(F.broadcast(found.select("source", "median")), "source")
+    exact = held.groupBy("source").agg((F.count_if(F.col("s") < F.col("median")) / F.count("s")).alias("below"), (F.count_if(F.col("s") <= F.col("median")) / F.count("s")).alias("upto"), F.count_distinct("user_id").alias("users"))
+    close = F.abs(F.col("members") - F.col("users")) <= 0.05 * F.col("users")
+    return found.join(exact, "source").select("source", "n", "least", "most", "total", ((F.col("below") <= 0.52) & (F.col("upto") >= 0.48)).alias("median_close"), close.alias("members_close"))

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.operators import crawl
+from lexloom.operators import corpus, crawl, ligatures, rollups
 from lexloom.sources import readers
 from lexloom.streaming import frontier, jobs
 
@@ -88,3 +88,50 @@ def test_a_paged_stream_goes_on_after_a_failed_page(spark, tmp_path):
     assert sorted((r.row_index, r.content) for r in spark.read.parquet(out).collect()) == [(i, f"row {i}") for i in range(75)]
     rows = readers.paged(spark, str(tmp_path), [0, 10], 10, "tests.test_flows", "failing_page", "row_index long, content string")
     assert rows.count() == 20
+
+
+def test_lam_alef_is_repaired_by_the_lexicon_alone(spark):
+    lexicon = spark.createDataFrame([("اطلاعات", 9), ("آنلاین", 4), ("الان", 5), ("حال", 8), ("کلا", 2), ("کال", 2), ("بلاد", 3), ("بالد", 3), (None, 1)], "word string, n long")
+    rows = [(1, "اطالعات، آنالین! (اطالعات)", 7), (2, "الان حال", 7), (3, "النه", 7), (4, "", 7), (5, None, 7), (6, "plain text\n", 7), (7, "ال" * 40, 7), (1, "اطالعات، آنالین! (اطالعات)", 7), (8, " اطالعات\n\n" * 2000, 7)]
+    found = ligatures.repaired(spark.createDataFrame(rows, "id long, text string, repaired_by long"), lexicon, "text").collect()
+    told = {r.id: r for r in found}
+    assert len(found) == len(rows) and set(found[0].asDict()) == {"id", "text", "repaired_by", "repaired", "doubtful"}
+    assert (told[1].text, told[1].repaired, told[1].doubtful) == ("اطلاعات، آنلاین! (اطلاعات)", 3, 0)
+    assert (told[2].text, told[2].repaired, told[2].doubtful) == ("الان حال", 0, 0)  # known words are left alone
+    assert (told[3].text, told[3].doubtful) == ("النه", 1) and told[7].text == "ال" * 40 and told[7].doubtful == 1
+    assert [(told[i].text, told[i].repaired) for i in (4, 5, 6)] == [("", 0), (None, 0), ("plain text\n", 0)]
+    assert told[8].text == " اطلاعات\n\n" * 2000 and told[8].repaired == 2000
+    tie = ligatures.fixes(spark.createDataFrame([("الال",), ("الال",)], "word string"), spark.createDataFrame([("لاال", 2), ("اللا", 2)], "word string, n long")).collect()
+    assert [(r.word, r.fixed) for r in tie] == [("الال", None)]  # equally frequent readings: nothing is guessed
+    assert ligatures.fixes(spark.createDataFrame([("الال",)], "word string"), spark.createDataFrame([("لاال", 2), ("اللا", 3)], "word string, n long")).first().fixed == "اللا"
+    rate = lambda texts: corpus.lexicon_hits(texts, lexicon, "id", "text").filter("id = 8").first().rate
+    assert rate(spark.createDataFrame([r[:2] for r in rows], "id long, text string")) == 0.0
+    assert rate(spark.createDataFrame([(8, told[8].text)], "id long, text string")) == 1.0
+    assert ligatures.repaired(spark.createDataFrame([], "id long, text string"), lexicon, "text").count() == 0
+
+
+def test_merged_statistics_keep_their_bounds_and_read_only_what_is_new(spark, tmp_path):
+    path = str(tmp_path / "statistics")
+    rows = spark.range(60_000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 5)).alias("source"), F.expr("date'2024-01-01' + cast(id % 4 as int)").alias("day"), (F.col("id") * 7919 % 60_013).alias("size"), (F.col("id") % 20_000).alias("member"))
+    columns = [F.col(c) for c in ("source", "day", "size", "member")]
+    rows.write.partitionBy("day").parquet(str(tmp_path / "rows"))
+    base = spark.read.parquet(str(tmp_path / "rows"))
+    rollups.refresh(rollups.by_day(base.filter("day < '2024-01-04'"), *columns), path)
+    before = {f.name: f.stat().st_mtime_ns for f in (tmp_path / "statistics").glob("day=2024-01-0[123]/*.parquet")}
+    added = base.filter("day = '2024-01-04'")
+    plan = added._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan  # the day's partition alone is read
+    for _ in range(2):  # a day that is written again takes its own place
+        rollups.refresh(rollups.by_day(added, *columns), path)
+    assert before == {f.name: f.stat().st_mtime_ns for f in (tmp_path / "statistics").glob("day=2024-01-0[123]/*.parquet")}
+    for by in (["source"], ["day"], []):
+        exact = rows.groupBy(*by).agg(F.count("size").alias("n"), F.min("size").alias("least"), F.max("size").alias("most"), F.sum("size").alias("total"), F.count_distinct("member").alias("members"), F.collect_list("size").alias("sizes"))
+        want = {tuple(r[c] for c in by): r for r in exact.collect()}
+        found = rollups.merged(rollups.stored(spark, path), *by).collect()
+        assert len(found) == len(want)
+        for r in found:
+            w = want[tuple(r[c] for c in by)]
+            assert (r.n, r.least, r.most, r.total) == (w.n, w.least, w.most, w.total) and r.mean == pytest.approx(w.total / w.n)
+            assert abs(sum(x <= r.median for x in w.sizes) / w.n - 0.5) < 0.02 and abs(r.members - w.members) <= 0.04 * w.members
+    nothing = rollups.by_day(spark.createDataFrame([(None, None, None, None), ("a", None, None, "m")], "source string, day date, size long, member string"), *columns)
+    assert [(r.source, r.n, r.mean, r.median, r.members) for r in rollups.merged(nothing, "source").orderBy("source").collect()] == [(None, 1, None, None, 0), ("a", 1, None, None, 1)]
