@@ -3,11 +3,14 @@ shared one, run as often as the task would, and return what stands there. Import
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lexloom.operators import ligatures, rollups
 from lexloom.operators.corpus import running_before
-from lexloom.plans.catalogue import _folder, query, table
+from lexloom.plans.catalogue import ORACLE_SQL, _folder, chunks, query, questions, table
+from lexloom.sources import layout
 from lexloom.streaming import frontier, jobs
 
 
@@ -91,3 +94,20 @@ def a20_merged_statistics(spark, sf):
     exact = held.groupBy("source").agg((F.count_if(F.col("s") < F.col("median")) / F.count("s")).alias("below"), (F.count_if(F.col("s") <= F.col("median")) / F.count("s")).alias("upto"), F.count_distinct("user_id").alias("users"))
     close = F.abs(F.col("members") - F.col("users")) <= 0.05 * F.col("users")
     return found.join(exact, "source").select("source", "n", "least", "most", "total", ((F.col("below") <= 0.52) & (F.col("upto") >= 0.48)).alias("median_close"), close.alias("members_close"))
+
+
+@query(ORACLE_SQL["d1_insert_ignore"])
+def d1_bucketed(spark, sf):
+    """d1 into a table bucketed by id."""
+    path, name, buckets = _folder(spark, "bucketed"), f"bucketed_{uuid.uuid4().hex}", max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    old = table(spark, sf, "documents").filter("doc_id % 2 = 0").select("doc_id", F.col("text").alias("content"))
+    layout.store(old, name, path, "doc_id", buckets)
+    return layout.insert_ignore(table(spark, sf, "labels").select("doc_id", F.lit("new").alias("content")), name, path, "doc_id", buckets)
+
+
+@query(ORACLE_SQL["v1_exact_lookup"])
+def v1_article_slices(spark, sf):
+    """v1 over the table of article numbers, which reads the slices asked for."""
+    path = _folder(spark, "articles")
+    layout.store_articles(chunks(spark, sf), path)
+    return layout.exact_lookup(questions(spark, sf), path).select("question_id", "id")

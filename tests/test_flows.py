@@ -5,8 +5,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.operators import corpus, crawl, ligatures, rollups
-from lexloom.sources import readers
+from lexloom.operators import corpus, crawl, ligatures, retrieval, rollups
+from lexloom.sources import layout, readers
 from lexloom.streaming import frontier, jobs
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -135,3 +135,47 @@ def test_merged_statistics_keep_their_bounds_and_read_only_what_is_new(spark, tm
             assert abs(sum(x <= r.median for x in w.sizes) / w.n - 0.5) < 0.02 and abs(r.members - w.members) <= 0.04 * w.members
     nothing = rollups.by_day(spark.createDataFrame([(None, None, None, None), ("a", None, None, "m")], "source string, day date, size long, member string"), *columns)
     assert [(r.source, r.n, r.mean, r.median, r.members) for r in rollups.merged(nothing, "source").orderBy("source").collect()] == [(None, 1, None, None, 0), ("a", 1, None, None, 1)]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bucketed_rows_are_joined_where_they_lie(spark, tmp_path):
+    rows = spark.range(2_000).select("id", F.concat(F.lit("text "), "id").alias("content"))
+    made = layout.store(rows.filter("id % 2 = 0"), "laid_out", str(tmp_path / "rows"), buckets=8)
+    new = spark.range(0, 2_000, 5).select("id", F.lit("new").alias("content"))
+    before, adaptive = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for sides that are too large to broadcast
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for plan in (_plan(new.join(made, "id")), _plan(made.join(new, "id", "left_anti")), _plan(made.join(made.select("id", F.lit(1).alias("hit")), "id"))):
+            assert "Bucketed: true" in plan
+            assert plan.count("Exchange") == plan.count("Range (")  # what is not laid out moves, and only that
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    after = layout.insert_ignore(new.unionByName(new), "laid_out", str(tmp_path / "rows"), buckets=8)
+    want = {i: f"text {i}" for i in range(0, 2_000, 2)} | {i: "new" for i in range(5, 2_000, 10)}
+    assert sorted((r.id, r.content) for r in after.collect()) == sorted(want.items())
+    assert len(list((tmp_path / "rows").glob("*.parquet"))) == 16  # a file for each bucket and write
+    spark.sql("drop table laid_out")
+
+
+def test_an_exact_lookup_reads_the_slices_asked_for(spark, tmp_path):
+    path = str(tmp_path / "articles")
+    rows = spark.range(3_000).select(F.col("id"), F.lit("statute").alias("source_type"), F.concat(F.lit("law "), F.col("id") % 3).alias("source_title"), F.when(F.col("id") % 3 == 0, "7").when(F.col("id") % 50 > 0, (F.col("id") % 400).cast("string")).alias("article_number"), F.lit("x").alias("content"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be one task's
+    try:
+        layout.store_articles(rows, path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    asked = spark.createDataFrame([(1, "ماده 12"), (2, "ماده ۷"), (3, "nothing"), (4, None)], "question_id long, question string")
+    found = layout.exact_lookup(asked, path)
+    assert sorted((r.question_id, r.id) for r in found.collect()) == sorted((r.question_id, r.id) for r in retrieval.exact_lookup(asked, rows).collect())
+    read = {f.split("slice=")[1].split("/")[0] for f in layout.articles_asked(asked, path).select(F.input_file_name()).distinct().toPandas().iloc[:, 0]}
+    assert 0 < len(read) <= 2  # two numbers are asked for, in whatever spelling
+    assert len(list((tmp_path / "articles").glob("slice=*"))) == layout.SLICES
+    seven = spark.read.parquet(path).filter("article_number = '7'").select(F.input_file_name()).distinct().count()
+    assert seven > 1  # the number of a third of the rows
+    assert layout.exact_lookup(asked.filter("question_id = 3"), path).count() == 0
