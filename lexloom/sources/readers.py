@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib
 import io
+import itertools
 import re
 import xml.etree.ElementTree as ET
 import zipfile
@@ -174,9 +175,20 @@ def pdf(spark: SparkSession, path: str, pages_of: Callable[[bytes], tuple[str, l
 # ---- paged rows of a remote dataset
 
 
+#: Partitions that a micro-batch's pages are dealt to at most; the pages of one are fetched one after another.
+MOST_PARTITIONS = 128
+
+
 class _Page(InputPartition):
-    def __init__(self, offset: int, length: int):
-        self.offset, self.length = offset, length
+    """A page, and of its rows those from `first` up to `last`."""
+
+    def __init__(self, offset: int, length: int, first: int = 0, last: int | None = None):
+        self.offset, self.length, self.first, self.last = offset, length, first, last
+
+
+class _Pages(InputPartition):
+    def __init__(self, pages: list[_Page]):
+        self.pages = pages
 
 
 class PagedRows(DataSource):
@@ -202,7 +214,7 @@ class PagedRows(DataSource):
 
 def _fetched(options: dict[str, str], page: _Page) -> Iterator[tuple]:
     fetch = getattr(importlib.import_module(options["module"]), options["function"])
-    yield from (tuple(r) for r in fetch(options["dataset"], page.offset, page.length))
+    yield from (tuple(r) for r in itertools.islice(fetch(options["dataset"], page.offset, page.length), page.first, page.last))
 
 
 class _PagedReader(DataSourceReader):
@@ -217,7 +229,11 @@ class _PagedReader(DataSourceReader):
 
 
 class _PagedStreamReader(DataSourceStreamReader):
-    """Offsets are row numbers; a batch has one partition per page of its rows, so pages are fetched by the executors."""
+    """Offsets are row numbers; a batch's pages are dealt to partitions, so the executors fetch them.
+
+    Pages begin at multiples of the length and are asked for whole, whatever rows a batch begins and ends with; rows of
+    other batches are left out of what comes.
+    """
 
     def __init__(self, options: dict[str, str]):
         self.options = options
@@ -230,10 +246,13 @@ class _PagedStreamReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         length = int(self.options.get("length", "100"))
-        return [_Page(o, min(length, end["row"] - o)) for o in range(start["row"], end["row"], length)]
+        pages = [_Page(o, length, max(0, start["row"] - o), min(length, end["row"] - o)) for o in range(start["row"] // length * length, end["row"], length)]
+        each = max(1, -(-len(pages) // MOST_PARTITIONS))
+        return [_Pages(pages[i : i + each]) for i in range(0, len(pages), each)]
 
-    def read(self, page: _Page) -> Iterator[tuple]:
-        return _fetched(self.options, page)
+    def read(self, pages: _Pages) -> Iterator[tuple]:
+        for page in pages.pages:
+            yield from _fetched(self.options, page)
 
 
 def paged(spark: SparkSession, dataset: str, offsets: list[int], length: int, module: str, function: str, schema: str) -> DataFrame:

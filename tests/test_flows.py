@@ -90,6 +90,23 @@ def test_a_paged_stream_goes_on_after_a_failed_page(spark, tmp_path):
     assert rows.count() == 20
 
 
+def test_a_paged_stream_ends_within_a_page_and_goes_on_there(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / name) for name in ("source", "out", "checkpoint"))
+    rows = spark.range(47).select(F.col("id").alias("doc_id"), F.concat(F.lit("row "), "id").alias("content"), F.floor(F.col("id") / 10).alias("page"))
+    rows.repartition("page").write.partitionBy("page").parquet(source)
+    how = {"dataset": source, "module": "lexloom.sources.readers", "function": "parquet_page", "schema": "doc_id long, content string"}
+    for total in (33, 47):
+        assert jobs.load_pages(spark, out, checkpoint, total, 10, 2, 60, **how) == total
+        assert sorted((r.doc_id, r.content) for r in spark.read.parquet(out).collect()) == [(i, f"row {i}") for i in range(total)]
+
+
+def test_pages_of_a_batch_are_dealt_to_a_bounded_number_of_partitions(monkeypatch):
+    monkeypatch.setattr(readers, "MOST_PARTITIONS", 4)
+    found = readers._PagedStreamReader({"length": "10"}).partitions({"row": 15}, {"row": 123})
+    assert len(found) <= 4
+    assert [i for part in found for p in part.pages for i in range(p.offset + p.first, p.offset + p.last)] == list(range(15, 123))
+
+
 def test_lam_alef_is_repaired_by_the_lexicon_alone(spark):
     lexicon = spark.createDataFrame([("اطلاعات", 9), ("آنلاین", 4), ("الان", 5), ("حال", 8), ("کلا", 2), ("کال", 2), ("بلاد", 3), ("بالد", 3), (None, 1)], "word string, n long")
     rows = [(1, "اطالعات، آنالین! (اطالعات)", 7), (2, "الان حال", 7), (3, "النه", 7), (4, "", 7), (5, None, 7), (6, "plain text\n", 7), (7, "ال" * 40, 7), (1, "اطالعات، آنالین! (اطالعات)", 7), (8, " اطالعات\n\n" * 2000, 7)]
