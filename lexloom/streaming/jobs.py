@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,8 @@ from lexloom.functions.text import window_start
 from lexloom.operators.corpus import running_before
 from lexloom.sources import readers
 
+#: Windows of a key that lie in one group of state.
+SPAN = 1024
 DECISION = "key string, ts timestamp, window_start timestamp, hits int, allowed boolean"
 
 
@@ -27,25 +30,33 @@ def window_hits(events: DataFrame, key: str, ts: str, seconds: int, late: str =
 def decide(events: DataFrame, key: str, ts: str, seconds: int, limit: int, late: str = "1 hour") -> DataFrame:
     """A decision for each event as it comes: its number in its window, counted in state per key and window.
 
-    Denied events count too. A group's state is one number, dropped once the watermark has passed the window.
+    Denied events count too. The windows of a key lie together in groups of SPAN, as most windows hold few events and a
+    group costs far more than an event. A group's state is one number a window, dropped once the watermark has passed it.
     """
 
     def run(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        mark = state.getCurrentWatermarkMs()
+        starts, counts = map(np.array, state.get) if state.exists else (np.empty(0, np.int64), np.empty(0, np.int64))
+        live = starts // 1000 + 1000 * seconds > mark
+        hits: dict[int, int] = dict(zip(starts[live].tolist(), counts[live].tolist(), strict=True))
+        for frame in () if state.hasTimedOut else batches:
+            frame = frame.iloc[np.lexsort((frame["ts"].to_numpy(), frame["window_us"].to_numpy()))]
+            known, first, n = np.unique(frame["window_us"].to_numpy(), return_index=True, return_counts=True)
+            before = np.array([hits.get(w, 0) for w in known.tolist()], np.int64)
+            number = np.arange(1, len(frame) + 1) + np.repeat(before - first, n)
+            hits.update(zip(known.tolist(), (before + n).tolist(), strict=True))
+            yield pd.DataFrame({"key": frame["key"], "ts": frame["ts"], "window_start": frame["window_start"], "hits": number.astype(np.int32), "allowed": number <= limit})
+        if not hits:
             state.remove()
             return
-        hits = state.get[0] if state.exists else 0
-        for frame in batches:
-            frame = frame.sort_values("ts", kind="stable")
-            n = range(hits + 1, hits + 1 + len(frame))
-            hits += len(frame)
-            yield pd.DataFrame({"key": frame["key"], "ts": frame["ts"], "window_start": group[1], "hits": pd.Series(n, index=frame.index, dtype="int32"), "allowed": pd.Series([x <= limit for x in n], index=frame.index, dtype=bool)})
-        state.update((hits,))
-        end = int(pd.Timestamp(group[1]).timestamp() * 1000) + 1000 * seconds
-        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
-
-    named = events.select(F.col(key).cast("string").alias("key"), F.col(ts).alias("ts")).withWatermark("ts", late).withColumn("window_start", window_start(F.col("ts"), seconds))
-    return named.groupBy("key", "window_start").applyInPandasWithState(run, DECISION, "hits int", "append", GroupStateTimeout.EventTimeTimeout)
+        state.update((list(hits), list(hits.values())))
+        # the first window that ends wakes the group; what has ended is dropped there
+        state.setTimeoutTimestamp(max(min(hits) // 1000 + 1000 * seconds, mark + 1))
+
+    start = window_start(F.col("ts"), seconds)
+    named = events.select(F.col(key).cast("string").alias("key"), F.col(ts).alias("ts")).withWatermark("ts", late).withColumns({"window_start": start, "window_us": F.unix_micros(start)})
+    spans = named.withColumn("span", F.floor(F.col("window_us") / (SPAN * seconds * 1_000_000)))
+    return spans.groupBy("key", "span").applyInPandasWithState(run, DECISION, "starts array<long>, hits array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def micro_batches(pages: DataFrame, tick: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = True) -> StreamingQuery:

@@ -107,6 +107,24 @@ def test_pages_of_a_batch_are_dealt_to_a_bounded_number_of_partitions(monkeypatc
     assert [i for part in found for p in part.pages for i in range(p.offset + p.first, p.offset + p.last)] == list(range(15, 123))
 
 
+def test_decisions_count_on_over_batches_with_one_group_a_key(spark, tmp_path):
+    place = {name: str(tmp_path / name) for name in ("in", "out", "state")}
+    schema = "user long, ts timestamp"
+    rows = spark.range(600).select((F.col("id") % 2).alias("user"), F.timestamp_seconds(F.lit(1_700_000_000) + F.floor(F.col("id") / 4) * 60).alias("ts"))
+
+    def step(late):
+        rows.write.mode("append").parquet(place["in"])
+        stream = spark.readStream.schema(schema).parquet(place["in"])
+        query = jobs.decide(stream, "user", "ts", 60, 3, late).writeStream.format("parquet").option("path", place["out"]).option("checkpointLocation", place["state"]).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return max((s.numRowsTotal for p in query.recentProgress for s in p.stateOperators), default=0)
+
+    for batch in (1, 2):  # two events a user and minute in each
+        assert step("1 day") <= 4  # two users, two spans at most; 300 windows
+        found = spark.read.schema(jobs.DECISION).parquet(place["out"]).groupBy("key", "window_start").agg(F.sort_array(F.collect_list("hits")).alias("hits"), F.count_if("allowed").alias("allowed")).collect()
+        assert len(found) == 300 and {(tuple(r.hits), r.allowed) for r in found} == {(tuple(range(1, 2 * batch + 1)), min(3, 2 * batch))}
+
+
 def test_lam_alef_is_repaired_by_the_lexicon_alone(spark):
     lexicon = spark.createDataFrame([("اطلاعات", 9), ("آنلاین", 4), ("الان", 5), ("حال", 8), ("کلا", 2), ("کال", 2), ("بلاد", 3), ("بالد", 3), (None, 1)], "word string, n long")
     rows = [(1, "اطالعات، آنالین! (اطالعات)", 7), (2, "الان حال", 7), (3, "النه", 7), (4, "", 7), (5, None, 7), (6, "plain text\n", 7), (7, "ال" * 40, 7), (1, "اطالعات، آنالین! (اطالعات)", 7), (8, " اطالعات\n\n" * 2000, 7)]
