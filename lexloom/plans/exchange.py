@@ -14,6 +14,8 @@ from lexloom.sources import readers, sinks
 
 #: Records of a nested list: an export's file, a law's articles. Bounded, so that no list grows with the table.
 NESTED = 20
+#: Lists that one file holds.
+FILE_LISTS = 256
 
 
 def _lists(rows: DataFrame, record, key: str, name: str, *more) -> DataFrame:
@@ -22,8 +24,12 @@ def _lists(rows: DataFrame, record, key: str, name: str, *more) -> DataFrame:
 
 
 def _json_values(rows: DataFrame, value, path: str) -> None:
-    """Each row as a file of its own that holds one JSON value, dealt to folders by part."""
-    rows.select(value.alias("value"), "part").repartition("part").write.partitionBy("part").text(path)
+    """Files of one JSON value each, a list of up to FILE_LISTS rows' values, so that files do not follow the rows' number.
+
+    The file's readers take a list of values, or of lists' members, as that many values.
+    """
+    files = rows.select(F.floor(F.col("part") / FILE_LISTS).alias("file"), value.alias("value")).groupBy("file").agg(F.array_join(F.collect_list("value"), ",").alias("value"))
+    files.select(F.concat(F.lit("["), "value", F.lit("]")).alias("value"), "file").repartition("file").write.partitionBy("file").text(path)
 
 
 @query("select cast(doc_id as varchar) as id, text as content, sha256(text) as hash, source as source_title, cast(length(text) as int) as word_count, lang as domain from documents")
@@ -55,7 +61,7 @@ def s7_crawl_export(spark, sf):
         F.when(n % 3 == 0, F.lit("")).otherwise(F.col("url")).alias("url"), F.when(n % 2 == 0, F.col("html")).alias("markdown"), F.substring("html", 1, 30).alias("text"),
         F.struct(F.concat(F.lit(" T "), n.cast("string")).alias("title")).alias("metadata"), F.struct(F.concat(F.lit("http://loaded/"), n.cast("string")).alias("loadedUrl"), (200 + n % 4).alias("httpStatusCode")).alias("crawl"),
     )
-    _json_values(_lists(table(spark, sf, "pages"), record, "page_id", "records"), F.to_json("records"), path)
+    _json_values(_lists(table(spark, sf, "pages"), record, "page_id", "records"), F.regexp_replace(F.to_json("records"), r"^\[|\]$", ""), path)
     return readers.crawl_export(spark, path).select("url", "title", "body", "http_status")
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom.operators import corpus, crawl, ligatures, retrieval, rollups
+from lexloom.plans import exchange
 from lexloom.sources import layout, readers
 from lexloom.streaming import frontier, jobs
 
@@ -107,6 +108,14 @@ def test_pages_of_a_batch_are_dealt_to_a_bounded_number_of_partitions(monkeypatc
     assert [i for part in found for p in part.pages for i in range(p.offset + p.first, p.offset + p.last)] == list(range(15, 123))
 
 
+def test_json_values_share_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exchange, "FILE_LISTS", 8)
+    rows = spark.range(20).withColumnRenamed("id", "part")
+    exchange._json_values(rows, F.to_json(F.struct(F.col("part").alias("n"))), str(tmp_path / "values"))
+    found = spark.read.schema("n long").json(str(tmp_path / "values"), multiLine=True)
+    assert sorted(r.n for r in found.select("n").collect()) == list(range(20)) and len(found.inputFiles()) == 3
+
+
 def test_decisions_count_on_over_batches_with_one_group_a_key(spark, tmp_path):
     place = {name: str(tmp_path / name) for name in ("in", "out", "state")}
     schema = "user long, ts timestamp"
