@@ -26,6 +26,8 @@ from lexloom.operators.corpus import running_before
 from lexloom.session import broadcast_if_small, materialize
 
 BROADCAST_QUESTIONS = 2000
+#: Scores that a task holds at once.
+TILE = 1 << 20
 EXACT_LIMIT, FTS_LIMIT, VECTOR_LIMIT, LEXICAL_POOL, POOL, TOP = 80, 30, 30, 1500, 4000, 8
 
 
@@ -131,8 +133,8 @@ def _holders(terms: list[str], limit: int) -> Callable:
 def nearest_by_cosine(questions: DataFrame, chunks: DataFrame, limit: int = VECTOR_LIMIT, places: int = 6) -> DataFrame:
     """(question_id, id, semantic, rank): exact cosine top-k of each question's vector over all embedded rows.
 
-    Questions travel to the rows as one matrix: a task multiplies each Arrow batch with it and passes on the best `limit`
-    rows a question, so what is shuffled does not follow the corpus. More than BROADCAST_QUESTIONS go in blocks of about
+    Questions travel to the rows as one matrix: a task multiplies each Arrow batch with it, TILE scores at a time, and passes
+    on the best `limit` rows a question, so neither its memory nor what is shuffled follows the corpus. More than BROADCAST_QUESTIONS go in blocks of about
     that many, one pass each, so that no task holds more. Ranks follow the rounded score, ties the id. Vectors of another
     length count as -1.
     """
@@ -154,31 +156,33 @@ def _nearest(questions: DataFrame, chunks: DataFrame, limit: int, places: int) -
         by_size.setdefault(len(r["__q"] or ()), []).append(i)
     units = {n: np.array([few[i]["__q"] for i in places_], float).reshape(len(places_), n) for n, places_ in by_size.items()}
     units = {n: m / np.where((size := np.linalg.norm(m, axis=1, keepdims=True)) > 0, size, 1) for n, m in units.items()}
-    zero = {n: ~m.any(axis=1) for n, m in units.items()}
+    zero, of = {n: ~m.any(axis=1) for n, m in units.items()}, {n: np.array(places_) for n, places_ in by_size.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, vectors = batch.column(0), batch.column(1)
             sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
-            found = np.full((len(few), batch.num_rows), -1.0)
+            of_size = {}
             for n in np.unique(sizes):
                 if int(n) in units:
                     at = np.flatnonzero(sizes == n)
                     m = np.nan_to_num(vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)).reshape(len(at), int(n))
                     length = np.linalg.norm(m, axis=1)
-                    score = units[int(n)] @ (m / np.where(length > 0, length, 1)[:, None]).T
-                    score[:, length == 0] = -1
-                    score[zero[int(n)]] = -1
-                    found[np.ix_(by_size[int(n)], at)] = score
-            found = np.round(found, places)
+                    of_size[int(n)] = at, m / np.where(length > 0, length, 1)[:, None], length == 0
             order = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
-            question, row = [], []
-            for q in range(len(few)):
-                best = np.lexsort((order, -found[q]))[:limit] if batch.num_rows <= 4 * limit else _first(found[q], order, limit)
-                question.append(np.full(len(best), q, np.int32))
-                row.append(best)
-            q, r = np.concatenate(question), np.concatenate(row)
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), ids.take(pa.array(r)), pa.array(found[q, r], pa.float64())], ["__i", "id", "semantic"])
+            step = max(1, TILE // max(1, batch.num_rows))
+            for start in range(0, len(few), step):
+                found = np.full((min(step, len(few) - start), batch.num_rows), -1.0)
+                for n, (at, m, nought) in of_size.items():
+                    mine = np.flatnonzero((of[n] >= start) & (of[n] < start + step))
+                    score = units[n][mine] @ m.T
+                    score[:, nought] = -1
+                    score[zero[n][mine]] = -1
+                    found[np.ix_(of[n][mine] - start, at)] = score
+                np.round(found, places, out=found)
+                best = [np.lexsort((order, -f))[:limit] if batch.num_rows <= 4 * limit else _first(f, order, limit) for f in found]
+                q, r = np.repeat(np.arange(len(best)), [len(b) for b in best]), np.concatenate(best)
+                yield pa.RecordBatch.from_arrays([pa.array((start + q).astype(np.int32)), ids.take(pa.array(r)), pa.array(found[q, r], pa.float64())], ["__i", "id", "semantic"])
 
     if not few:
         return asked.join(rows.select("id"), F.lit(False)).select("question_id", "id", F.lit(0.0).alias("semantic"), F.lit(1).alias("rank"))

@@ -51,6 +51,12 @@ def test_exact_search_equals_the_scan(chunks, asked, index, monkeypatch):
     assert sorted(map(tuple, vector_index.search(asked, index, exact=True).collect())) == want
 
 
+def test_scores_are_held_in_tiles(chunks, asked, monkeypatch):
+    want = sorted(map(tuple, retrieval.nearest_by_cosine(asked, chunks).collect()))
+    monkeypatch.setattr(retrieval, "TILE", 5000)
+    assert sorted(map(tuple, retrieval.nearest_by_cosine(asked, chunks).collect())) == want
+
+
 def test_blocks_hold_one_token_in_order():
     token = ["a"] * 130 + ["b"] + ["c"] * 128
     batch = pa.RecordBatch.from_arrays([pa.array(token), pa.array(range(259), pa.int64()), pa.array(range(1000, 1259), pa.int64())], ["token", "size", "id"])
