@@ -319,6 +319,7 @@ def excerpts(question: Column, files: DataFrame, budget: int = 2500) -> DataFram
     the question, until `budget` characters are used; the last one is cut."""
     words = F.filter(F.split(normalize(question), TOKEN_BREAK), lambda t: F.length(t) >= 3)
     each = files.withColumn("__words", words).select("user_id", "file_id", "filename", "created_at", "__words", F.posexplode(F.split("content", r"\n{2,}")).alias("place", "para"))
-    hits = each.filter(F.exists("__words", lambda t: F.contains(normalize(F.col("para")), t))).drop("__words")
+    # bound by a lambda, a paragraph is normalised once, not once a word
+    hits = each.filter(F.exists(F.array(normalize(F.col("para"))), lambda p: F.exists("__words", lambda t: F.contains(p, t)))).drop("__words")
     used = running_before(hits, [F.desc("created_at"), F.col("file_id"), F.col("place")], F.length("para"), "used", "user_id")
     return used.filter(F.col("used") < budget).select("user_id", "file_id", "filename", "place", F.expr(f"substring(para, 1, cast({budget} - used as int))").alias("excerpt"))
