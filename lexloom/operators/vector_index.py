@@ -222,7 +222,7 @@ def search(questions: DataFrame, path: str, limit: int = VECTOR_LIMIT, probes: i
         # rounding may lift a row by half a unit of the last place to the bar, or lower it to it
         found = top(near, "question_id", [F.desc("semantic"), F.col("id")], limit).groupBy("question_id").agg(F.count(F.lit(1)).alias("n"), F.min("semantic").alias("least"))
         bars = asked.join(found, "question_id", "left").withColumn("bar", F.when(F.col("n") == limit, F.col("least") - 10.0**-places).otherwise(F.lit(-2.0)))
-        near = _compared(_scored(materialize(bars.select("question_id", "vector", "bar")), entries, model, slices, radius, None, None), asked, entries, places)
+        near = _compared(_scored(materialize(bars.select("question_id", "vector", "bar")), entries, model, slices, radius, None, None, limit, places), asked, entries, places)
     return top(near, "question_id", [F.desc("semantic"), F.col("id")], limit).select("question_id", "id", "semantic", "rank")
 
 
@@ -245,8 +245,9 @@ def probes_for(spark: SparkSession, path: str, recall: float = 0.97, asked: int
     return known["lists"]
 
 
-def _scored(asked: DataFrame, entries: DataFrame, model: Model, slices: np.ndarray, radius: np.ndarray, probes: int | None, keep: int | None) -> DataFrame:
-    """(question_id, list, id): each question's rows by their codes; the best `keep`, or all that may reach its bar."""
+def _scored(asked: DataFrame, entries: DataFrame, model: Model, slices: np.ndarray, radius: np.ndarray, probes: int | None, keep: int | None, limit: int = 0, places: int = 6) -> DataFrame:
+    """(question_id, list, id): each question's rows by their codes; the best `keep`, or of all that may reach its bar those
+    whose vectors do, about `limit` a cell at most, which hold a cell's share of the nearest."""
     question, key = asked.schema["question_id"], entries.schema["id"]
     live = np.flatnonzero(slices)
     probe = StructType([question, StructField("q", BinaryType()), StructField("bar", DoubleType()), StructField("list", IntegerType()), StructField("slice", IntegerType()), StructField("near", DoubleType())])
@@ -272,8 +273,9 @@ def _scored(asked: DataFrame, entries: DataFrame, model: Model, slices: np.ndarr
     probes_ = materialize(asked.select("question_id", "vector", "bar").mapInArrow(probed, probe).withColumn("block", block))
     wanted = probes_.select("list").filter("list >= 0").distinct()  # MAX_LISTS rows at most; its filter lets Spark prune partitions by it
     spread = entries.sparkSession.createDataFrame([(int(i), int(slices[i])) for i in live], "list int, slices int")
-    held = entries.select("id", "list", "code", "off").join(F.broadcast(wanted), "list", "left_semi").join(F.broadcast(spread), "list")
-    held = held.select("id", "list", "code", "off", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("slice"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    kept = ["id", "list", "code", "off", *(["embedding"] if keep is None else [])]
+    held = entries.select(*kept).join(F.broadcast(wanted), "list", "left_semi").join(F.broadcast(spread), "list")
+    held = held.select(*kept, F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("slice"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     out = StructType([question, StructField("list", IntegerType()), key, StructField("about", DoubleType())])
     parts, width = model.shape
 
@@ -284,11 +286,17 @@ def _scored(asked: DataFrame, entries: DataFrame, model: Model, slices: np.ndarr
             code = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(-1, parts).astype(np.int64)
             off, near, bars = (t.column(c).to_numpy() for t, c in ((rows, "off"), (questions, "near"), (questions, "bar")))
             flat = code + np.arange(parts) * model.books.shape[1]
+            if keep is None:
+                units = model.units(_matrix(rows.column("embedding").combine_chunks()))
+                order = np.argsort(np.argsort(rows.column("id").to_numpy(), kind="stable"), kind="stable")
             for i, blob in enumerate(questions.column("q").to_pylist()):
                 table = np.einsum("jw,jew->je", np.frombuffer(blob).reshape(parts, width), model.books).reshape(-1)
                 score = near[i] + table[flat].sum(axis=1)
                 if keep is None:
                     chosen = np.flatnonzero(score + off + 1e-9 >= bars[i])
+                    u = np.frombuffer(blob)
+                    score[chosen] = (units @ u)[chosen] if 4 * len(chosen) > len(units) else units[chosen] @ u
+                    chosen = _share(chosen[score[chosen] + 1e-9 >= bars[i]], score, order, limit, places)
                 else:
                     chosen = np.argpartition(-score, keep)[:keep] if len(score) > keep else np.arange(len(score))
                 who.append(np.full(len(chosen), i))
@@ -304,6 +312,17 @@ def _scored(asked: DataFrame, entries: DataFrame, model: Model, slices: np.ndarr
     return found.select("question_id", "list", "id")
 
 
+def _share(chosen: np.ndarray, score: np.ndarray, order: np.ndarray, limit: int, places: int) -> np.ndarray:
+    """Of chosen rows those that may be among the `limit` best by rounded score, then order: these by the scores at hand, and
+    rows so close to where rounding turns that a sum in another order may round them otherwise."""
+    if len(chosen) <= limit:
+        return chosen
+    scaled = score[chosen] * 10.0**places
+    best = np.lexsort((order[chosen], -np.round(scaled)))[:limit]
+    unsure = (np.abs(scaled - np.floor(scaled) - 0.5) < 1e-4) & (scaled >= np.round(scaled[best[-1]]) - 1)
+    return chosen[np.union1d(best, np.flatnonzero(unsure))]
+
+
 def _compared(found: DataFrame, asked: DataFrame, entries: DataFrame, places: int) -> DataFrame:
     """(question_id, id, semantic): found rows with the exact cosine. Only lists that hold found rows are read; where few are
     found they travel to the vectors, not the vectors to them."""

@@ -57,6 +57,13 @@ def test_scores_are_held_in_tiles(chunks, asked, monkeypatch):
     assert sorted(map(tuple, retrieval.nearest_by_cosine(asked, chunks).collect())) == want
 
 
+def test_a_cell_gives_the_best_rows_and_those_whose_rounding_is_unsure():
+    score = np.array([0.9, 0.5, 0.50000049999999, 0.7, 0.5, 0.1])
+    found = vector_index._share(np.arange(6), score, np.array([5, 4, 3, 2, 1, 0]), 3, 6)
+    assert found.tolist() == [0, 2, 3, 4]  # of the two at 0.5 the one first in order; the third may round up
+    assert len(vector_index._share(np.arange(5000), np.full(5000, 0.25), np.arange(5000), 30, 6)) == 30
+
+
 def test_blocks_hold_one_token_in_order():
     token = ["a"] * 130 + ["b"] + ["c"] * 128
     batch = pa.RecordBatch.from_arrays([pa.array(token), pa.array(range(259), pa.int64()), pa.array(range(1000, 1259), pa.int64())], ["token", "size", "id"])
