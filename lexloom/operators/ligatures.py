@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.session import broadcast_if_small
+from lexloom.session import broadcast_if_small, materialize
 
 #: How the ligature comes out of a broken text layer, and how it is written.
 BROKEN, WHOLE = "ال", "لا"
@@ -48,7 +48,7 @@ def repaired(documents: DataFrame, lexicon: DataFrame, content: str) -> DataFram
     key = F.sha2(F.col(content), 256)
     texts = documents.filter(F.contains(content, F.lit(BROKEN))).select(key.alias("__key"), F.col(content).alias("__text")).dropDuplicates(["__key"])
     pieces = texts.select("__key", F.posexplode(F.split("__text", BORDER)).alias("__i", "word"))
-    told = broadcast_if_small(fixes(pieces, lexicon).withColumn("__doubtful", F.lit(1)), BROADCAST_FIXES)
+    told = broadcast_if_small(materialize(fixes(pieces, lexicon).withColumn("__doubtful", F.lit(1))), BROADCAST_FIXES)  # counted and joined: made once
     joined = pieces.join(told, "word", "left").select("__key", F.struct("__i", F.coalesce("fixed", "word").alias("s")).alias("__piece"), "fixed", "__doubtful")
     whole = joined.groupBy("__key").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list("__piece")), lambda p: p["s"]), "").alias("__fixed"),
