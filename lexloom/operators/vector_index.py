@@ -5,7 +5,7 @@ A folder of Parquet tables:
 * `model`: the centroids and the codebooks of the residuals' parts, fitted once on a bounded sample (SAMPLE_PER_LIST rows a
   list and ENTRY_SAMPLE an entry).
 * `entries`, by generation and list: every row with its code, how far the code is off, and its vector. A search reads the
-  lists that it probes, and vectors of the shortlisted only.
+  lists that it probes; where a list meets its questions, codes choose the rows whose vectors are compared.
 * `lists`: rows and radius of each list of each generation.
 
 Rows are appended as a new generation under the same model, nothing is rebuilt. Similarities are cosines; vectors are
@@ -26,13 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StructField, StructType
 
 from lexloom.functions.vectors import cosine, is_embedded
-from lexloom.operators.retrieval import VECTOR_LIMIT, top
+from lexloom.operators.retrieval import VECTOR_LIMIT, nearest_by_cosine, top
 from lexloom.session import broadcast_if_small, materialize
 
 #: Bounds of the model, which every task gets: lists at most, rows of the sample for each list and for each entry.
 MAX_LISTS, SAMPLE_PER_LIST, ENTRY_SAMPLE = 4096, 64, 64
-#: Rows of a list, and questions, that one task compares.
-SLICE, QUESTION_BLOCK = 1 << 16, 1 << 12
+#: Rows of a list, components of their vectors, and questions, that one task compares at most.
+SLICE, SLICE_COMPONENTS, QUESTION_BLOCK = 1 << 16, 1 << 24, 1 << 12
 
 
 @dataclass
@@ -194,11 +194,11 @@ def append(chunks: DataFrame, path: str, generation: int) -> None:
 def search(questions: DataFrame, path: str, limit: int = VECTOR_LIMIT, probes: int = 8, shortlist: int = 8, exact: bool = False, places: int = 6) -> DataFrame:
     """(question_id, id, semantic, rank) of the nearest rows of each question (question_id, vector).
 
-    Each question probes the lists of its `probes` nearest centroids, scores their codes, and has the vectors of its best
-    `shortlist` * limit rows fetched and compared. exact: a second pass takes the least of these cosines as a bar, probes
-    all lists whose radius lets them reach it, and has all rows compared whose code and error may reach it; so nothing
-    that is nearer can be missed, at the price of more lists. Ranks follow the rounded cosine, ties the id. Questions
-    whose vector has another length than the index or no direction get no rows.
+    Each question probes the lists of its `probes` nearest centroids, scores their codes, and has the vectors of the best
+    `shortlist` * limit rows of each slice of a list compared. exact: a second pass takes the least of these cosines as a
+    bar, probes all lists whose radius lets them reach it, and has all rows compared whose code and error may reach it; so
+    nothing that is nearer can be missed, at the price of more lists. Ranks follow the rounded cosine, ties the id.
+    Questions whose vector has another length than the index or no direction get no rows.
 
     Lists that no question probes are not read (partitions pruned by what is probed). Questions and lists meet in slices
     of SLICE rows by QUESTION_BLOCK questions, whatever their numbers.
@@ -206,18 +206,14 @@ def search(questions: DataFrame, path: str, limit: int = VECTOR_LIMIT, probes: i
     spark = questions.sparkSession
     model = load(spark, path)
     try:
-        sizes = spark.read.parquet(f"{path}/lists").groupBy("list").agg(F.sum("n").alias("n"), F.max("radius").alias("radius")).collect()  # MAX_LISTS rows at most
-        entries = spark.read.parquet(f"{path}/entries")
+        entries, slices, radius = _stored(spark, path, model)
     except AnalysisException as e:  # nothing was usable, so nothing was written
         if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return questions.select("question_id").limit(0).select("question_id", F.lit(None).cast("long").alias("id"), F.lit(0.0).alias("semantic"), F.lit(1).alias("rank"))
-    slices, radius = np.zeros(len(model.centroids), np.int64), np.full(len(model.centroids), -np.inf)
-    for r in sizes:
-        slices[r["list"]], radius[r["list"]] = -(-r["n"] // SLICE), r["radius"]
     number = F.col("vector")
     asked = materialize(questions.select("question_id", number.cast("array<double>").alias("vector")).filter((F.size("vector") == model.dims) & F.forall("vector", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("vector", lambda c: c != 0)))
-    near = _compared(_scored(asked.withColumn("bar", F.lit(None).cast("double")), entries, model, slices, radius, probes, shortlist * limit), asked, entries, places)
+    near = _compared(_scored(asked.withColumn("bar", F.lit(None).cast("double")), entries, model, slices, radius, probes, shortlist * limit, limit, places), asked, entries, places)
     if exact:
         # rounding may lift a row by half a unit of the last place to the bar, or lower it to it
         found = top(near, "question_id", [F.desc("semantic"), F.col("id")], limit).groupBy("question_id").agg(F.count(F.lit(1)).alias("n"), F.min("semantic").alias("least"))
@@ -229,25 +225,52 @@ def search(questions: DataFrame, path: str, limit: int = VECTOR_LIMIT, probes: i
 def probes_for(spark: SparkSession, path: str, recall: float = 0.97, asked: int = 64, limit: int = VECTOR_LIMIT, shortlist: int = 8) -> int:
     """The least number of probes, doubled from 4, at which about `asked` indexed rows find that share of their nearest rows.
 
-    The questions are a bounded sample of the index (by hash of the id), each compared with its exact search; if all lists
-    have to be probed, that number is returned.
+    The questions are a bounded sample of the index (by hash of the id), each compared with its nearest rows by a scan. One
+    search over all lists tells which of these the codes let through; how many probes each takes is the place of its list.
+    If no smaller number reaches the share, that of all lists is returned.
     """
-    entries, lists = spark.read.parquet(f"{path}/entries"), spark.read.parquet(f"{path}/lists")
-    known = lists.agg(F.sum("n").alias("n"), F.count_distinct("list").alias("lists")).first()
+    model = load(spark, path)
+    entries, slices, radius = _stored(spark, path, model)
+    live = np.flatnonzero(slices)
     turn = F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1 << 40))
-    few = materialize(entries.select(F.col("id").alias("question_id"), F.col("embedding").alias("vector"), turn.alias("turn")).filter(F.col("turn") < int((1 << 40) * min(1.0, asked / known["n"])) + 1).drop("turn"))
-    wanted = materialize(search(few, path, limit, probes=4, shortlist=shortlist, exact=True).select("question_id", "id"))
-    n, probes = wanted.count(), 4
-    while probes < known["lists"]:
-        if search(few, path, limit, probes, shortlist).join(wanted, ["question_id", "id"], "left_semi").count() >= recall * n:
+    n = spark.read.parquet(f"{path}/lists").agg(F.sum("n").alias("n")).first()["n"]
+    few = materialize(entries.select(F.col("id").alias("question_id"), F.col("embedding").alias("vector"), turn.alias("turn")).filter(F.col("turn") < int((1 << 40) * min(1.0, asked / n)) + 1).drop("turn"))
+    wanted = materialize(nearest_by_cosine(few, entries, limit).select("question_id", "id"))
+    found = _scored(few.withColumn("bar", F.lit(None).cast("double")), entries, model, slices, radius, len(live), shortlist * limit, limit)
+    hits = found.join(wanted, ["question_id", "id"], "left_semi").select("question_id", "list").collect()  # about asked * limit rows
+    vectors = {r["question_id"]: r["vector"] for r in few.collect()}
+    places = {}
+    for q, v in vectors.items():
+        about = model.units(np.array([v])) @ model.centroids[live].T
+        places[q] = {int(live[at]): place for place, at in enumerate(_closest(about, len(live))[0])}
+    needed = np.sort([places[r["question_id"]][r["list"]] + 1 for r in hits])
+    bar, probes = recall * wanted.count(), 4
+    while probes < len(live):
+        if np.searchsorted(needed, probes, "right") >= bar:
             return probes
         probes *= 2
-    return known["lists"]
+    return len(live)
 
 
-def _scored(asked: DataFrame, entries: DataFrame, model: Model, slices: np.ndarray, radius: np.ndarray, probes: int | None, keep: int | None, limit: int = 0, places: int = 6) -> DataFrame:
-    """(question_id, list, id): each question's rows by their codes; the best `keep`, or of all that may reach its bar those
-    whose vectors do, about `limit` a cell at most, which hold a cell's share of the nearest."""
+def _stored(spark: SparkSession, path: str, model: Model) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(entries, slices of each list, radius of each list)."""
+    sizes = spark.read.parquet(f"{path}/lists").groupBy("list").agg(F.sum("n").alias("n"), F.max("radius").alias("radius")).collect()  # MAX_LISTS rows at most
+    slices, radius = np.zeros(len(model.centroids), np.int64), np.full(len(model.centroids), -np.inf)
+    most = max(1, min(SLICE, SLICE_COMPONENTS // model.centroids.shape[1]))
+    for r in sizes:
+        slices[r["list"]], radius[r["list"]] = -(-r["n"] // most), r["radius"]
+    return spark.read.parquet(f"{path}/entries"), slices, radius
+
+
+def _closest(about: np.ndarray, most: int) -> np.ndarray:
+    """The places of each row's highest similarities, highest first."""
+    return np.argsort(-about, axis=1, kind="stable")[:, :most]
+
+
+def _scored(asked: DataFrame, entries: DataFrame, model: Model, slices: np.ndarray, radius: np.ndarray, probes: int | None, keep: int | None, limit: int, places: int = 6) -> DataFrame:
+    """(question_id, list, id): of each question's rows the best `keep` by their vectors, of which a cell compares those of its
+    `keep` best codes; or of all whose codes may reach its bar those whose vectors do. Either way a cell gives about `limit`
+    rows a question at most, which hold its share of the nearest."""
     question, key = asked.schema["question_id"], entries.schema["id"]
     live = np.flatnonzero(slices)
     probe = StructType([question, StructField("q", BinaryType()), StructField("bar", DoubleType()), StructField("list", IntegerType()), StructField("slice", IntegerType()), StructField("near", DoubleType())])
@@ -261,7 +284,7 @@ def _scored(asked: DataFrame, entries: DataFrame, model: Model, slices: np.ndarr
                 row, at = np.nonzero(about + radius[live] + 1e-9 >= bars[:, None])
             else:
                 most = min(probes, len(live))
-                at = np.argsort(-about, axis=1, kind="stable")[:, :most].reshape(-1)
+                at = _closest(about, most).reshape(-1)
                 row = np.repeat(np.arange(len(units)), most)
             cells = slices[live[at]]
             row, at, slice_ = np.repeat(row, cells), np.repeat(at, cells), np.concatenate([np.empty(0, np.int64), *(np.arange(c) for c in cells)])
@@ -273,7 +296,7 @@ def _scored(asked: DataFrame, entries: DataFrame, model: Model, slices: np.ndarr
     probes_ = materialize(asked.select("question_id", "vector", "bar").mapInArrow(probed, probe).withColumn("block", block))
     wanted = probes_.select("list").filter("list >= 0").distinct()  # MAX_LISTS rows at most; its filter lets Spark prune partitions by it
     spread = entries.sparkSession.createDataFrame([(int(i), int(slices[i])) for i in live], "list int, slices int")
-    kept = ["id", "list", "code", "off", *(["embedding"] if keep is None else [])]
+    kept = ["id", "list", "code", "off", "embedding"]
     held = entries.select(*kept).join(F.broadcast(wanted), "list", "left_semi").join(F.broadcast(spread), "list")
     held = held.select(*kept, F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("slice"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     out = StructType([question, StructField("list", IntegerType()), key, StructField("about", DoubleType())])
@@ -286,19 +309,20 @@ def _scored(asked: DataFrame, entries: DataFrame, model: Model, slices: np.ndarr
             code = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(-1, parts).astype(np.int64)
             off, near, bars = (t.column(c).to_numpy() for t, c in ((rows, "off"), (questions, "near"), (questions, "bar")))
             flat = code + np.arange(parts) * model.books.shape[1]
-            if keep is None:
-                units = model.units(_matrix(rows.column("embedding").combine_chunks()))
-                order = np.argsort(np.argsort(rows.column("id").to_numpy(), kind="stable"), kind="stable")
+            units = model.units(_matrix(rows.column("embedding").combine_chunks()))
+            order = np.argsort(np.argsort(rows.column("id").to_numpy(), kind="stable"), kind="stable")
             for i, blob in enumerate(questions.column("q").to_pylist()):
                 table = np.einsum("jw,jew->je", np.frombuffer(blob).reshape(parts, width), model.books).reshape(-1)
                 score = near[i] + table[flat].sum(axis=1)
                 if keep is None:
                     chosen = np.flatnonzero(score + off + 1e-9 >= bars[i])
-                    u = np.frombuffer(blob)
-                    score[chosen] = (units @ u)[chosen] if 4 * len(chosen) > len(units) else units[chosen] @ u
-                    chosen = _share(chosen[score[chosen] + 1e-9 >= bars[i]], score, order, limit, places)
                 else:
                     chosen = np.argpartition(-score, keep)[:keep] if len(score) > keep else np.arange(len(score))
+                u = np.frombuffer(blob)
+                score[chosen] = (units @ u)[chosen] if 4 * len(chosen) > len(units) else units[chosen] @ u
+                if keep is None:
+                    chosen = chosen[score[chosen] + 1e-9 >= bars[i]]
+                chosen = _share(chosen, score, order, limit, places)
                 who.append(np.full(len(chosen), i))
                 which.append(chosen)
                 about.append(score[chosen])

@@ -82,6 +82,41 @@ def test_few_probes_find_nearly_all_and_read_few_lists(spark, chunks, asked, ind
     assert few.count() == 30
 
 
+def test_codes_that_tell_little_hide_no_near_rows(spark, tmp_path):
+    rng = np.random.default_rng(6)  # directions at random: of all rows, the best codes hold about half of the nearest
+    rows = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(rng.normal(size=(6000, 64)))], EMBEDDED).repartition(4).persist()
+    path = str(tmp_path / "random")
+    vector_index.build(rows, path, 64)
+    few = rows.filter("id % 200 = 0").selectExpr("id as question_id", "embedding as vector")
+    want = pairs(retrieval.nearest_by_cosine(few, rows))
+    found = vector_index.search(few, path, probes=vector_index.probes_for(spark, path))
+    assert len(want & pairs(found)) >= 0.95 * len(want)
+
+
+def test_probes_are_chosen_by_one_search(spark, chunks, index, monkeypatch):
+    scored, calls = vector_index._scored, []
+    monkeypatch.setattr(vector_index, "_scored", lambda *a, **k: calls.append(a[5]) or scored(*a, **k))
+    assert vector_index.probes_for(spark, index, recall=1.1) == 50 and calls == [50]  # no number reaches it
+    few = spark.read.parquet(f"{index}/entries").selectExpr("id as question_id", "embedding as vector", "pmod(xxhash64(id, 23), bigint(1) << 40) as turn").filter(f"turn < {int((1 << 40) * 64 / 4000) + 1}")
+    want, probes = pairs(retrieval.nearest_by_cosine(few, chunks)), vector_index.probes_for(spark, index, recall=0.9)
+    assert len(want & pairs(vector_index.search(few, index, probes=probes))) >= 0.9 * len(want)
+    assert probes == 4 or len(want & pairs(vector_index.search(few, index, probes=probes // 2))) < 0.9 * len(want)
+
+
+def test_a_cell_gives_few_rows_a_question(spark, asked, index):
+    model = vector_index.load(spark, index)
+    entries, slices, radius = vector_index._stored(spark, index, model)
+    found = vector_index._scored(asked.withColumn("bar", F.lit(None).cast("double")), entries, model, slices, radius, 50, 100_000, 5)
+    assert found.groupBy("question_id", "list").count().agg(F.max("count")).first()[0] <= 6  # five, and where rounding is unsure
+
+
+def test_wide_vectors_are_cut_into_smaller_slices(spark, index, monkeypatch):
+    monkeypatch.setattr(vector_index, "SLICE_COMPONENTS", 32 * 10)
+    sizes = {r.list: r.n for r in spark.read.parquet(f"{index}/lists").groupBy("list").agg(F.sum("n").alias("n")).collect()}
+    slices = vector_index._stored(spark, index, vector_index.load(spark, index))[1]
+    assert {i: int(slices[i]) for i in sizes} == {i: -(-n // 10) for i, n in sizes.items()}
+
+
 def test_lists_that_no_question_probes_are_not_read(spark, index):
     entries = spark.read.parquet(f"{index}/entries")
     wanted = spark.createDataFrame([(1,)], "list int").write.mode("overwrite").parquet(f"{index}/wanted")
