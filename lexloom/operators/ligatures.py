@@ -11,8 +11,8 @@ from lexloom.session import broadcast_if_small, materialize
 BROKEN, WHOLE = "ال", "لا"
 #: Borders between runs of letters and what stands between them; splitting there loses nothing.
 BORDER = r"(?<=\p{L})(?=\P{L})|(?<=\P{L})(?=\p{L})"
-#: Words that hold the pair more often are no words: they stay, counted as doubtful.
-MOST_PAIRS = 6
+#: How many letters of a word have their readings written out (12 hold six pairs, so 64 at most); the rest is compared.
+HEAD = 12
 #: Rows and bytes up to which the fixes are broadcast.
 BROADCAST_FIXES = 200_000
 
@@ -26,9 +26,10 @@ def fixes(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     """
     known = lexicon.filter("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
     doubtful = words.filter(F.contains("word", F.lit(BROKEN))).select("word").distinct().join(known, "word", "left_anti")
-    parts = F.split("word", BROKEN)
-    short = doubtful.filter(F.size(parts) <= MOST_PAIRS + 1).select("word", F.explode(_readings(parts)).alias("reading"))
-    found = short.join(known.select(F.col("word").alias("reading"), "n"), "reading")
+    readings = doubtful.select("word", F.explode(_readings(F.split(F.left("word", F.lit(HEAD)), BROKEN))).alias("head"))
+    keyed = readings.select("word", _key(F.concat("head", F.expr(f"substring(word, {HEAD + 1})"))).alias("__key"))
+    read = known.filter(F.contains("word", F.lit(WHOLE))).select(F.col("word").alias("reading"), "n", _key(F.col("word")).alias("__key"))
+    found = keyed.join(read, "__key").filter(_only_pairs_turned(F.col("word"), F.col("reading")))
     best = found.groupBy("word").agg(F.max_by("reading", F.struct("n", "reading")).alias("__last"), F.min_by("reading", F.struct(-F.col("n"), F.col("reading"))).alias("__first"))
     return doubtful.join(best.select("word", F.when(F.col("__first") == F.col("__last"), F.col("__first")).alias("fixed")), "word", "left")
 
@@ -39,6 +40,20 @@ def _readings(parts: Column) -> Column:
     return F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.element_at(parts, 1)), joint)
 
 
+def _key(word: Column) -> Column:
+    """The word, with lam and alef told apart in its head alone: a pair that is turned anywhere after it keeps the key.
+
+    The head's last letter may be half of a pair that goes on after it, so it is not told apart either.
+    """
+    return F.concat(F.left(word, F.lit(HEAD - 1)), F.translate(F.substring(word, HEAD, 2**31 - 1), BROKEN[1], BROKEN[0]))
+
+
+def _only_pairs_turned(word: Column, reading: Column) -> Column:
+    """Whether a reading of the same key differs from the word in turned pairs alone, wherever and however many."""
+    differing = F.zip_with(F.split(word, ""), F.split(reading, ""), lambda a, b: F.when(a == b, "=").otherwise(a))
+    return F.translate(F.replace(F.array_join(differing, ""), F.lit(BROKEN), F.lit("")), "=", "") == ""
+
+
 def repaired(documents: DataFrame, lexicon: DataFrame, content: str) -> DataFrame:
     """documents with `content` repaired, and how many words were `repaired` and how many stayed `doubtful`.
 

@@ -64,9 +64,9 @@ def s8_paged_stream(spark, sf):
 lexicon as (select word, count(*) as n from (select unnest(regexp_extract_all(text, '\p{L}+')) as word from written where doc_id % 2 = 0) group by 1),
 pieces as (select doc_id, unnest(regexp_extract_all(text, '\p{L}+|\P{L}+')) as word, generate_subscripts(regexp_extract_all(text, '\p{L}+|\P{L}+'), 1) as i from broken),
 doubtful as (select distinct word from pieces where contains(word, 'ال') and word not in (select word from lexicon)),
-readings as (select word, string_split(word, 'ال') as parts, 1 as i, string_split(word, 'ال')[1] as reading from doubtful
-  union all select word, parts, i + 1, reading || joint || parts[i + 1] from readings, (values ('ال'), ('لا')) j(joint) where i < len(parts) and len(parts) <= 7),
-hits as (select r.word, r.reading, l.n from readings r join lexicon l on l.word = r.reading where r.i = len(r.parts)),
+readings as (select d.word, string_split(d.word, 'ال') as parts, l.word as reading, n, 1 as i, length(string_split(d.word, 'ال')[1]) as place from doubtful d join lexicon l on translate(l.word, 'ل', 'ا') = translate(d.word, 'ل', 'ا') and starts_with(l.word, string_split(d.word, 'ال')[1])
+  union all select word, parts, reading, n, i + 1, place + 2 + length(parts[i + 1]) from readings where i < len(parts) and substring(reading, place + 1, 2) in ('ال', 'لا') and substring(reading, place + 3, length(parts[i + 1])) = parts[i + 1]),
+hits as (select word, reading, n from readings where i = len(parts)),
 best as (select word, case when count(*) = 1 then min(reading) end as fixed from (select *, max(n) over (partition by word) as most from hits) where n = most group by word),
 done as (select doc_id, sha256(string_agg(coalesce(fixed, word), '' order by i)) as hash, count(fixed) as repaired, count(d.word) - count(fixed) as doubtful from pieces left join doubtful d using (word) left join best using (word) group by doc_id)
 select b.doc_id, coalesce(hash, sha256(b.text)) as hash, coalesce(repaired, 0) as repaired, coalesce(doubtful, 0) as doubtful from broken b left join done using (doc_id)""")

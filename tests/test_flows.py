@@ -1,6 +1,8 @@
 """Streams with state, paged rows and merged statistics."""
 
 import datetime as dt
+import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -154,6 +156,35 @@ def test_lam_alef_is_repaired_by_the_lexicon_alone(spark):
     assert ligatures.repaired(spark.createDataFrame([], "id long, text string"), lexicon, "text").count() == 0
 
 
+def test_lam_alef_of_any_number_of_pairs_is_read_either_way(spark):
+    broken, whole = ligatures.BROKEN, ligatures.WHOLE
+    many = [broken * 7, "ب" + broken * 7, broken * 6 + "ب" + broken, "𞤀" + (broken + "𞤀") * 8, broken * 3000]  # the fourth outside the basic plane
+    turned = [whole * 7, "ب" + whole + broken * 5 + whole, broken * 6 + "ب" + whole, "𞤀" + (whole + "𞤀") * 8, broken * 2999 + whole]
+    unread = [broken * 8, "ت" * 11 + broken * 7, "ث" + broken * 9]
+    near = [whole * 5 + "لل" + "اا" + "لا", "ت" * 11 + "لل" + "اا" + broken * 5, "ث" + broken * 5 + "اا" + "لل" + broken * 2]  # of the same key, but by no turned pairs
+    tie = "ج" + broken * 9
+    lexicon = [(w, 3) for w in turned + near] + [("ج" + whole * 9, 2), ("ج" + broken * 8 + whole, 2), ("ج" + whole + broken * 8, 1)]
+    found = {r.word: r.fixed for r in ligatures.fixes(spark.createDataFrame([(w,) for w in [*many, *unread, tie]], "word string"), spark.createDataFrame(lexicon, "word string, n long")).collect()}
+    assert found == dict(zip(many, turned)) | dict.fromkeys([*unread, tie])
+    letters, dice = ("ا", "ل", "ب"), random.Random(7)
+    words = {"".join(dice.choices(letters, (4, 4, 1), k=dice.randint(2, 17))) for _ in range(300)}
+    known = {}
+    for word in sorted(words):  # by pairs turned at random, and by letters swapped at random, which is mostly no reading
+        parts = word.split(broken)
+        known |= {parts[0] + "".join(dice.choice((broken, whole)) + p for p in parts[1:]): dice.randint(1, 3) for _ in range(6)}
+        i = dice.randrange(len(word) - 1)
+        known[word[:i] + word[i + 1] + word[i] + word[i + 2 :]] = dice.randint(1, 3)
+    known = {w: n for w, n in known.items() if dice.random() < 0.7 and w not in words}
+    want = {}
+    for word in (w for w in words if broken in w):
+        parts = word.split(broken)
+        hits = {r: known[r] for joints in itertools.product((broken, whole), repeat=len(parts) - 1) if (r := parts[0] + "".join(j + p for j, p in zip(joints, parts[1:]))) in known}
+        best = [r for r, n in hits.items() if n == max(hits.values())]
+        want[word] = best[0] if len(best) == 1 else None
+    found = ligatures.fixes(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame(list(known.items()), "word string, n long")).collect()
+    assert {r.word: r.fixed for r in found} == want and len(found) == len(want) and sum(w is not None for w in want.values()) > 100
+
+
 def test_merged_statistics_keep_their_bounds_and_read_only_what_is_new(spark, tmp_path):
     path = str(tmp_path / "statistics")
     rows = spark.range(60_000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 5)).alias("source"), F.expr("date'2024-01-01' + cast(id % 4 as int)").alias("day"), (F.col("id") * 7919 % 60_013).alias("size"), (F.col("id") % 20_000).alias("member"))
